@@ -1,0 +1,5 @@
+"""Intentionally empty: the studies this engine covers are finite batch stages.
+
+There is no watermark, session window or late-data rule to express, so no
+streaming operator is offered.
+"""
