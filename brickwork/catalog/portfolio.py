@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickwork.catalog.base import table
+from brickwork.functions.text import derive
 from brickwork.names import COUNTIES, SEMANTIC_OPTIONS
 from brickwork.operators.energy import reader
 
@@ -112,16 +113,17 @@ def portfolio_sql() -> str:
 # Stand-in surrogate: loads as plain functions of features, so that SQL can follow.
 def predict(df: DataFrame, suffix: str) -> DataFrame:
     c = reader(df, suffix)
-    glass = F.when(c("semantic__Windows") == "TriplePaneLowE", 0.8).otherwise(F.lit(1.0))
+    glass = f"CASE WHEN {c('semantic__Windows')} = 'TriplePaneLowE' THEN 0.8D ELSE 1.0D END"
+    wwr, height = c("geometry__wwr"), c("geometry__f2f_height")
     loads = {
-        "Raw_Lighting": F.lit(9.0) + c("geometry__num_floors"),
-        "Raw_Equipment": F.lit(14.0) + c("geometry__f2f_height"),
-        "Raw_DomesticHotWater": F.lit(15.0) + F.lit(5.0) * c("extra_spaces__basement__use_fraction"),
-        "Raw_Heating": (F.lit(40.0) + F.lit(300.0) * c("geometry__wwr") + F.lit(8.0) * c("geometry__f2f_height")) * glass,
-        "Raw_Cooling": (F.lit(10.0) + F.lit(60.0) * c("geometry__wwr")) * glass,
-        "Peak_Heating": F.lit(0.004) + F.lit(0.02) * c("geometry__wwr"),
+        "Raw_Lighting": f"9.0D + {c('geometry__num_floors')}",
+        "Raw_Equipment": f"14.0D + {height}",
+        "Raw_DomesticHotWater": f"15.0D + 5.0D * {c('extra_spaces__basement__use_fraction')}",
+        "Raw_Heating": f"(40.0D + 300.0D * {wwr} + 8.0D * {height}) * {glass}",
+        "Raw_Cooling": f"(10.0D + 60.0D * {wwr}) * {glass}",
+        "Peak_Heating": f"0.004D + 0.02D * {wwr}",
     }
-    return df.withColumns({k + suffix: v for k, v in loads.items()})
+    return derive(df, {k + suffix: v for k, v in loads.items()})
 
 
 def predict_sql(suffix: str) -> str:

@@ -1,8 +1,8 @@
-"""Samplers described as data and compiled to columns.
+"""Samplers described as data and compiled to SQL expressions.
 
 A :class:`Draw` names a kind and its arguments; :data:`KINDS` maps the kind to
-the features it reads and to a Column builder.  New kinds are registered with
-:func:`register_kind`; a draw never runs Python per row.
+the features it reads and to an expression builder.  New kinds are registered
+with :func:`register_kind`; a draw never runs Python per row.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brickwork.functions.rng import Keyed
+from brickwork.functions.text import sql_sum, sql_value
 
 
 @dataclass(frozen=True)
@@ -28,12 +28,15 @@ class Draw:
     def reads(self) -> frozenset[str]:
         return frozenset(KINDS[self.kind][0](self.args))
 
-    def column(self, feature: str, keyed: Keyed) -> Column:
+    def sql(self, feature: str, keyed: Keyed) -> str:
         return KINDS[self.kind][1](self.args, feature, keyed)
 
+    def column(self, feature: str, keyed: Keyed) -> Column:
+        return F.expr(self.sql(feature, keyed))
+
 
 Reads = Callable[[Mapping[str, Any]], Sequence[str]]
-Build = Callable[[Mapping[str, Any], str, Keyed], Column]
+Build = Callable[[Mapping[str, Any], str, Keyed], str]
 KINDS: dict[str, tuple[Reads, Build]] = {}
 
 
@@ -41,13 +44,6 @@ def register_kind(kind: str, reads: Reads, build: Build) -> None:
     KINDS[kind] = (reads, build)
 
 
-def literal(value: Any) -> Column:
-    """Numbers as doubles so branches of a conditional share one type."""
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return F.lit(float(value))
-    return F.lit(value)
-
-
 def _none(_: Mapping[str, Any]) -> Sequence[str]:
     return ()
 
@@ -60,35 +56,37 @@ def _many(args: Mapping[str, Any]) -> Sequence[str]:
     return tuple(args["of"])
 
 
-def _categorical(args: Mapping[str, Any], feature: str, keyed: Keyed) -> Column:
-    u = keyed.uniform(feature)
-    total, upto, out = sum(args["weights"]), 0.0, None
+def _case(whens: Sequence[tuple[str, str]], otherwise: str | None) -> str:
+    body = " ".join(f"WHEN {test} THEN {value}" for test, value in whens)
+    tail = "" if otherwise is None else f" ELSE {otherwise}"
+    return f"(CASE {body}{tail} END)" if whens else (otherwise or "NULL")
+
+
+def _categorical(args: Mapping[str, Any], feature: str, keyed: Keyed) -> str:
+    u, total, upto, whens = keyed.uniform_sql(feature), sum(args["weights"]), 0.0, []
     for value, weight in list(zip(args["values"], args["weights"]))[:-1]:
         upto += weight / total
-        hit = u < F.lit(upto)
-        out = F.when(hit, literal(value)) if out is None else out.when(hit, literal(value))
-    last = literal(args["values"][-1])
-    return last if out is None else out.otherwise(last)
+        whens.append((f"{u} < {upto!r}D", sql_value(value)))
+    return _case(whens, sql_value(args["values"][-1]))
 
 
-def _clipped_normal(args: Mapping[str, Any], feature: str, keyed: Keyed) -> Column:
-    x = F.lit(float(args["mean"])) + F.lit(float(args["std"])) * keyed.normal(feature)
+def _clipped_normal(args: Mapping[str, Any], feature: str, keyed: Keyed) -> str:
+    x = f"({sql_value(args['mean'])} + {sql_value(args['std'])} * {keyed.normal_sql(feature)})"
     if args["low"] is not None:
-        x = F.greatest(x, F.lit(float(args["low"])))
+        x = f"greatest({x}, {sql_value(args['low'])})"
     if args["high"] is not None:
-        x = F.least(x, F.lit(float(args["high"])))
+        x = f"least({x}, {sql_value(args['high'])})"
     return x
 
 
-def _by_value(args: Mapping[str, Any], feature: str, keyed: Keyed) -> Column:
-    source, out = F.col(args["of"]), None
+def _by_value(args: Mapping[str, Any], feature: str, keyed: Keyed) -> str:
     # the last matching case wins, so it is tested first
-    for match, draw in reversed(args["cases"]):
-        hit = source == literal(match)
-        made = draw.column(feature, keyed)
-        out = F.when(hit, made) if out is None else out.when(hit, made)
+    whens = [
+        (f"`{args['of']}` = {sql_value(match)}", draw.sql(feature, keyed))
+        for match, draw in reversed(args["cases"])
+    ]
     fallback = args["otherwise"]
-    return out if fallback is None else out.otherwise(fallback.column(feature, keyed))
+    return _case(whens, None if fallback is None else fallback.sql(feature, keyed))
 
 
 def _by_value_reads(args: Mapping[str, Any]) -> Sequence[str]:
@@ -98,29 +96,32 @@ def _by_value_reads(args: Mapping[str, Any]) -> Sequence[str]:
     return (args["of"], *[r for d in draws for r in d.reads])
 
 
-def _reciprocal(args: Mapping[str, Any], *_: Any) -> Column:
-    x = F.col(args["of"])
-    return F.when(x != 0, F.lit(1.0) / F.nullif(x, F.lit(0.0))).when(
-        x == 0, F.lit(float("inf"))
-    )
+def _uniform(args: Mapping[str, Any], feature: str, keyed: Keyed) -> str:
+    width = float(args["high"]) - float(args["low"])
+    return f"({sql_value(args['low'])} + {width!r}D * {keyed.uniform_sql(feature)})"
+
+
+def _reciprocal(args: Mapping[str, Any], *_: Any) -> str:
+    x = f"`{args['of']}`"
+    return f"(CASE WHEN {x} = 0 THEN double('Infinity') ELSE 1.0D / {x} END)"
 
 
 for _kind, _reads, _build in (
-    ("uniform", _none, lambda a, f, k: F.lit(float(a["low"])) + F.lit(float(a["high"]) - float(a["low"])) * k.uniform(f)),
+    ("uniform", _none, _uniform),
     ("clipped_normal", _none, _clipped_normal),
-    ("fixed", _none, lambda a, f, k: literal(a["value"])),
+    ("fixed", _none, lambda a, f, k: sql_value(a["value"])),
     ("categorical", _none, _categorical),
-    ("copy", _one, lambda a, f, k: F.col(a["of"])),
-    ("plus", _one, lambda a, f, k: F.col(a["of"]) + F.lit(float(a["value"]))),
-    ("total", _many, lambda a, f, k: reduce(lambda x, y: x + y, [F.col(c).cast("double") for c in a["of"]])),
-    ("times", _one, lambda a, f, k: F.col(a["of"]) * F.lit(float(a["value"]))),
-    ("product", _many, lambda a, f, k: reduce(lambda x, y: x * y, [F.col(c).cast("double") for c in a["of"]])),
+    ("copy", _one, lambda a, f, k: f"`{a['of']}`"),
+    ("plus", _one, lambda a, f, k: f"(`{a['of']}` + {sql_value(a['value'])})"),
+    ("total", _many, lambda a, f, k: sql_sum([f"`{c}`" for c in a["of"]])),
+    ("times", _one, lambda a, f, k: f"(`{a['of']}` * {sql_value(a['value'])})"),
+    ("product", _many, lambda a, f, k: "(" + " * ".join(f"`{c}`" for c in a["of"]) + ")"),
     ("reciprocal", _one, _reciprocal),
-    ("power", _one, lambda a, f, k: F.pow(F.col(a["of"]), F.lit(float(a["value"])))),
-    ("log", _one, lambda a, f, k: F.log(F.col(a["of"])) / F.lit(math.log(a["base"]))),
-    ("join_text", _many, lambda a, f, k: F.concat_ws(a["separator"], *[F.col(c).cast("string") for c in a["of"]])),
+    ("power", _one, lambda a, f, k: f"pow(`{a['of']}`, {sql_value(a['value'])})"),
+    ("log", _one, lambda a, f, k: f"(ln(`{a['of']}`) / {math.log(a['base'])!r}D)"),
+    ("join_text", _many, lambda a, f, k: f"concat_ws({sql_value(a['separator'])}, {', '.join(f'string(`{c}`)' for c in a['of'])})"),
     ("by_value", _by_value_reads, _by_value),
-    ("expression", _many, lambda a, f, k: F.expr(a["sql"])),
+    ("expression", _many, lambda a, f, k: f"({a['sql']})"),
 ):
     register_kind(_kind, _reads, _build)
 

@@ -20,6 +20,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickwork.functions.text import derive
+
 PRIME = 2_147_483_647  # 2**31 - 1
 WORDS = 4
 HEX_PER_WORD = 7
@@ -48,19 +50,24 @@ class Keyed:
         """The same rows with an independent set of streams."""
         return Keyed(self.prefix, scope)
 
+    def uniform_sql(self, name: str) -> str:
+        a, b, c, d, e, m, f = stream_constants(f"{self.scope}{name}")
+        w = self.columns()
+        t = f"(({w[0]} * {a}L + {w[1]} * {b}L + {w[2]} * {c}L + {w[3]} * {d}L + {e}L) % {PRIME}L)"
+        t = f"({t} ^ shiftright({t}, 13))"
+        return f"((({t} * {m}L + {f}L) % {PRIME}L + 0.5D) / {float(PRIME)!r}D)"
+
+    def normal_sql(self, name: str) -> str:
+        u1, u2 = self.uniform_sql(f"{name}#1"), self.uniform_sql(f"{name}#2")
+        return f"(sqrt(-2.0D * ln({u1})) * cos({2.0 * math.pi!r}D * {u2}))"
+
     def uniform(self, name: str) -> Column:
         """Uniform on the open interval (0, 1)."""
-        a, b, c, d, e, m, f = stream_constants(f"{self.scope}{name}")
-        w = [F.col(x) for x in self.columns()]
-        t = (w[0] * F.lit(a) + w[1] * F.lit(b) + w[2] * F.lit(c) + w[3] * F.lit(d) + F.lit(e)) % F.lit(PRIME)
-        t = t.bitwiseXOR(F.shiftright(t, 13))
-        t = (t * F.lit(m) + F.lit(f)) % F.lit(PRIME)
-        return (t.cast("double") + F.lit(0.5)) / F.lit(float(PRIME))
+        return F.expr(self.uniform_sql(name))
 
     def normal(self, name: str) -> Column:
         """Standard normal by Box-Muller from two uniform streams."""
-        u1, u2 = self.uniform(f"{name}#1"), self.uniform(f"{name}#2")
-        return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+        return F.expr(self.normal_sql(name))
 
 
 def digest(seed: int | str, ids: Sequence[str]) -> Column:
@@ -73,9 +80,7 @@ def with_row_key(
     """Attach the row words; call once per row identity, draw as often as needed."""
     tagged = df.withColumn(f"{prefix}h", digest(seed, ids))
     words = {
-        f"{prefix}{i}": F.conv(
-            F.substring(f"{prefix}h", 1 + i * HEX_PER_WORD, HEX_PER_WORD), 16, 10
-        ).cast("bigint")
+        f"{prefix}{i}": f"bigint(conv(substr({prefix}h, {1 + i * HEX_PER_WORD}, {HEX_PER_WORD}), 16, 10))"
         for i in range(WORDS)
     }
-    return tagged.withColumns(words).drop(f"{prefix}h"), Keyed(prefix)
+    return derive(tagged, words).drop(f"{prefix}h"), Keyed(prefix)

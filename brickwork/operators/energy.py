@@ -9,12 +9,11 @@ from the shared column, so both scenarios of a study live on the same row.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from brickwork.names import END_USES, FUELS, RAW_END_USES, SEGMENTS, UPGRADED_SOLAR
+from brickwork.functions.text import derive, sql_list, sql_sum
+from brickwork.names import FUELS, RAW_END_USES, SEGMENTS, UPGRADED_SOLAR
 
 MAX_LOCAL_PV_KW = 25.0  # fixed value: largest system considered
 SYSTEM_OF = {"Heating": "heat", "Cooling": "cool", "DomesticHotWater": "dhw"}
@@ -22,43 +21,35 @@ BURNED = ("Electricity", "NaturalGas", "Oil")
 NET_FUELS = ("NetElectricity", "NaturalGas", "Oil")
 
 
-def add_up(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
-def reader(df: DataFrame, suffix: str) -> Callable[[str], Column]:
+def reader(df: DataFrame, suffix: str) -> Callable[[str], str]:
+    """Quoted name of a feature as the scenario sees it."""
     have = set(df.columns)
-    return lambda name: F.col(name + suffix) if name + suffix in have else F.col(name)
+    return lambda name: f"`{name + suffix}`" if name + suffix in have else f"`{name}`"
 
 
-def feasible_coverage(roof: Column, utilization: Column, density: Column, yield_: Column, demand: Column) -> Column:
+def feasible_coverage(roof: str, utilization: str, density: str, yield_: str, demand: str) -> str:
     """Largest share of the demand that the roof can generate, within [0, 1]."""
-    capacity = F.least(roof * utilization * density / F.lit(1000.0), F.lit(MAX_LOCAL_PV_KW))
-    return F.greatest(
-        F.lit(0.0),
-        F.least(F.lit(1.0), capacity * yield_ / F.greatest(demand, F.lit(1.0))),
-    )
+    capacity = f"least({roof} * {utilization} * {density} / 1000.0D, {MAX_LOCAL_PV_KW}D)"
+    return f"greatest(0.0D, least(1.0D, {capacity} * {yield_} / greatest({demand}, 1.0D)))"
 
 
-def target_coverage(onsite: Column, planned: Column, feasible: Column) -> Column:
+def target_coverage(onsite: str, planned: str, feasible: str) -> str:
     """The planned share, replaced by the feasible one for the maximal choice."""
-    return F.when(onsite == "MaxSolarPV", feasible).otherwise(planned)
+    return f"CASE WHEN {onsite} = 'MaxSolarPV' THEN {feasible} ELSE {planned} END"
 
 
-def system_size_kw(demand: Column, target: Column, feasible: Column, yield_: Column) -> Column:
-    return demand * F.least(target, feasible) / yield_
+def system_size_kw(demand: str, target: str, feasible: str, yield_: str) -> str:
+    return f"{demand} * least({target}, {feasible}) / {yield_}"
 
 
-def apply_cops(df: DataFrame, suffix: str = "", raw: str = "Raw_") -> DataFrame:
+def apply_cops(df: DataFrame, suffix: str = "") -> DataFrame:
     """End-use energy: delivered load over the effective efficiency."""
     c = reader(df, suffix)
     out = {}
     for use in RAW_END_USES:
-        load = c(raw + use)
-        if use in SYSTEM_OF:
-            load = load / c(f"factors__system__{SYSTEM_OF[use]}__effective_cop")
-        out[f"EndUse_{use}{suffix}"] = load
-    return df.withColumns(out)
+        cop = f" / {c(f'factors__system__{SYSTEM_OF[use]}__effective_cop')}" if use in SYSTEM_OF else ""
+        out[f"EndUse_{use}{suffix}"] = c(f"Raw_{use}") + cop
+    return derive(df, out)
 
 
 def split_by_fuel(df: DataFrame, suffix: str = "") -> DataFrame:
@@ -67,27 +58,25 @@ def split_by_fuel(df: DataFrame, suffix: str = "") -> DataFrame:
     out = {}
     for use in RAW_END_USES:
         for fuel in BURNED:
-            amount = F.col(f"EndUse_{use}{suffix}")
+            amount = f"EndUse_{use}{suffix}"
             if use in SYSTEM_OF:
                 kind = c(f"factors__system__{SYSTEM_OF[use]}__fuel")
-                out[f"use_{fuel}_{use}{suffix}"] = F.when(kind == fuel, amount).otherwise(F.lit(0.0))
-            else:
-                out[f"use_{fuel}_{use}{suffix}"] = amount if fuel == "Electricity" else amount * F.lit(0.0)
-    df = df.withColumns(out)
-    return df.withColumns(
-        {
-            f"Fuel_{fuel}{suffix}": add_up([F.col(f"use_{fuel}_{u}{suffix}") for u in RAW_END_USES])
-            for fuel in BURNED
-        }
+                amount = f"CASE WHEN {kind} = '{fuel}' THEN {amount} ELSE 0.0D END"
+            elif fuel != "Electricity":
+                amount = f"{amount} * 0.0D"
+            out[f"use_{fuel}_{use}{suffix}"] = amount
+    df = derive(df, out)
+    return derive(
+        df, {f"Fuel_{f}{suffix}": sql_sum([f"use_{f}_{u}{suffix}" for u in RAW_END_USES]) for f in BURNED}
     )
 
 
 def unknown_fuel_count(df: DataFrame, suffix: str = "") -> DataFrame:
     """Rows whose system fuel is none of the three burned fuels, per system."""
     c = reader(df, suffix)
-    return df.agg(
+    return df.selectExpr(
         *[
-            F.count_if(~F.coalesce(c(f"factors__system__{s}__fuel").isin(*BURNED), F.lit(False))).alias(f"n_unknown_{s}")
+            f"count_if(NOT coalesce({c(f'factors__system__{s}__fuel')} IN ({sql_list(BURNED)}), false)) AS n_unknown_{s}"
             for s in SYSTEM_OF.values()
         ]
     )
@@ -97,53 +86,49 @@ def offset_with_solar(df: DataFrame, suffix: str = "", area: str = "area_m2", cu
     """Net electricity: an existing system offsets intensity, a new one gross use."""
     c = reader(df, suffix)
     onsite, yield_ = c("semantic__OnsiteSolar"), c("solar__yield_kWh_per_kW_year")
-    elec = F.col(f"Fuel_Electricity{suffix}")
-    df = df.withColumn(f"demand_kwh{suffix}", elec * F.col(area))
-    demand = F.col(f"demand_kwh{suffix}")
-    df = df.withColumn(
-        f"feasible_cov{suffix}",
-        feasible_coverage(
-            c("geometry__computed__roof_surface_area"), c("solar__max_roof_utilization"),
-            c("solar__panel_power_density_w_per_m2"), yield_, demand,
-        ),
-    )
-    feasible = F.col(f"feasible_cov{suffix}")
-    df = df.withColumn(
-        f"pv_kw{suffix}",
-        F.when(
-            onsite.isin(*UPGRADED_SOLAR),
-            system_size_kw(
-                demand,
-                target_coverage(onsite, c("solar__upgraded_coverage"), feasible),
-                feasible, yield_,
-            ),
-        ).otherwise(F.lit(0.0)),
+    planned, elec, demand = c("solar__upgraded_coverage"), f"Fuel_Electricity{suffix}", f"demand_kwh{suffix}"
+    feasible, size, share = f"feasible_cov{suffix}", f"pv_kw{suffix}", f"net_share{suffix}"
+    upgraded = f"{onsite} IN ({sql_list(UPGRADED_SOLAR)})"
+    df = derive(df, {demand: f"{elec} * {area}"})
+    df = derive(
+        df,
+        {
+            feasible: feasible_coverage(
+                c("geometry__computed__roof_surface_area"), c("solar__max_roof_utilization"),
+                c("solar__panel_power_density_w_per_m2"), yield_, demand,
+            )
+        },
     )
-    existing = (onsite == "ExistingSolarPV") & (F.col(current_kw) > 0)
-    offset = (
-        F.when(existing, F.least(F.col(current_kw) * yield_ / F.col(area), elec))
-        .when(onsite.isin(*UPGRADED_SOLAR), F.least(F.col(f"pv_kw{suffix}") * yield_, demand))
-        .otherwise(F.lit(0.0))
+    target = target_coverage(onsite, planned, feasible)
+    df = derive(
+        df, {size: f"CASE WHEN {upgraded} THEN {system_size_kw(demand, target, feasible, yield_)} ELSE 0.0D END"}
     )
-    base = F.when(onsite == "ExistingSolarPV", elec).otherwise(demand)
-    keep = F.when(
-        (onsite != "NoSolarPV") & (offset > 0) & (base > 0),
-        F.lit(1.0) - offset / F.nullif(base, F.lit(0.0)),
-    ).otherwise(F.lit(1.0))
-    df = df.withColumn(f"net_share{suffix}", keep)
-    df = df.withColumns(
+    df = derive(
+        df,
         {
-            f"use_NetElectricity_{u}{suffix}": F.col(f"use_Electricity_{u}{suffix}") * F.col(f"net_share{suffix}")
-            for u in RAW_END_USES
-        }
-    )
-    df = df.withColumn(
-        f"Fuel_NetElectricity{suffix}",
-        add_up([F.col(f"use_NetElectricity_{u}{suffix}") for u in RAW_END_USES]),
+            f"pv_offset{suffix}": (
+                f"CASE WHEN {onsite} = 'ExistingSolarPV' AND {current_kw} > 0 "
+                f"THEN least({current_kw} * {yield_} / {area}, {elec}) "
+                f"WHEN {upgraded} THEN least({size} * {yield_}, {demand}) ELSE 0.0D END"
+            ),
+            f"pv_base{suffix}": f"CASE WHEN {onsite} = 'ExistingSolarPV' THEN {elec} ELSE {demand} END",
+        },
     )
-    return df.withColumn(
-        f"EndUse_Solar{suffix}", F.col(f"Fuel_NetElectricity{suffix}") - elec
+    df = derive(
+        df,
+        {
+            share: (
+                f"CASE WHEN {onsite} <> 'NoSolarPV' AND pv_offset{suffix} > 0 AND pv_base{suffix} > 0 "
+                f"THEN 1.0D - pv_offset{suffix} / pv_base{suffix} ELSE 1.0D END"
+            )
+        },
+    ).drop(f"pv_offset{suffix}", f"pv_base{suffix}")
+    df = derive(
+        df, {f"use_NetElectricity_{u}{suffix}": f"use_Electricity_{u}{suffix} * {share}" for u in RAW_END_USES}
     )
+    net = f"Fuel_NetElectricity{suffix}"
+    df = derive(df, {net: sql_sum([f"use_NetElectricity_{u}{suffix}" for u in RAW_END_USES])})
+    return derive(df, {f"EndUse_Solar{suffix}": f"{net} - {elec}"})
 
 
 def price_fuels(df: DataFrame, suffix: str = "") -> DataFrame:
@@ -154,13 +139,11 @@ def price_fuels(df: DataFrame, suffix: str = "") -> DataFrame:
         rate = {f: c(f"fuels__{table}__{f}") for f in BURNED}
         rate["NetElectricity"] = rate["Electricity"]
         for fuel in FUELS:
-            out[f"Fuel{dataset}_{fuel}{suffix}"] = F.col(f"Fuel_{fuel}{suffix}") * rate[fuel]
+            out[f"Fuel{dataset}_{fuel}{suffix}"] = f"Fuel_{fuel}{suffix} * {rate[fuel]}"
         for use in RAW_END_USES:
-            out[f"EndUse{dataset}_{use}{suffix}"] = add_up(
-                [F.col(f"use_{f}_{use}{suffix}") * rate[f] for f in BURNED]
-            )
-        out[f"EndUse{dataset}_Solar{suffix}"] = F.col(f"EndUse_Solar{suffix}") * rate["Electricity"]
-    return df.withColumns(out)
+            out[f"EndUse{dataset}_{use}{suffix}"] = sql_sum([f"use_{f}_{use}{suffix} * {rate[f]}" for f in BURNED])
+        out[f"EndUse{dataset}_Solar{suffix}"] = f"EndUse_Solar{suffix} * {rate['Electricity']}"
+    return derive(df, out)
 
 
 def dataset_totals(df: DataFrame, suffix: str = "") -> DataFrame:
@@ -172,9 +155,9 @@ def dataset_totals(df: DataFrame, suffix: str = "") -> DataFrame:
     out = {}
     for dataset, segments in SEGMENTS.items():
         used = NET_FUELS if dataset in ("FuelCost", "FuelEmissions") else segments
-        out[f"Total_{dataset}{suffix}"] = add_up([F.col(f"{dataset}_{s}{suffix}") for s in used])
-    out[f"fuel_net_total{suffix}"] = add_up([F.col(f"Fuel_{f}{suffix}") for f in NET_FUELS])
-    return df.withColumns(out)
+        out[f"Total_{dataset}{suffix}"] = sql_sum([f"{dataset}_{s}{suffix}" for s in used])
+    out[f"fuel_net_total{suffix}"] = sql_sum([f"Fuel_{f}{suffix}" for f in NET_FUELS])
+    return derive(df, out)
 
 
 def result_columns() -> list[str]:
@@ -183,13 +166,11 @@ def result_columns() -> list[str]:
     return segs + [f"Total_{d}" for d in SEGMENTS]
 
 
-def add_results(df: DataFrame, suffix: str = "", raw: str = "Raw_") -> DataFrame:
-    """The full set of normalized results of one scenario."""
-    if suffix:
-        c = reader(df, suffix)
-        df = df.withColumns({f"Raw_{u}{suffix}": c(raw + u) for u in RAW_END_USES})
-    elif raw != "Raw_":
-        df = df.withColumns({f"Raw_{u}": F.col(raw + u) for u in RAW_END_USES})
+def add_results(df: DataFrame, suffix: str = "") -> DataFrame:
+    """The full set of normalized results of one scenario from its raw loads."""
+    absent = [u for u in RAW_END_USES if f"Raw_{u}{suffix}" not in df.columns]
+    if absent:
+        df = derive(df, {f"Raw_{u}{suffix}": f"Raw_{u}" for u in absent})
     df = apply_cops(df, suffix)
     df = split_by_fuel(df, suffix)
     df = offset_with_solar(df, suffix)
@@ -199,24 +180,15 @@ def add_results(df: DataFrame, suffix: str = "", raw: str = "Raw_") -> DataFrame
 
 def long_results(df: DataFrame, keys: list[str], suffix: str = "", area: str = "area_m2") -> DataFrame:
     """(keys, normalization, dataset, segment, value), normalized and gross."""
-    items = []
-    for dataset, segments in SEGMENTS.items():
-        for s in segments:
-            v = F.col(f"{dataset}_{s}{suffix}")
-            for label, x in (("Normalized", v), ("Gross", v * F.col(area))):
-                items.append(
-                    F.struct(
-                        F.lit(label).alias("normalization"), F.lit(dataset).alias("dataset"),
-                        F.lit(s).alias("segment"), x.alias("value"),
-                    )
-                )
-    return df.select(*keys, F.explode(F.array(*items)).alias("r")).select(*keys, "r.*")
+    items = [
+        f"struct('{label}' AS normalization, '{d}' AS dataset, '{s}' AS segment, `{d}_{s}{suffix}`{scale} AS value)"
+        for d, segments in SEGMENTS.items()
+        for s in segments
+        for label, scale in (("Normalized", ""), ("Gross", f" * {area}"))
+    ]
+    return df.selectExpr(*keys, f"inline(array({', '.join(items)}))")
 
 
 def sum_over(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Totals of a long result table over the levels not in ``keys``."""
-    return df.groupBy(*keys).agg(F.sum(value).alias(value))
-
-
-def end_use_shares() -> tuple[str, ...]:
-    return END_USES
+    return df.groupBy(*keys).agg({value: "sum"}).withColumnRenamed(f"sum({value})", value)

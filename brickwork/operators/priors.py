@@ -12,6 +12,7 @@ from brickwork.functions.draws import (
     Draw, by_value, clipped_normal, copy_of, expression, fixed, power, product, times, total, uniform,
 )
 from brickwork.functions.rng import Keyed
+from brickwork.functions.text import derive
 from brickwork.session import partitions_for
 
 
@@ -74,16 +75,14 @@ class PriorSet:
         if missing:
             raise ValueError(f"features not available: {sorted(missing)}")
         for layer in self.layers():
-            df = df.withColumns({f: self.draws[f].column(f, keyed) for f in layer})
+            df = derive(df, {f: self.draws[f].sql(f, keyed) for f in layer})
         return df
 
     def null_report(self, df: DataFrame) -> DataFrame:
         """One row per feature that some row left unmatched."""
-        counts = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in self.draws])
-        pairs = F.array(
-            *[F.struct(F.lit(f).alias("feature"), F.col(f).alias("n_null")) for f in self.draws]
-        )
-        return counts.select(F.explode(pairs).alias("p")).select("p.*").filter("n_null > 0")
+        counts = df.selectExpr(*[f"count_if(`{f}` IS NULL) AS `{f}`" for f in self.draws])
+        pairs = ", ".join(f"struct('{f}' AS feature, `{f}` AS n_null)" for f in self.draws)
+        return counts.selectExpr(f"inline(array({pairs}))").filter("n_null > 0")
 
 
 def expand_samples(

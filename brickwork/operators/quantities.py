@@ -10,17 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from brickwork.functions.rng import Keyed
+from brickwork.functions.text import derive, sql_sum, sql_value
 from brickwork.names import plain
 
 LINEAR, FIXED, PERCENT = "LinearQuantity", "FixedQuantity", "PercentQuantity"
 DEFAULT_ORDER = (FIXED, PERCENT, LINEAR)
-Lookup = Callable[[str], Column]
+Lookup = Callable[[str], str]  # name -> SQL expression
 
 
 @dataclass(frozen=True)
@@ -58,12 +58,12 @@ class Rule:
     def used(self) -> list[Factor]:
         return [f for kind in self.order for f in self.factors if f.kind == kind]
 
-    def applies(self, old: Lookup, new: Lookup) -> Column:
+    def applies(self, old: Lookup, new: Lookup) -> str:
         was, now = old(self.trigger), new(self.trigger)
-        hit = (now == self.final) & ~was.eqNullSafe(now)
+        hit = f"{now} = {sql_value(self.final)} AND NOT {was} <=> {now}"
         if self.initial is not None:
-            hit = hit & (was == self.initial)
-        return F.coalesce(hit, F.lit(False))
+            hit += f" AND {was} = {sql_value(self.initial)}"
+        return f"coalesce({hit}, false)"
 
 
 @dataclass(frozen=True)
@@ -101,35 +101,33 @@ class RuleSet:
         return cls(rules, output_key, **flags)
 
 
-def _error(name: str, scale: float | None, keyed: Keyed | None) -> Column | None:
-    if not scale:
-        return None
-    if keyed is None:
-        raise ValueError("a row key is needed for rules with an error scale")
-    return F.lit(1.0) + F.lit(float(scale)) * keyed.normal(name)
+def quoted(name: str) -> str:
+    return f"`{name}`"
 
 
-def factor_value(f: Factor, name: str, indicator: Lookup, basis: Column | None, keyed: Keyed | None) -> Column:
-    noise = _error(name, f.error_scale, keyed)
+def factor_value(f: Factor, name: str, indicator: Lookup, basis: str | None, keyed: Keyed | None) -> str:
+    """SQL value of one factor; ``basis`` is the cost a percentage refers to."""
+    scale = f.error_scale or 0.0
+    if scale and keyed is None:
+        raise ValueError("a row key is needed for rules with an error scale")
     if f.kind == FIXED:
-        x = F.lit(float(f.amount))
-        if noise is not None:
-            drawn = F.lit(float(f.amount)) + F.lit(abs(f.amount) * f.error_scale) * keyed.normal(name)
-            x = F.greatest(drawn, F.lit(0.0)) if f.amount > 0 else F.least(drawn, F.lit(0.0))
-        return x
+        amount = sql_value(f.amount)
+        if not scale:
+            return amount
+        drawn = f"{amount} + {sql_value(abs(f.amount) * scale)} * {keyed.normal_sql(name)}"
+        return f"{'greatest' if f.amount > 0 else 'least'}({drawn}, 0.0D)"
     if f.kind == LINEAR:
-        parts = [F.lit(float(f.coefficient)), *[indicator(c).cast("double") for c in f.indicators]]
-        x = reduce(lambda a, b: a * b, parts)
+        x = " * ".join([sql_value(f.coefficient), *[f"double({indicator(c)})" for c in f.indicators]])
     elif f.kind == PERCENT:
         if basis is None:
-            return F.lit(0.0)
-        x = basis * F.lit(float(f.percent))
+            return "0.0D"
+        x = f"{basis} * {sql_value(f.percent)}"
     else:
         raise ValueError(f"unknown factor kind {f.kind}")
-    if noise is not None:
-        x = x * F.greatest(noise, F.lit(0.0))
+    if scale:
+        x = f"{x} * greatest(1.0D + {sql_value(scale)} * {keyed.normal_sql(name)}, 0.0D)"
     if f.kind == PERCENT and f.limit is not None:
-        x = F.least(x, F.lit(float(f.limit)))
+        x = f"least({x}, {sql_value(f.limit)})"
     return x
 
 
@@ -139,7 +137,7 @@ def add_quantities(
     old: Lookup,
     new: Lookup,
     *,
-    indicator: Lookup = F.col,
+    indicator: Lookup = quoted,
     cost_prefix: str | None = None,
     keyed: Keyed | None = None,
     finals: Sequence[str] | None = None,
@@ -152,52 +150,45 @@ def add_quantities(
     that incentives may not exceed.  Percent factors take the full cost, not
     what earlier factors left; only the sum is clipped.
     """
-    key, made, flat = rules.output_key, {}, {}
+    key, have, made = rules.output_key, set(df.columns), {}
     for trigger in rules.triggers:
-        per_final: dict[str, list[Column]] = {}
-        basis = F.col(f"{cost_prefix}{trigger}") if cost_prefix and f"{cost_prefix}{trigger}" in df.columns else None
+        cost = f"{cost_prefix}{trigger}"
+        basis = f"`{cost}`" if cost_prefix and cost in have else None
+        per_final: dict[str, list[str]] = {}
         for i, rule in enumerate(rules.rules):
             if rule.trigger != trigger or (finals is not None and rule.final not in finals):
                 continue
             if cost_prefix and basis is None and any(f.kind == PERCENT for f in rule.used()):
                 raise ValueError(f"no cost column for {trigger}")
-            terms = [
-                factor_value(f, f"{key}/{i}/{j}", indicator, basis, keyed)
-                for j, f in enumerate(rule.used())
-            ]
-            amount = reduce(lambda a, b: a + b, terms, F.lit(0.0))
+            amount = sql_sum(
+                [factor_value(f, f"{key}/{i}/{j}", indicator, basis, keyed) for j, f in enumerate(rule.used())]
+            )
             per_final.setdefault(rule.final, []).append(
-                F.when(rule.applies(old, new), amount).otherwise(F.lit(0.0))
+                f"CASE WHEN {rule.applies(old, new)} THEN {amount} ELSE 0.0D END"
             )
         pieces = []
         for final, terms in per_final.items():
-            total = reduce(lambda a, b: a + b, terms)
+            total = sql_sum(terms)
             if key == "incentive" and basis is not None:
-                total = F.least(total, basis)
+                total = f"least({total}, {basis})"
             pieces.append(total)
             if detailed:
                 made[f"{key}_{trigger}_{final}{tail}"] = total
-        flat[trigger] = f"{key}_{trigger}{tail}"
-        made[flat[trigger]] = reduce(lambda a, b: a + b, pieces, F.lit(0.0))
-    df = df.withColumns(made)
-    total = reduce(lambda a, b: a + b, [F.col(c) for c in flat.values()], F.lit(0.0))
-    return df.withColumn(f"{key}_Total{tail}", total)
+        made[f"{key}_{trigger}{tail}"] = sql_sum(pieces)
+    df = derive(df, made)
+    return derive(
+        df, {f"{key}_Total{tail}": sql_sum([f"`{key}_{t}{tail}`" for t in rules.triggers])}
+    )
 
 
 def match_report(df: DataFrame, rules: RuleSet, old: Lookup, new: Lookup, keys: Sequence[str]) -> DataFrame:
     """Changed fields with no rule, or with several: (keys, trigger, n_matches)."""
     rows = []
-    for trigger in rules.triggers:
-        hits = [r.applies(old, new).cast("int") for r in rules.rules if r.trigger == trigger]
-        rows.append(
-            F.struct(
-                F.lit(trigger).alias("trigger"),
-                (~old(trigger).eqNullSafe(new(trigger))).alias("changed"),
-                reduce(lambda a, b: a + b, hits).alias("n_matches"),
-            )
-        )
-    long = df.select(*keys, F.explode(F.array(*rows)).alias("m")).select(*keys, "m.*")
-    return long.filter(F.col("changed") & (F.col("n_matches") != 1)).drop("changed")
+    for t in rules.triggers:
+        hits = sql_sum([f"int({r.applies(old, new)})" for r in rules.rules if r.trigger == t])
+        rows.append(f"struct('{t}' AS trigger, NOT {old(t)} <=> {new(t)} AS changed, {hits} AS n_matches)")
+    long = df.selectExpr(*keys, f"inline(array({', '.join(rows)}))")
+    return long.filter("changed AND n_matches <> 1").drop("changed")
 
 
 def match_rules(changes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -223,7 +214,7 @@ def factor_metadata(
     new: Lookup,
     keys: Sequence[str],
     *,
-    indicator: Lookup = F.col,
+    indicator: Lookup = quoted,
     cost_prefix: str | None = None,
     keyed: Keyed | None = None,
     name: str = "items",
@@ -233,22 +224,18 @@ def factor_metadata(
     The list has at most one entry per factor of the rule set, so its length is
     bounded by configuration; amounts are averaged before it is built.
     """
-    amounts, shells = {}, []
+    amounts, shells, have = {}, [], set(df.columns)
     for i, rule in enumerate(rules.rules):
-        basis_name = f"{cost_prefix}{rule.trigger}"
-        basis = F.col(basis_name) if cost_prefix and basis_name in df.columns else None
+        cost = f"{cost_prefix}{rule.trigger}"
+        basis = f"`{cost}`" if cost_prefix and cost in have else None
         for j, f in enumerate(rule.used()):
             value = factor_value(f, f"{rules.output_key}/{i}/{j}", indicator, basis, keyed)
-            col = f"__meta_{i}_{j}"
-            amounts[col] = F.when(rule.applies(old, new), value).otherwise(F.lit(0.0))
+            col = f"meta_{i}_{j}"
+            amounts[col] = f"avg(CASE WHEN {rule.applies(old, new)} THEN {value} ELSE 0.0D END) AS {col}"
             shells.append(
-                F.struct(
-                    F.lit(rule.trigger).alias("trigger"), F.lit(rule.final).alias("final"),
-                    F.lit(f.description).alias("program_name"), F.lit(f.source).alias("source"),
-                    F.col(col).alias("amount_applied"), F.lit(f.kind).alias("factor_type"),
-                )
+                f"struct({sql_value(rule.trigger)} AS trigger, {sql_value(rule.final)} AS final, "
+                f"{sql_value(f.description)} AS program_name, {sql_value(f.source)} AS source, "
+                f"{col} AS amount_applied, {sql_value(f.kind)} AS factor_type)"
             )
-    means = df.withColumns(amounts).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in amounts])
-    return means.select(
-        *keys, F.filter(F.array(*shells), lambda x: x["amount_applied"] != 0).alias(name)
-    )
+    means = df.groupBy(*keys).agg(*[F.expr(a) for a in amounts.values()])
+    return means.selectExpr(*keys, f"filter(array({', '.join(shells)}), x -> x.amount_applied <> 0) AS {name}")

@@ -2,95 +2,89 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickwork.functions.rng import Keyed
+from brickwork.functions.text import derive, sql_list, sql_value
 from brickwork.names import (
     COOLING_SYSTEMS, COUNTIES, GAS_HEATING, HEATING_SIZES_KW, INCOME_BRACKETS, OIL_HEATING,
     UPGRADED_SOLAR, WALL_UPGRADES, WINDOW_UPGRADES,
 )
 from brickwork.operators.energy import reader
-from brickwork.operators.quantities import RuleSet, add_quantities, factor_metadata
-from brickwork.functions.rng import Keyed
+from brickwork.operators.quantities import Lookup, RuleSet, add_quantities, factor_metadata
 
 SAFETY_FACTOR = 1.2  # fixed value: heating sizing margin
 SMALLEST_SAVING = 0.01  # fixed value: floor of the payback divisor
 
 
-def next_size(value: Column, sizes: tuple[float, ...] = HEATING_SIZES_KW) -> Column:
+def next_size(value: str, sizes: tuple[float, ...] = HEATING_SIZES_KW) -> str:
     """Smallest available size that is large enough; larger values pass through."""
-    out = value
-    for s in sorted(sizes, reverse=True):
-        out = F.when(value <= F.lit(float(s)), F.lit(float(s))).otherwise(out)
-    return out
+    fits = " ".join(f"WHEN {value} <= {sql_value(s)} THEN {sql_value(s)}" for s in sorted(sizes))
+    return f"CASE {fits} ELSE {value} END"
+
+
+def _among(column: str, values: tuple[str, ...]) -> str:
+    return f"coalesce({column} IN ({sql_list(values)}), false)"
 
 
 def add_cost_features(df: DataFrame, suffix: str = "", peak: str = "Peak_Heating", area_m2: str | None = None) -> DataFrame:
     """Heating capacity, county indicators, availability flags and PV size."""
     c = reader(df, suffix)
-    capacity = c(peak) * F.lit(1000.0) * F.lit(SAFETY_FACTOR)
-    if area_m2 is not None:
-        capacity = capacity * F.col(area_m2)
-    gas = F.coalesce(c("semantic__Heating").isin(*GAS_HEATING), F.lit(False))
-    cool = F.coalesce(c("semantic__Cooling").isin(*COOLING_SYSTEMS), F.lit(False))
-    solar = c("semantic__OnsiteSolar").isin(*UPGRADED_SOLAR)
+    capacity = f"({c(peak)} * 1000.0D * {SAFETY_FACTOR}D" + (f" * {area_m2})" if area_m2 else ")")
+    gas = _among(c("semantic__Heating"), GAS_HEATING)
+    cool = _among(c("semantic__Cooling"), COOLING_SYSTEMS)
+    solar = _among(c("semantic__OnsiteSolar"), UPGRADED_SOLAR)
     made = {
         f"calculated__heating_capacity_kW{suffix}": next_size(capacity),
         f"system__has_gas__true{suffix}": gas,
-        f"system__has_gas__false{suffix}": ~gas,
+        f"system__has_gas__false{suffix}": f"NOT {gas}",
         f"system__has_cooling__true{suffix}": cool,
-        f"system__has_cooling__false{suffix}": ~cool,
-        f"upgrade__solar_pv_kW{suffix}": F.when(solar, F.col(f"pv_kw{suffix}")).otherwise(F.lit(0.0)),
-    }
-    made |= {
-        f"location__in_county__{k}": F.coalesce(F.col("location__county") == k, F.lit(False)) for k in COUNTIES
+        f"system__has_cooling__false{suffix}": f"NOT {cool}",
+        f"upgrade__solar_pv_kW{suffix}": f"CASE WHEN {solar} THEN pv_kw{suffix} ELSE 0.0D END",
     }
-    return df.withColumns(made)
+    made |= {f"location__in_county__{k}": f"coalesce(location__county = '{k}', false)" for k in COUNTIES}
+    return derive(df, made)
 
 
 def rows_without_county(df: DataFrame) -> DataFrame:
     """How many rows name none of the known counties."""
-    known = F.coalesce(F.col("location__county").isin(*COUNTIES), F.lit(False))
-    return df.agg(F.count_if(~known).alias("n_without_county"))
+    return df.selectExpr(f"count_if(NOT {_among('location__county', COUNTIES)}) AS n_without_county")
 
 
 def add_incentive_features(df: DataFrame, suffix: str = "") -> DataFrame:
     """Region, fuel flags and the window-and-wall combination."""
     c = reader(df, suffix)
-
-    def among(name: str, values: tuple[str, ...]) -> Column:
-        return F.coalesce(c(name).isin(*values), F.lit(False))
-
-    return df.withColumns(
+    windows = _among(c("semantic__Windows"), WINDOW_UPGRADES)
+    walls = _among(c("semantic__Walls"), WALL_UPGRADES)
+    return derive(
+        df,
         {
-            f"location__region{suffix}": F.lit("MA"),
-            f"fuel__electricity{suffix}": F.lit(True),
-            f"fuel__natural_gas{suffix}": among("semantic__Heating", GAS_HEATING),
-            f"fuel__oil{suffix}": among("semantic__Heating", OIL_HEATING),
-            f"eligibility__window_wall_combo{suffix}": among("semantic__Windows", WINDOW_UPGRADES)
-            & among("semantic__Walls", WALL_UPGRADES),
-        }
+            f"location__region{suffix}": "'MA'",
+            f"fuel__electricity{suffix}": "true",
+            f"fuel__natural_gas{suffix}": _among(c("semantic__Heating"), GAS_HEATING),
+            f"fuel__oil{suffix}": _among(c("semantic__Heating"), OIL_HEATING),
+            f"eligibility__window_wall_combo{suffix}": f"{windows} AND {walls}",
+        },
     )
 
 
-def bracket_indicator(df: DataFrame, bracket: str, suffix: str = ""):
-    """Column lookup in which only ``bracket`` is switched on."""
+def bracket_indicator(df: DataFrame, bracket: str, suffix: str = "") -> Lookup:
+    """Feature lookup in which only ``bracket`` is switched on."""
     c = reader(df, suffix)
 
-    def look(name: str) -> Column:
+    def look(name: str) -> str:
         if name.startswith("homeowner__in_bracket__"):
-            return F.lit(1.0 if name.endswith(f"__{bracket}") else 0.0)
+            return "1.0D" if name.endswith(f"__{bracket}") else "0.0D"
         return c(name)
 
     return look
 
 
-def payback_years(cost: Column, saving: Column) -> Column:
+def payback_years(cost: str, saving: str) -> str:
     """Cost over annual saving; the saving is at least one cent, below zero is never."""
-    years = cost / F.greatest(saving, F.lit(SMALLEST_SAVING))
-    return F.when(years < 0, F.lit(float("inf"))).otherwise(years)
+    years = f"{cost} / greatest({saving}, {SMALLEST_SAVING}D)"
+    return f"CASE WHEN {years} < 0 THEN double('Infinity') ELSE {years} END"
 
 
 def add_retrofit_economics(
@@ -104,27 +98,22 @@ def add_retrofit_economics(
     brackets: tuple[str, ...] = INCOME_BRACKETS,
 ) -> DataFrame:
     """Costs, incentives per bracket, net costs and paybacks as columns."""
-    old = lambda t: F.col(f"semantic__{t}")
-    new = reader(df, suffix)
-    to = lambda t: new(f"semantic__{t}")
     c = reader(df, suffix)
-    df = add_quantities(df, costs, old, to, indicator=c, keyed=keyed)
+    old: Lookup = lambda t: f"`semantic__{t}`"
+    new: Lookup = lambda t: c(f"semantic__{t}")
+    df = add_quantities(df, costs, old, new, indicator=c, keyed=keyed)
     for b in brackets:
         df = add_quantities(
-            df, incentives, old, to, indicator=bracket_indicator(df, b, suffix),
+            df, incentives, old, new, indicator=bracket_indicator(df, b, suffix),
             cost_prefix="cost_", keyed=keyed, tail=f"_{b}",
         )
-    made = {"payback": payback_years(F.col("cost_Total"), F.col(saving))}
+    made = {"payback": payback_years("cost_Total", saving)}
     for b in brackets:
         for t in _netted(costs, incentives):
-            made[f"net_cost_{t}_{b}"] = F.col(f"cost_{t}") - F.col(f"incentive_{t}_{b}")
-        made[f"net_cost_Total_{b}"] = F.greatest(
-            F.col("cost_Total") - F.col(f"incentive_Total_{b}"), F.lit(0.0)
-        )
-    df = df.withColumns(made)
-    return df.withColumns(
-        {f"payback_{b}": payback_years(F.col(f"net_cost_Total_{b}"), F.col(saving)) for b in brackets}
-    )
+            made[f"net_cost_{t}_{b}"] = f"cost_{t} - incentive_{t}_{b}"
+        made[f"net_cost_Total_{b}"] = f"greatest(cost_Total - incentive_Total_{b}, 0.0D)"
+    df = derive(df, made)
+    return derive(df, {f"payback_{b}": payback_years(f"net_cost_Total_{b}", saving) for b in brackets})
 
 
 def _netted(costs: RuleSet, incentives: RuleSet) -> list[str]:
@@ -142,9 +131,10 @@ def economics_columns(costs: RuleSet, incentives: RuleSet, brackets: tuple[str,
 def incentive_programs(
     df: DataFrame, incentives: RuleSet, keys: list[str], bracket: str, *, suffix: str = "_new", keyed: Keyed | None = None
 ) -> DataFrame:
-    new = reader(df, suffix)
+    """Programs and mean amounts of one bracket, per group."""
+    c = reader(df, suffix)
     return factor_metadata(
-        df, incentives, lambda t: F.col(f"semantic__{t}"), lambda t: new(f"semantic__{t}"), keys,
+        df, incentives, lambda t: f"`semantic__{t}`", lambda t: c(f"semantic__{t}"), keys,
         indicator=bracket_indicator(df, bracket, suffix), cost_prefix="cost_", keyed=keyed,
     )
 
@@ -163,6 +153,3 @@ def matched_difference(
         *keys, (F.col(value) - F.col("__u")).alias("delta")
     )
 
-
-def total_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

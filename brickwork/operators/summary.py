@@ -181,27 +181,16 @@ def wide_summary(
     """
     if rows_per_group > GROUP_LIMIT:
         raise ValueError("use distribution_summary for groups without a proven bound")
-    probs = F.array(F.lit(0.0), *[F.lit(p) for p in percentiles.values()], F.lit(1.0))
+    probs = ", ".join(f"{p!r}D" for p in (0.0, *percentiles.values(), 1.0))
     aggs = []
     for i, c in enumerate(values):
-        aggs += [
-            F.avg(c).alias(f"__m{i}"),
-            F.stddev_samp(c).alias(f"__s{i}"),
-            F.percentile(F.col(c), probs).alias(f"__q{i}"),
-        ]
-    stats = df.groupBy(*keys).agg(*aggs)
+        aggs += [f"avg(`{c}`) AS m{i}", f"stddev_samp(`{c}`) AS s{i}", f"percentile(`{c}`, array({probs})) AS q{i}"]
+    stats = df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
     last = len(percentiles) + 1
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias(label),
-                F.col(f"__m{i}").alias("mean"),
-                F.col(f"__s{i}").alias("std"),
-                F.col(f"__q{i}")[0].alias("min"),
-                F.col(f"__q{i}")[last].alias("max"),
-                *[F.col(f"__q{i}")[j + 1].alias(p) for j, p in enumerate(percentiles)],
-            )
-            for i, c in enumerate(values)
-        ]
-    )
-    return stats.select(*keys, F.explode(items).alias("__s")).select(*keys, "__s.*")
+    items = []
+    for i, c in enumerate(values):
+        points = ", ".join(f"q{i}[{j + 1}] AS {p}" for j, p in enumerate(percentiles))
+        items.append(
+            f"struct('{c}' AS `{label}`, m{i} AS mean, s{i} AS std, q{i}[0] AS min, q{i}[{last}] AS max, {points})"
+        )
+    return stats.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({', '.join(items)}))")

@@ -9,13 +9,13 @@ projection; the only shuffle moves the one-row-per-building table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickwork.functions.draws import Draw
 from brickwork.functions.rng import Keyed, with_row_key
+from brickwork.functions.text import derive
 from brickwork.names import INCOME_BRACKETS, UNITS, UNITS_PER
 from brickwork.operators.energy import add_results, reader, result_columns
 from brickwork.operators.priors import PriorSet, default_priors, expand_samples
@@ -69,26 +69,24 @@ def apply_upgrade(
     a fresh draw where one of its fields changed, the old draw elsewhere.
     """
     fields = list(fields)
-    moved = {f: ~F.col(f).eqNullSafe(F.col(f + suffix)) for f in fields}
     reach = {f: set(priors.downstream([f]).draws) for f in fields}
     redo = priors.downstream(fields)
     fresh = keyed.scoped("upgraded/")
     for layer in redo.layers():
         have = set(df.columns)
-        made: dict[str, Column] = {}
+        made = {}
         for feature in layer:
-            causes = [moved[f] for f in fields if feature in reach[f]]
-            changed = reduce(lambda a, b: a | b, causes)
-            again = _reading(redo.draws[feature], suffix, have).column(feature, fresh)
-            made[feature + suffix] = F.when(changed, again).otherwise(F.col(feature))
-        df = df.withColumns(made)
+            moved = " OR ".join(f"NOT `{f}` <=> `{f}{suffix}`" for f in fields if feature in reach[f])
+            again = _reading(redo.draws[feature], suffix, have).sql(feature, fresh)
+            made[feature + suffix] = f"CASE WHEN {moved} THEN {again} ELSE `{feature}` END"
+        df = derive(df, made)
     return df
 
 
-def cooling_for_prediction(df: DataFrame, suffix: str = "") -> Column:
+def cooling_for_prediction(df: DataFrame, suffix: str = "") -> DataFrame:
     """Buildings without cooling are predicted as if they had central cooling."""
     c = reader(df, suffix)("semantic__Cooling")
-    return F.when(c == "none", F.lit("ACCentral")).otherwise(c)
+    return derive(df, {"predict__Cooling": f"CASE WHEN {c} = 'none' THEN 'ACCentral' ELSE {c} END"})
 
 
 def infer(portfolio: DataFrame, n: int, predict: Predictor, priors: PriorSet | None = None, seed: int = 42) -> DataFrame:
@@ -114,8 +112,8 @@ def infer_savings(
     df = apply_upgrade(df, priors, keyed, fields)
     df = add_results(predict(df, ""))
     df = add_results(predict(df, NEW), NEW)
-    df = df.withColumns({f"Delta_{c}": F.col(c) - F.col(c + NEW) for c in result_columns()})
-    df = df.withColumn("saving_usd", F.col("Delta_Total_FuelCost") * F.col("area_m2"))
+    df = derive(df, {f"Delta_{c}": f"`{c}` - `{c}{NEW}`" for c in result_columns()})
+    df = derive(df, {"saving_usd": "Delta_Total_FuelCost * area_m2"})
     df = add_cost_features(df, NEW)
     df = add_incentive_features(df, NEW)
     return add_retrofit_economics(df, costs, incentives, suffix=NEW, keyed=keyed, brackets=brackets)
