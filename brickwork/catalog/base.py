@@ -52,8 +52,7 @@ def sql_uniform(name: str, scope: str = "", prefix: str = "rk") -> str:
         f"(({prefix}0*{a}::BIGINT + {prefix}1*{b}::BIGINT + {prefix}2*{c}::BIGINT"
         f" + {prefix}3*{d}::BIGINT + {e}) % {p})"
     )
-    t = f"xor({t}, {t} >> 13)"
-    return f"(((({t})*{m}::BIGINT + {f}) % {p})::DOUBLE + 0.5)/{float(p)!r}"
+    return f"(((({t}*{m | 1 << 30}::BIGINT + {f}) >> 21) % {p})::DOUBLE + 0.5::DOUBLE)/{float(p)!r}::DOUBLE"
 
 
 def sql_normal(name: str, scope: str = "", prefix: str = "rk") -> str:

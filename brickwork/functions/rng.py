@@ -6,6 +6,8 @@ scenarios that share the row, which is what matched samples rely on.
 
 One md5 per row gives four 28-bit words; every stream then costs a handful of
 64-bit integer operations inside whole-stage codegen instead of another digest.
+The first step is a universal hash of the words modulo a prime; the shift of
+the second product removes the linear relation between streams of one row.
 All products stay below 2**62, so ANSI overflow checks never fire.
 """
 
@@ -25,6 +27,7 @@ from brickwork.functions.text import derive
 PRIME = 2_147_483_647  # 2**31 - 1
 WORDS = 4
 HEX_PER_WORD = 7
+HIGH_BIT = 1 << 30
 
 
 @lru_cache(maxsize=4096)
@@ -54,8 +57,7 @@ class Keyed:
         a, b, c, d, e, m, f = stream_constants(f"{self.scope}{name}")
         w = self.columns()
         t = f"(({w[0]} * {a}L + {w[1]} * {b}L + {w[2]} * {c}L + {w[3]} * {d}L + {e}L) % {PRIME}L)"
-        t = f"({t} ^ shiftright({t}, 13))"
-        return f"((({t} * {m}L + {f}L) % {PRIME}L + 0.5D) / {float(PRIME)!r}D)"
+        return f"((shiftright({t} * {m | HIGH_BIT}L + {f}L, 21) % {PRIME}L + 0.5D) / {float(PRIME)!r}D)"
 
     def normal_sql(self, name: str) -> str:
         u1, u2 = self.uniform_sql(f"{name}#1"), self.uniform_sql(f"{name}#2")

@@ -20,5 +20,6 @@ def fixed(col: Column, places: int = 6) -> Column:
 
 
 def half_even(col: Column, places: int = 0) -> Column:
-    """Ties to the even neighbour, as numpy and Python round."""
-    return F.bround(col, places)
+    """Ties to the even neighbour after scaling, as numpy rounds."""
+    scale = float(10**places)
+    return F.rint(col * F.lit(scale)) / F.lit(scale)

@@ -121,7 +121,11 @@ def exact_percentiles(
             for i in range(k)
         ],
     )
-    placed = join_null_safe(data, brackets, keys)
+    if keys:
+        placed = join_null_safe(data, brackets, keys)
+    else:  # one group: a single row of cut points becomes literals
+        row = brackets.first()
+        placed = data.withColumns({c: F.lit(row[c]) for c in brackets.columns})
     v = F.col("__v")
     inside = F.lit(False)
     slot = F.lit(0)

@@ -24,6 +24,7 @@ from brickwork.operators.retrofit import (
     add_cost_features, add_incentive_features, add_retrofit_economics, economics_columns,
 )
 from brickwork.operators.summary import MOMENTS, PERCENTILES, wide_summary
+from brickwork.session import tune_for_wide_rows
 
 NEW = "_new"
 Predictor = Callable[[DataFrame, str], DataFrame]
@@ -34,6 +35,7 @@ def draw_ensemble(
 ) -> tuple[DataFrame, Keyed]:
     """Base rows repeated n times with every prior drawn; prior-owned columns go first."""
     priors = priors or default_priors()
+    tune_for_wide_rows(portfolio.sparkSession)
     if "semantic__OnsiteSolar" not in portfolio.columns:
         portfolio = portfolio.withColumn("semantic__OnsiteSolar", F.lit("NoSolarPV"))
     base = portfolio.drop(*[c for c in priors.draws if c in portfolio.columns])

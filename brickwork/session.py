@@ -36,6 +36,19 @@ def local_session(
     return spark
 
 
+def tune_for_wide_rows(spark: SparkSession) -> None:
+    """Keep generated methods small enough for the JIT compiler.
+
+    HotSpot never compiles a method above 8000 bytes of bytecode; projections
+    with hundreds of columns exceed that in one fused method and would run
+    interpreted.  Below the limit Spark splits them instead.  A value the user
+    chose is left alone.
+    """
+    key, default = "spark.sql.codegen.hugeMethodLimit", "65535"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, "8000")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names, or a fresh local one in local mode.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brickwork.functions.rounding import half_even
 from brickwork.operators.quantities import Factor, Rule, RuleSet
 
 FACTOR = (
@@ -81,7 +82,7 @@ def factor_rows_from_wide(wide: DataFrame, ids: list[str], error_scale: float =
     return long.select(
         *ids,
         F.when(fixed, "FixedQuantity").otherwise("LinearQuantity").alias("type"),
-        F.when(~fixed, F.bround("rate", 2)).alias("coefficient"),
+        F.when(~fixed, half_even(F.col("rate"), 2)).alias("coefficient"),
         F.when(fixed, F.col("rate")).alias("amount"),
         inds.alias("indicator_cols"),
         units.alias("units"),
