@@ -8,13 +8,14 @@ from brickwork.catalog.base import Registry, sql_fixed, table
 from brickwork.catalog.ensembles import N, PRIORS, _TWO, _stack_sql
 from brickwork.catalog.portfolio import CHANGED, portfolio, portfolio_sql, predict
 from brickwork.functions.rounding import fixed
-from brickwork.functions.text import derive
+from brickwork.functions.text import derive, fence
 from brickwork.names import COUNTIES, HEATING_SIZES_KW, INCOME_BRACKETS
 from brickwork.operators import quantities as rules_op
 from brickwork.operators.retrofit import changed_fields, incentive_programs, rows_without_county
 from brickwork.operators.summary import distribution_summary, exact_percentiles
 from brickwork.plans import inference as plan
 from brickwork.sources.rules import LEGACY_COSTS, factor_rows_from_wide, legacy_costs, standard_incentives
+from brickwork.session import cut_lineage
 
 REGISTRY = Registry()
 COSTS, INCENTIVES = legacy_costs(), standard_incentives()
@@ -114,7 +115,7 @@ def retrofit_net_cost_summary(spark, sf_dir):
 
     Five segments hold everything, so the exact any-size percentiles are used.
     """
-    long = _stacked(_savings(spark, sf_dir), ["c_mktsegment"], _MAIN)
+    long = cut_lineage(_stacked(_savings(spark, sf_dir), ["c_mktsegment"], _MAIN))
     s = distribution_summary(long, ["c_mktsegment", "quantity"], "v")
     return s.select("c_mktsegment", "quantity", *[fixed(F.col(c), 2).alias(c) for c in _STATS_SQL])
 
@@ -161,7 +162,8 @@ def retrofit_views_per_building(spark, sf_dir):
     )
 )
 def payback_cutoffs(spark, sf_dir):
-    df = _savings(spark, sf_dir).filter("saving_usd > 0 AND cost_Total > 0")
+    df = fence(_savings(spark, sf_dir), ["payback", "saving_usd", "cost_Total"]).filter("saving_usd > 0 AND cost_Total > 0")
+    df = cut_lineage(df.select("payback"))  # three passes read the result, not the ensemble
     got = exact_percentiles(df, [], "payback", {"p10": 0.1, "p90": 0.9})
     return got.select(*[fixed(F.col(c), 3).alias(c) for c in ("p10", "p90")])
 

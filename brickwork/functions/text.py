@@ -39,3 +39,14 @@ def derive(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Add or replace columns given as SQL text, reading the columns of ``df``."""
     kept = [f"`{c}`" for c in df.columns if c not in columns]
     return df.selectExpr(*kept, *[f"{text} AS `{name}`" for name, text in columns.items()])
+
+
+def fence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The named columns behind a generator, which filters are not pushed through.
+
+    A filter on a column at the end of a deep chain of derived columns would be
+    rewritten in terms of the first columns of the chain, multiplying its size
+    at every step.  Filter behind the fence instead.
+    """
+    fields = ", ".join(f"`{c}`" for c in columns)
+    return df.selectExpr(f"inline(array(struct({fields})))")
