@@ -13,6 +13,7 @@ from brickwork.operators import validation as v
 from brickwork.sources import tables as src
 
 REGISTRY = Registry()
+MAX_OPTIONS = 1000
 
 
 @REGISTRY.add("SELECT o_orderkey, 'study/iter-000' AS experiment_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS sort_index, o_orderpriority FROM orders")
@@ -64,13 +65,13 @@ def imputed_dimensions(spark, sf_dir):
 
 
 @REGISTRY.add(
-    "SELECT l_orderkey, count(*) AS n, sum(floor(l_quantity/3.5::DOUBLE))::BIGINT AS floors FROM lineitem GROUP BY l_orderkey"
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, floor(l_quantity/3.5::DOUBLE)::BIGINT AS f0, floor(l_quantity*l_tax/3.5::DOUBLE)::BIGINT AS f1, NULL::BIGINT AS f2 FROM lineitem"
 )
-def neighbor_floor_counts(spark, sf_dir):
-    """Element-wise floors of a height array (an order's line quantities)."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("h"))
-    floors = F.aggregate(b.floors_of(F.col("h"), 3.5), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return li.select("l_orderkey", F.size("h").cast("bigint").alias("n"), floors.alias("floors"))
+def neighbor_floor_arrays(spark, sf_dir):
+    """Element-wise floors of a height array with a missing element."""
+    h = F.array(F.col("l_quantity"), F.col("l_quantity") * F.col("l_tax"), F.lit(None).cast("double"))
+    got = table(spark, sf_dir, "lineitem").withColumn("f", b.floors_of(h, 3.5))
+    return got.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", *[F.col("f")[i].alias(f"f{i}") for i in range(3)])
 
 
 _TYPO = "CASE p_brand WHEN 'Brand#1' THEN 'Residential MF' WHEN 'Brand#2' THEN 'Multi Residential 3 units' WHEN 'Brand#3' THEN 'Commercial multi' ELSE 'Residential' END"
@@ -281,7 +282,9 @@ def option_product(spark, sf_dir):
     """Grid of options: explosion of a literal list over distinct option rows."""
     o = table(spark, sf_dir, "orders")
     n = o.count()
-    opts = [r[0] for r in o.select("o_orderpriority").distinct().orderBy("o_orderpriority").limit(1000).collect()]
+    opts = [r[0] for r in o.select("o_orderpriority").distinct().take(MAX_OPTIONS + 1)]
+    if len(opts) > MAX_OPTIONS:
+        raise ValueError("too many option levels for a literal grid")
     g = table(spark, sf_dir, "region").select("r_name")
     from brickwork.operators.heat_balance import option_grid
 

@@ -1,3 +1,137 @@
-from brickwork.catalog.base import Registry
+"""Encoding, metrics, convergence and boosted surrogates over lineitem."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brickwork.catalog.base import Registry, sql_fixed, table
+from brickwork.functions.rounding import fixed
+from brickwork.operators import surrogate as s
+from brickwork.plans import training as plan
+from brickwork.session import checkpoint_root
 
 REGISTRY = Registry()
+_NUM = ("p_size", "p_retailprice")
+_CAT = ("p_type", "p_brand")
+
+
+@REGISTRY.add(" UNION ALL ".join(f"SELECT '{c}' AS feature, string_agg(v, '|' ORDER BY v) AS options FROM (SELECT DISTINCT {c} AS v FROM part)" for c in _CAT))
+def categorical_domains(spark, sf_dir):
+    return s.categorical_domains(table(spark, sf_dir, "part"), _CAT).withColumn("options", F.array_join("options", "|"))
+
+
+@REGISTRY.add(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {sql_fixed(f'floor(min({c})*1000.0::DOUBLE)/1000.0::DOUBLE')} AS low, {sql_fixed(f'ceil(max({c})*1000.0::DOUBLE)/1000.0::DOUBLE')} AS high FROM part WHERE p_partkey % 5 <> 0" for c in _NUM
+    )
+)
+def numeric_bounds_on_train(spark, sf_dir):
+    got = s.numeric_bounds(table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0"), _NUM)
+    return got.withColumns({"low": fixed(F.col("low")), "high": fixed(F.col("high"))})
+
+
+@REGISTRY.add(
+    "WITH t AS (SELECT * FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT floor(min(p_size)*1000.0::DOUBLE)/1000 a, ceil(max(p_size)*1000.0::DOUBLE)/1000 b, floor(min(p_retailprice)*1000.0::DOUBLE)/1000 c, ceil(max(p_retailprice)*1000.0::DOUBLE)/1000 d FROM t), "
+    "o AS (SELECT list(DISTINCT p_type ORDER BY p_type) AS o FROM part) "
+    f"SELECT p_partkey, (list_position(o, p_type) - 1)::DOUBLE AS p_type, {sql_fixed('(p_size-a)/(b-a)')} AS p_size, {sql_fixed('(p_retailprice-c)/(d-c)')} AS p_retailprice FROM part, b, o"
+)
+def encoded_features(spark, sf_dir):
+    """Feature space learned on the training rows and applied to all."""
+    p = table(spark, sf_dir, "part")
+    space = s.learn_space(p, p.filter("p_partkey % 5 <> 0"), ["p_type", "p_size", "p_retailprice"], ["p_type"])
+    return space.encode(p, ["p_partkey"]).withColumns({c: fixed(F.col(c)) for c in _NUM})
+
+
+_PRED = "SELECT l_returnflag AS target, l_linestatus AS stratum, l_orderkey % 3 AS fold, l_extendedprice AS y, l_quantity*1500 AS p FROM lineitem"
+_METRIC_SQL = {
+    "mae": "avg(abs(p-y))", "rmse": "sqrt(avg((p-y)*(p-y)))", "r2": "1 - avg((p-y)*(p-y))/var_pop(y)",
+    "cvrmse": "sqrt(avg((p-y)*(p-y)))/(avg(y)+1e-5)", "mape": "avg(abs(p-(y+1e-5))/greatest(abs(y+1e-5), 2.220446049250313e-16))",
+}
+
+
+def _pred(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag AS target", "l_linestatus AS stratum", "l_orderkey % 3 AS fold", "l_extendedprice AS target_value", "l_quantity * 1500 AS prediction"
+    )
+
+
+@REGISTRY.add(f"SELECT target, stratum, {', '.join(f'{sql_fixed(e, 4)} AS {k}' for k, e in _METRIC_SQL.items())} FROM ({_PRED}) GROUP BY GROUPING SETS ((target, stratum), (target))")
+def stratum_and_global_metrics(spark, sf_dir):
+    got = s.regression_metrics(_pred(spark, sf_dir), ["target"], "stratum")
+    return got.select("target", "stratum", *[fixed(F.col(k), 4).alias(k) for k in _METRIC_SQL])
+
+
+_LONG = f"SELECT target, stratum, fold, {', '.join(f'{e} AS {k}' for k, e in _METRIC_SQL.items())} FROM ({_PRED}) GROUP BY ALL"
+_AVG = "SELECT target, stratum, metric, avg(value) AS value FROM (UNPIVOT l ON mae, rmse, r2, cvrmse, mape INTO NAME metric VALUE value) GROUP BY ALL"
+
+
+def _averages(spark, sf_dir):
+    per = s.regression_metrics(_pred(spark, sf_dir), ["target", "stratum", "fold"])
+    long = s.long_metrics(per, ["target", "stratum", "fold"]).withColumns({"split": F.lit("test"), "measurement": F.lit("Energy")})
+    return s.fold_average(long)
+
+
+@REGISTRY.add(f"WITH l AS ({_LONG}), a AS ({_AVG}) SELECT target, stratum, metric, {sql_fixed('value', 4)} AS value FROM a")
+def fold_averaged_metrics(spark, sf_dir):
+    return _averages(spark, sf_dir).select("target", "stratum", "metric", fixed(F.col("value"), 4).alias("value"))
+
+
+_TH = {"mae": 12500.0, "rmse": 1.0, "mape": 0.01, "r2": 0.55, "cvrmse": 0.01}
+_OK = "CASE metric " + " ".join(f"WHEN '{k}' THEN value {'>' if k == 'r2' else '<'} {t!r}" for k, t in _TH.items()) + " END"
+
+
+@REGISTRY.add(f"WITH l AS ({_LONG}), a AS ({_AVG}) SELECT stratum, target, bool_or({_OK}) AS converged FROM a GROUP BY stratum, target")
+def convergence_per_target(spark, sf_dir):
+    return s.converged_pairs(_averages(spark, sf_dir), _TH)
+
+
+@REGISTRY.add(f"WITH l AS ({_LONG}), a AS ({_AVG}), c AS (SELECT stratum, target, bool_or({_OK}) AS c FROM a GROUP BY stratum, target) SELECT bool_and(c) AS converged FROM c")
+def convergence_overall(spark, sf_dir):
+    return s.converged(s.converged_pairs(_averages(spark, sf_dir), _TH))
+
+
+FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]
+QUICK = plan.Boosting(rounds=5, depth=4, subsample=1.0, column_share="all")
+
+
+def _training_rows(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", *FEATURES, "l_linestatus AS stratum", "l_extendedprice / 1000 AS Energy_Heating", "l_extendedprice * l_tax / 1000 AS Peak_Heating"
+    )
+
+
+@REGISTRY.add()
+def boosted_fold_metrics(spark, sf_dir):
+    """Two folds, two targets: train and test metrics per stratum and overall."""
+    data = plan.assign_folds(_training_rows(spark, sf_dir), "stratum", ["l_orderkey", "l_linenumber", "l_partkey"], 2)
+    _, metrics = plan.cross_validate(
+        data, 2, features=FEATURES, categorical=["l_returnflag"], targets=["Energy_Heating", "Peak_Heating"], stratum="stratum", boosting=QUICK
+    )
+    return metrics
+
+
+@REGISTRY.add()
+def boosted_learning_curve(spark, sf_dir):
+    data = plan.assign_folds(_training_rows(spark, sf_dir), "stratum", ["l_orderkey", "l_linenumber", "l_partkey"], 4)
+    return plan.learning_curve(
+        data, [0.25, 1.0], ["l_orderkey", "l_linenumber", "l_partkey"], features=FEATURES, categorical=["l_returnflag"],
+        targets=["Energy_Heating"], stratum="stratum", boosting=QUICK,
+    )
+
+
+@REGISTRY.add()
+def progressive_training_study(spark, sf_dir):
+    """Sample customers, run a closed-form leaf, train, test convergence, repeat."""
+    import uuid
+
+    population = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "stratum").withColumn("stratum", F.col("stratum") % 3)
+
+    def simulate(specs, iteration):
+        return specs.selectExpr("spec_id", "stratum", "c_acctbal", "c_mktsegment", "c_acctbal / 100 + length(c_mktsegment) AS Energy_Heating")
+
+    n = population.count()
+    return plan.progressive_training(
+        population, "c_custkey", "stratum", simulate, ["c_acctbal", "c_mktsegment"], ["c_mktsegment"], ["Energy_Heating"],
+        f"{checkpoint_root(spark)}/study-{uuid.uuid4().hex}", "customers",
+        plan.Progress(n_init=n, n_per_iter=n, min_per_stratum=10, max_iters=2, folds=2), QUICK,
+    )
