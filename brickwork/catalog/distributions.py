@@ -15,13 +15,13 @@ _SQL = {"mean": "avg({v})", "std": "stddev_samp({v})", "min": "min({v})", "max":
 
 
 def _sql(key: str, value: str, tab: str) -> str:
-    return f"SELECT {key}, " + ", ".join(f"{sql_fixed(e.format(v=value), 3)} AS {k}" for k, e in _SQL.items()) + f" FROM {tab} GROUP BY {key}"
+    return f"SELECT {key}, " + ", ".join(f"{sql_fixed(e.format(v=value), 5)} AS {k}" for k, e in _SQL.items()) + f" FROM {tab} GROUP BY {key}"
 
 
 @REGISTRY.add(_sql("o_orderpriority", "o_totalprice", "orders"))
 def distribution_by_group(spark, sf_dir):
     got = s.distribution_summary(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
-    return got.select("o_orderpriority", *[fixed(F.col(c), 3).alias(c) for c in _SQL])
+    return got.select("o_orderpriority", *[fixed(F.col(c), 5).alias(c) for c in _SQL])
 
 
 @REGISTRY.add(_sql("l_returnflag", "l_quantity", "lineitem"))
@@ -30,7 +30,7 @@ def distribution_with_ties(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     got = s.exact_percentiles(li, ["l_returnflag"], "l_quantity", accuracy=1000)
     mom = li.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("mean"), F.stddev_samp("l_quantity").alias("std"), F.min("l_quantity").alias("min"), F.max("l_quantity").alias("max"))
-    return mom.join(got, "l_returnflag").select("l_returnflag", *[fixed(F.col(c), 3).alias(c) for c in _SQL])
+    return mom.join(got, "l_returnflag").select("l_returnflag", *[fixed(F.col(c), 5).alias(c) for c in _SQL])
 
 
 @REGISTRY.add(_sql("l_linestatus", "l_extendedprice", "lineitem"))
@@ -39,7 +39,7 @@ def distribution_bracketed(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     got = s.exact_percentiles(li, ["l_linestatus"], "l_extendedprice", accuracy=1000)
     mom = li.groupBy("l_linestatus").agg(F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_extendedprice").alias("std"), F.min("l_extendedprice").alias("min"), F.max("l_extendedprice").alias("max"))
-    return mom.join(got, "l_linestatus").select("l_linestatus", *[fixed(F.col(c), 3).alias(c) for c in _SQL])
+    return mom.join(got, "l_linestatus").select("l_linestatus", *[fixed(F.col(c), 5).alias(c) for c in _SQL])
 
 
 @REGISTRY.add()

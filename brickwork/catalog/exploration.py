@@ -99,11 +99,11 @@ def counts_in_steps_of_25(spark, sf_dir):
 
 
 @REGISTRY.add(
-    f"SELECT event_type, {sql_fixed('avg(value*1000.0::DOUBLE*0.316998::DOUBLE)', 3)} AS mean, {sql_fixed('quantile_cont(value*1000.0::DOUBLE*0.316998::DOUBLE, 0.5)', 3)} AS median FROM events GROUP BY 1"
+    f"SELECT event_type, {sql_fixed('avg(value*1000.0::DOUBLE*0.316998::DOUBLE)', 4)} AS mean, {sql_fixed('quantile_cont(value*1000.0::DOUBLE*0.316998::DOUBLE, 0.5)', 6)} AS median FROM events GROUP BY 1"
 )
 def peak_rate_conversion(spark, sf_dir):
     got = x.peak_rate(table(spark, sf_dir, "events"), "value", ["event_type"])
-    return got.withColumns({c: fixed(F.col(c), 3) for c in ("mean", "median")})
+    return got.withColumns({"mean": fixed(F.col("mean"), 4), "median": fixed(F.col("median"), 6)})
 
 
 @REGISTRY.add(
