@@ -37,8 +37,10 @@ def sql_sum(terms: Sequence[str]) -> str:
 
 def derive(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Add or replace columns given as SQL text, reading the columns of ``df``."""
-    kept = [f"`{c}`" for c in df.columns if c not in columns]
-    return df.selectExpr(*kept, *[f"{text} AS `{name}`" for name, text in columns.items()])
+    made = [f"{text} AS `{name}`" for name, text in columns.items()]
+    if not set(columns).intersection(df.columns):
+        return df.selectExpr("*", *made)
+    return df.selectExpr(*[f"`{c}`" for c in df.columns if c not in columns], *made)
 
 
 def fence(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -85,6 +85,10 @@ class PriorSet:
         return counts.selectExpr(f"inline(array({pairs}))").filter("n_null > 0")
 
 
+DRAWS_PER_TASK = 250_000
+MAX_TASKS = 100_000
+
+
 def expand_samples(
     df: DataFrame, n: int, key: str = "building_id", name: str = "sample_id"
 ) -> DataFrame:
@@ -93,10 +97,13 @@ def expand_samples(
     The small base table is hash-partitioned by ``key`` before the expansion, so
     all draws of a building are born in one partition and later aggregation by
     ``key`` finds its distribution already satisfied: n rows per building are
-    never shuffled.
+    never shuffled.  The number of partitions follows from the rows to be made,
+    which keeps few enough buildings per task for their percentiles to be
+    aggregated without sorting.
     """
-    spread = df.repartition(partitions_for(df.sparkSession), key)
-    return spread.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    spark = df.sparkSession
+    parts = max(partitions_for(spark), min(-(-df.count() * n // DRAWS_PER_TASK), MAX_TASKS))
+    return df.repartition(parts, key).withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 def _yes_no(yes: float, no: float, feature: str) -> Draw:

@@ -30,20 +30,23 @@ def join_null_safe(
 def _rank_in_buckets(
     df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], name: str
 ) -> DataFrame:
-    cells = [*keys, bucket]
-    counts = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = upto.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    # one struct key: NULL fields compare equal, and the window, the counts and
+    # the join all ask for the same distribution, so rows are shuffled once
+    tagged = df.withColumn("__cell", F.struct(*keys, bucket)).drop(bucket)
+    part = lambda f: F.col("__cell").getField(f)
+    counts = tagged.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*[part(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
+    earlier = upto.orderBy(part(bucket)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *cells, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
+        F.col("__cell").alias("__other"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
     )
-    inside = df.withColumn(
-        "__in", F.row_number().over(Window.partitionBy(*cells).orderBy(*order))
+    inside = tagged.withColumn(
+        "__in", F.row_number().over(Window.partitionBy("__cell").orderBy(*order))
     )
     return (
-        join_null_safe(inside, offsets, cells)
+        inside.join(offsets, F.col("__cell") == F.col("__other"))
         .withColumn(name, F.col("__in") + F.col("__before"))
-        .drop("__in", "__before", bucket)
+        .drop("__in", "__before", "__cell", "__other")
     )
 
 

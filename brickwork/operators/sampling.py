@@ -15,6 +15,9 @@ from brickwork.operators.ranking import hash_rank
 from brickwork.session import partitions_for
 
 
+DRAWS_PER_TASK = 100_000
+
+
 def resolve_stratum(df: DataFrame, field: str, aliases: Sequence[str] = ("epwzip_path", "epw_path")) -> str:
     """The stratification column: the field itself or the first alias present."""
     for name in (field, *aliases):
@@ -42,10 +45,15 @@ def sample_equally(
         keyed_df, [stratum], keyed.uniform("order"), [unique_key], "__rank"
     ).drop(*keyed.columns())
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
-    count = n if isinstance(n, Column) else F.lit(n)
-    wanted = sizes.repartition(partitions_for(df.sparkSession), stratum).withColumn(
-        draw, F.explode(F.sequence(F.lit(0), count - 1))
-    )
+    count = (n if isinstance(n, Column) else F.lit(n)).cast("bigint")
+    # two-level expansion: the draws of one stratum are themselves spread over tasks
+    last = F.floor((count - 1) / F.lit(DRAWS_PER_TASK))
+    blocks = sizes.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    spread = blocks.repartition(partitions_for(df.sparkSession), stratum, "__k")
+    first = F.col("__k") * DRAWS_PER_TASK
+    wanted = spread.withColumn(
+        draw, F.explode(F.sequence(first, F.least(first + DRAWS_PER_TASK, count) - 1))
+    ).drop("__k")
     wanted, pick = with_row_key(wanted, f"{seed}/pick", [stratum, draw])
     wanted = wanted.withColumn(
         "__rank", (F.floor(pick.uniform("pick") * F.col("__size")) + 1).cast("bigint")

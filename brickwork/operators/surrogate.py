@@ -66,7 +66,14 @@ def numeric_bounds(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     return bounds.selectExpr(f"inline(array({pairs}))")
 
 
+MAX_OPTIONS = 100_000
+
+
 def learn_space(data: DataFrame, train: DataFrame, features: Sequence[str], categorical: Sequence[str]) -> FeatureSpace:
+    if categorical:
+        pairs = ", ".join(f"struct('{c}' AS feature, `{c}` AS option)" for c in categorical)
+        if data.selectExpr(f"inline(array({pairs}))").distinct().limit(MAX_OPTIONS + 1).count() > MAX_OPTIONS:
+            raise ValueError("a categorical feature has too many values for a feature space")
     options = {r["feature"]: tuple(r["options"]) for r in categorical_domains(data, categorical).collect()} if categorical else {}
     numeric = [f for f in features if f not in categorical]
     bounds = {r["feature"]: (r["low"], r["high"]) for r in numeric_bounds(train, numeric).collect()} if numeric else {}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.pipeline import Pipeline
@@ -40,6 +42,22 @@ class FoldResult:
     space: s.FeatureSpace | None = None
     predictions: DataFrame | None = None
     metrics: DataFrame | None = None
+    encoded: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back the cached rows once the metrics are stored."""
+        if self.encoded is not None:
+            self.encoded.unpersist()
+
+
+CONCURRENT_FITS = 4
+
+
+def _together(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
+    """Run independent fits side by side; each is a chain of short Spark jobs."""
+    with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+        futures = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [f.result() for f in futures]
 
 
 def assign_folds(data: DataFrame, stratum: str, key: Sequence[str], folds: int, seed: int = 42) -> DataFrame:
@@ -82,15 +100,18 @@ def train_fold(
     named = tagged.withColumn("__stratum", F.col(stratum))
     encoded = space.encode(named, ["split", "__stratum", *targets])
     encoded = encoded.withColumn("__held", F.col("split") == "test").persist()
-    models = {t: fit_target(encoded, features, t, boosting) for t in targets}
+    encoded.count()  # cached once, then read by every target
+    jobs = [lambda t=t: fit_target(encoded, features, t, boosting) for t in targets]
+    models = dict(zip(targets, _together(data.sparkSession, jobs)))
     long = split_target_names(predict(encoded, models), targets, ["split", "__stratum"]).withColumnRenamed("__stratum", "stratum")
     scored = s.regression_metrics(long, ["split", "measurement", "target"], "stratum")
     metrics = s.long_metrics(scored, ["split", "measurement", "target", "stratum"]).withColumns({"fold": F.lit(fold), "iteration": F.lit(iteration)})
-    return FoldResult(models, space, long, metrics)
+    return FoldResult(models, space, long, metrics, encoded)
 
 
 def cross_validate(data: DataFrame, folds: int, **kw) -> tuple[list[FoldResult], DataFrame]:
-    results = [train_fold(data, i, **kw) for i in range(folds)]
+    jobs = [lambda i=i: train_fold(data, i, **kw) for i in range(folds)]
+    results = _together(data.sparkSession, jobs)
     metrics = results[0].metrics
     for r in results[1:]:
         metrics = metrics.unionByName(r.metrics)
@@ -159,12 +180,14 @@ def progressive_training(
         numeric = [f for f in features if f not in categorical]
         flat = set(near_constant_columns(merged, [*numeric, *targets]))
         data = assign_folds(merged, field_name, ["spec_id"], progress.folds)
-        _, metrics = cross_validate(
+        results, metrics = cross_validate(
             data, progress.folds, features=[f for f in features if f not in flat], categorical=categorical,
             targets=[t for t in targets if t not in flat], stratum=field_name, iteration=it, boosting=boosting,
         )
         average = s.fold_average(metrics.filter("stratum IS NOT NULL")).withColumn("iteration", F.lit(it))
         average = spark.read.parquet(write_stage(average, root, experiment_id, it, "fold-averaged-errors"))
+        for r in results:
+            r.release()
         done = bool(s.converged(s.converged_pairs(average, progress.thresholds)).first()["converged"])
         average = average.withColumn("converged", F.lit(done))
         history = average if history is None else history.unionByName(average)

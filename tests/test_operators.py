@@ -161,3 +161,21 @@ def test_density_integrates(spark):
     rows = sorted((r["x"], r["density"]) for r in explore.kernel_density(df, "v", 40).collect())
     step = rows[1][0] - rows[0][0]
     assert 0.85 < sum(y for _, y in rows) * step < 1.05
+
+
+def test_rank_keeps_null_strata_and_shuffles_rows_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(400).selectExpr("id", "CASE WHEN id % 4 <> 0 THEN id % 4 END AS s")
+        rows, k = with_row_key(df, 2, ["id"])
+        got = ranking.hash_rank(rows, ["s"], k.uniform("o"), ["id"], "r", buckets=8)
+        assert {(r["s"], r["m"]) for r in got.groupBy("s").agg(F.max("r").alias("m")).collect()} == {(None, 100), (1, 100), (2, 100), (3, 100)}
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        left = plan.split("SortMergeJoin")[1].split("\n+- ")[0]
+        assert "SortMergeJoin" in plan and left.count("Exchange hashpartitioning(__cell") >= 1
+        assert "row_number()" in left
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
