@@ -289,3 +289,21 @@ def option_product(spark, sf_dir):
     from brickwork.operators.heat_balance import option_grid
 
     return option_grid(g, {"o_orderpriority": opts, "status": ["F", "O", "P"]}).withColumn("n_orders", F.lit(n).cast("bigint"))
+
+
+@REGISTRY.add(
+    "SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND value > 3 AND user_id > 5 AND contains(props, '1')"
+)
+def cross_section_and_masks(spark, sf_dir):
+    """One level value selected and dropped, size masks and a text mask; all reach the scan."""
+    e = table(spark, sf_dir, "events").filter((F.col("event_type") == "click") & (F.col("value") > 3) & (F.col("user_id") > 5))
+    return e.filter(F.col("props").contains("1")).select("event_id", "user_id", "value")
+
+
+@REGISTRY.add(
+    "WITH c AS (SELECT o_orderkey % 7 AS k, CASE WHEN o_custkey % 3 = 0 THEN 'a' END AS label, o_totalprice AS v FROM orders) SELECT k, label, count(*) AS n FROM c GROUP BY ALL ORDER BY k, label"
+)
+def sorted_group_sizes(spark, sf_dir):
+    """Sizes per level, sorted; a missing level is a group of its own."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 7 AS k", "CASE WHEN o_custkey % 3 = 0 THEN 'a' END AS label")
+    return o.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("k", "label")

@@ -91,3 +91,22 @@ def test_progressive_loop_stops(spark, tmp_path):
 def test_registry_is_consistent():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 90
+
+
+def test_manifest(spark):
+    from brickwork.plans.manifest import manifest
+
+    sq = lambda x, y, w=8.0: [{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w, "y": y + 6.0}, {"x": x, "y": y + 6.0}]
+    rows = [(1, "EPSG:3857", sq(0.0, 0.0), "SFH", 7.0), (2, "EPSG:3857", sq(20.0, 0.0), "MFH", None), (3, "EPSG:3857", sq(900.0, 0.0), "SFH", 10.6)]
+    foot = spark.createDataFrame(rows, "id long, crs string, ring array<struct<x:double,y:double>>, Typology string, h double")
+    st = spark.createDataFrame([(0, "a.zip", 0.0, 0.0), (1, "b.zip", 1000.0, 0.0)], "station_id long, path string, x double, y double")
+    got = {r["id"]: r for r in manifest(foot, st, "id", "exp", {"Typology": ["SFH", "MFH"]}, height="h").collect()}
+    assert len(got) == 3 and [got[i]["sort_index"] for i in (1, 2, 3)] == [0, 1, 2]
+    assert got[1]["neighbor_heights"] == [7.0] and got[2]["neighbor_heights"] == [7.0] and got[3]["neighbor_polys"] == []
+    assert got[3]["epwzip_uri"].endswith("b.zip") and got[3]["num_floors"] == 3 and got[1]["long_edge"] == pytest.approx(8)
+    with pytest.raises(ValueError):
+        manifest(foot, st, "id", "exp", {"Typology": ["SFH"]}, height="h")
+    with pytest.raises(ValueError):
+        manifest(foot, st.filter("station_id = 1"), "id", "exp", {"Typology": ["SFH", "MFH"]}, height="h", max_station_distance=100.0)
+    with pytest.raises(ValueError):
+        manifest(foot.withColumn("crs", F.lit(None).cast("string")), st, "id", "exp", {"Typology": ["SFH", "MFH"]}, height="h")
