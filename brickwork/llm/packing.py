@@ -38,6 +38,8 @@ QUANTUM = 512
 END_ID = 1
 #: Tokens of one period, the unit of parallel work.
 PERIOD = 1 << 18
+#: Most rows of queue positions that are broadcast.
+PLACES = 200_000
 #: Bytes of token ids in one Arrow batch.
 BATCH_BYTES = 8 << 20
 
@@ -229,7 +231,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int
     table = stored(tokenized(docs, vocabulary, ranks, end_id), "tokens")
     id_type = docs.schema["doc_id"].dataType
     out = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-    by_part = table.groupBy("queue", "part").agg(F.sum("tokens").alias("sum"))
+    by_part = stored(table.groupBy("queue", "part").agg(F.sum("tokens").alias("sum")), "token-sums")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = by_part.select(
         "queue",
@@ -237,9 +239,11 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, window: int
         F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"),
         F.sum("sum").over(Window.partitionBy("queue")).alias("total"),
     )
-    all_tokens = by_part.agg(F.sum("sum")).first()[0]
+    all_tokens, rows = by_part.agg(F.sum("sum"), F.count("*")).first()
     if all_tokens is None:
         return spark.createDataFrame([], out)
+    # One row for each task and queue: sent to the tasks if small, else joined by a shuffle.
+    places = F.broadcast(places) if rows <= PLACES else places
     periods = -(-all_tokens // period)
     placed = table.join(places, ["queue", "part"]).withColumn("lo", F.col("base") + F.col("start"))
     narrow = "period long, queue string, total long, lo long, start long, length long"
