@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickwork.functions.text import fence
 from brickwork.llm.shared import SPACE
 
 WINDOW = 8
@@ -78,7 +79,14 @@ def _covered(at: Column) -> Column:
 def judged(docs: DataFrame) -> DataFrame:
     """``docs`` as the struct ``doc``, its counts, ``clean_text`` and the verdicts.
 
-    Steps that later ones use twice are columns of their own, so that they are
+    Filters on the result are not pushed into the steps, which would repeat them.
+    """
+    rows = _judged(docs)
+    return fence(rows, rows.columns)
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """Steps that later ones use twice are columns of their own, so that they are
     computed once for a row.
     """
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
@@ -128,7 +136,7 @@ def judged(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged(docs.select("doc_id", "text")).select("doc.doc_id", *names)
+    return fence(_judged(docs.select("doc_id", "text")).select("doc.doc_id", *names), ("doc_id", *names))
 
 
 _SQL_BOILERPLATE = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)

@@ -137,7 +137,7 @@ def fit_model(grams: dict[str, tuple[np.ndarray, np.ndarray]], discount: float =
             if order > 1:
                 shorter[language] = np.unique(g[:, 1:], axis=0, return_counts=True)
         types = shorter
-    model = Model(languages, [], [], [SortedHashes(np.zeros(0))], [np.zeros((0, len(languages)), np.float32)], np.log(floor).astype(np.float32))
+    model = Model(languages, [], [], [SortedHashes(np.zeros(0))], [np.zeros((1, len(languages)), np.float32)], np.log(floor).astype(np.float32))
     below = None
     for order in range(1, ORDER + 1):
         level = levels[order - 1]
@@ -171,7 +171,9 @@ def fit_model(grams: dict[str, tuple[np.ndarray, np.ndarray]], discount: float =
         model.grams.append(table)
         last = np.zeros((1, len(languages)))
         model.log_p.append(np.concatenate([np.log(p), last]).astype(np.float32))
-        if order > 1:
+        if order == 1:
+            model.log_floor = np.log(floor * weight[0]).astype(np.float32)
+        else:
             model.contexts.append(contexts)
             model.log_weight.append(np.concatenate([np.log(weight), last]).astype(np.float32))
         below = (table, p)
@@ -187,7 +189,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.setdefault(language, Counter()).update(line[i : i + ORDER] for i in range(1, len(line) - ORDER + 1))
     for language, own in counts.items():
         yield pa.RecordBatch.from_arrays(
-            [pa.array([language] * len(own)), pa.array([g.encode("utf-32-le", "surrogatepass") for g in own], pa.binary()), pa.array(list(own.values()), pa.int64())],
+            [pa.array([language] * len(own), pa.string()), pa.array([g.encode("utf-32-le", "surrogatepass") for g in own], pa.binary()), pa.array(list(own.values()), pa.int64())],
             names=["lang", "gram", "n"],
         )
 

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickwork.functions.text import fence
+
 #: What separates words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words that a file looks up, those with the highest inverse frequency first.
@@ -174,7 +176,7 @@ def scan(docs: DataFrame, notices=NOTICES, lookups: int = LOOKUPS, least_idf: fl
     every = F.concat(*base)
     n_base = F.size(every).cast("long")
     best = F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0))
-    return rows.select(
+    rows = rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         n_base.alias("n_base"),
@@ -185,3 +187,5 @@ def scan(docs: DataFrame, notices=NOTICES, lookups: int = LOOKUPS, least_idf: fl
         F.when(n_base > 0, F.lit(1.0)).otherwise(best).alias("score"),
         "found",
     )
+    # Filters on the result are not pushed into the steps, which would repeat them.
+    return fence(rows, rows.columns)
