@@ -36,6 +36,7 @@ from brickwork.llm.tagger import KINDS, WIDTH
 TRAIN_DOCS = 4000
 TRAIN_WINDOWS = 1500
 TRAIN_STEPS = 300
+BATCH_WINDOWS = 64
 STRIDE = WIDTH // 2
 #: Windows decoded at once.
 BATCH = 2048
@@ -255,7 +256,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TR
     if not len(parts[0]):
         return None
     x, y = (np.frombuffer(b"".join(c for p in parts for c in p[name]), np.uint8).reshape(-1, WIDTH) for name in "xy")
-    return tagger.fit(x, y.astype(np.int64), epochs=max(2, TRAIN_STEPS * 64 // len(x)))
+    return tagger.fit(x, y.astype(np.int64), epochs=-(-TRAIN_STEPS // -(-len(x) // BATCH_WINDOWS)), batch=BATCH_WINDOWS)
 
 
 def find(docs: DataFrame, model: dict | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

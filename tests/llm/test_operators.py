@@ -444,7 +444,8 @@ def test_base_spans_equal_their_patterns():
 
 
 @pytest.mark.parametrize("name", ["docs", "odd"])
-def test_personal_data(name, request):
+def test_personal_data(name, request, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_STEPS", 10)
     df = request.getfixturevalue(name)
     got = pii.scanned(df)
     want = sorted(((r.doc_id, hashlib.sha256(",".join(brute_spans(r.text)).encode()).hexdigest()) for r in df.collect()), key=repr)
@@ -477,7 +478,7 @@ def test_tagger_gradient():
 def test_tagger_finds_other_forms():
     g = np.random.default_rng(2)
     lines = []
-    for _ in range(300):
+    for _ in range(200):
         n = "".join(map(str, g.integers(0, 10, 10)))
         lines.append(" ".join([*g.choice(["the", "of", "and", "words", "here"], 4), f"+1 ({n[:3]}) {n[3:6]}-{n[6:]}", *g.choice(["that", "of", "is"], 3)]))
 
@@ -489,7 +490,7 @@ def test_tagger_finds_other_forms():
 
     (made,) = pii._labelled_windows([Batch()])
     x, y = (np.frombuffer(b"".join(made.column(k).to_pylist()), np.uint8).reshape(-1, tagger.WIDTH) for k in (0, 1))
-    model = tagger.fit(x, y.astype(np.int64), epochs=30)
+    model = tagger.fit(x, y.astype(np.int64), epochs=15)
     text = "words and here (415) 555-0182 of the"
     starts = pii.window_starts(text)
     found = pii.reconcile(len(text), starts, tagger.decode(model, pii.windows_of(text, starts)))
@@ -499,7 +500,8 @@ def test_tagger_finds_other_forms():
 # --- pipeline
 
 
-def test_pipeline_stages(spark, sf, odd):
+def test_pipeline_stages(spark, sf, odd, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_STEPS", 10)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     left = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
