@@ -56,7 +56,7 @@ def beam_search(graph: np.ndarray, vectors: np.ndarray, to: np.ndarray, entries:
     """Numbers and squared distances [q, beam] of what greedy searches found, nearest first."""
     q = len(to)
     ids = np.full((q, beam), -1, np.int32)
-    start = min(entries, beam)
+    start = min(entries, beam, len(vectors))
     ids[:, :start] = np.arange(start)
     far = _distances(vectors, ids, to)
     done = np.zeros((q, beam), bool)

@@ -44,6 +44,12 @@ PLACES = 200_000
 BATCH_BYTES = 8 << 20
 
 
+def _tokenizer(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
 class Encoder:
     """Token ids of whole texts by a byte-level BPE vocabulary.
 
@@ -52,12 +58,9 @@ class Encoder:
     file itself, which alone knows such tokens.
     """
 
-    def __init__(self, vocabulary: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.fast = None
+    def __init__(self, vocabulary: str, ranks: str | None, special: tuple[str, ...]):
+        self.vocabulary, self.special = vocabulary, special
+        self.full = self.fast = None
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -70,6 +73,8 @@ class Encoder:
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
+            # Loaded when first needed, as it takes far more memory than the ranks.
+            self.full = self.full or _tokenizer(self.vocabulary)
             return self.full.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -90,9 +95,10 @@ def _token_schema(id_type: T.DataType) -> T.StructType:
 def tokenized(docs: DataFrame, vocabulary: str, ranks: str | None, end_id: int = END_ID) -> DataFrame:
     """One row per document: ids as little-endian uint32, and its place in its part of the queue."""
     schema = _token_schema(docs.schema["doc_id"].dataType)
+    special = tuple(t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, ranks)
+        encoder = Encoder(vocabulary, ranks, special)
         part = TaskContext.get().partitionId()
         done: dict[str, int] = {}
         for batch in batches:

@@ -39,7 +39,7 @@ TRAIN_STEPS = 300
 BATCH_WINDOWS = 64
 STRIDE = WIDTH // 2
 #: Windows decoded at once.
-BATCH = 2048
+BATCH = 512
 
 # The patterns of the base spans.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -291,7 +291,7 @@ def find(docs: DataFrame, model: dict | None, carry: tuple[str, ...] = ("doc_id"
                 if starts:
                     held.append((i, text, starts))
                     count += len(starts)
-                    if count >= 2 * BATCH:
+                    if count >= 8 * BATCH:
                         settle()
                         held, count = [], 0
             if held:
