@@ -86,7 +86,6 @@ class PriorSet:
 
 
 DRAWS_PER_TASK = 250_000
-MAX_TASKS = 100_000
 
 
 def expand_samples(
@@ -102,7 +101,7 @@ def expand_samples(
     aggregated without sorting.
     """
     spark = df.sparkSession
-    parts = max(partitions_for(spark), min(-(-df.count() * n // DRAWS_PER_TASK), MAX_TASKS))
+    parts = max(partitions_for(spark), -(-df.count() * n // DRAWS_PER_TASK))
     return df.repartition(parts, key).withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 

@@ -144,7 +144,7 @@ LEGACY_COSTS = (
     ("Equipment", None, "HighEfficiencyEquipment", {"fixed_cost": 4250.0}),
     ("DHW", "ElectricResistanceDHW", "HPWH", {"fixed_cost": 3000.0}),
     ("DHW", "NaturalGasDHW", "HPWH", {"fixed_cost": 3200.0}),
-    ("DHW", "NaturalGasDHWCombo", "HPWH", {"fixed_cost": 3200.0}),
+    ("DHW", "NaturalGasHeatingDHWCombo", "HPWH", {"fixed_cost": 3200.0}),
     ("Heating", None, "ASHPHeating", {"fixed_cost": 18000.0}),
     ("Heating", None, "GSHPHeating", {"fixed_cost": 18000.0}),
     ("Cooling", None, "ASHPCooling", {"fixed_cost": 18000.0}),

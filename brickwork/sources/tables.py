@@ -146,17 +146,27 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_frames(frames: Mapping[str, DataFrame], root: str, *, save_errors: bool = False, existing: str = "forbid") -> dict[str, str]:
-    """One parquet dataset per key; error tables only on request."""
+    """One parquet dataset per key; error tables only on request.
+
+    With ``existing="forbid"`` all places are looked at before the first is written,
+    so a refused call leaves nothing behind.
+    """
     mode = {"forbid": "errorifexists", "overwrite": "overwrite"}[existing]
-    written = {}
-    for key, df in frames.items():
-        if "error" in key.lower() and not save_errors:
-            continue
-        written[key] = f"{root}/{key}"
-        df.write.mode(mode).parquet(written[key])
+    written = {k: f"{root}/{k}" for k in frames if save_errors or "error" not in k.lower()}
+    if existing == "forbid":
+        there = [p for k, p in written.items() if _exists(frames[k].sparkSession, p)]
+        if there:
+            raise FileExistsError(", ".join(there))
+    for key, path in written.items():
+        frames[key].write.mode(mode).parquet(path)
     return written
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_frames(spark: SparkSession, root: str, keys: Sequence[str]) -> dict[str, DataFrame]:
     return {k: spark.read.parquet(f"{root}/{k}") for k in keys}
 
