@@ -10,7 +10,8 @@ weighted back to the classes' shares; scoring reads whole texts.
 
 Defined results: null and empty texts get the bias alone; without labelled rows
 every score is 0.5 less a hair (predicted 0); repeated label rows of an id count
-as its largest label; an empty table gives an empty result; other columns are ignored.
+as its largest label, and labels above 0 as 1; of repeated texts of an id the
+smallest is learned, and all are scored; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,14 +83,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights learned from (doc_id, text) and (doc_id, label); see ``fit``."""
-    labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label"))
     found = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     if not found:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), -1e-9
     share = {k: min(1.0, train_rows / n) for k, n in found.items()}
     upto = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * (1 << 30))))]), F.col("label"))
     sample = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < upto)
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("label", "text")
+    # At most two classes of ``train_rows`` ids, in expectation: small at any size of the tables.
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
     # The order of the rows must not depend on how they were dealt out.
     got = rows.mapInArrow(_features, "label int, features array<int>").toPandas()
     got["order"] = [zlib.crc32(np.asarray(f).tobytes()) for f in got["features"]]
