@@ -108,36 +108,46 @@ def register_leaf(name: str, fn: Leaf) -> None:
     LEAVES[name] = fn
 
 
+def _result_rows(frames: Mapping[str, Sequence[Mapping]]) -> list[tuple]:
+    """(key, position, numbers, texts) of every row; numpy scalars and arrays become plain values."""
+    out = []
+    for name, rows in frames.items():
+        for i, row in enumerate(rows):
+            row = {k: v.tolist() if hasattr(v, "tolist") else v for k, v in row.items()}
+            nums = {k: float(v) for k, v in row.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+            texts = {k: v if isinstance(v, str) else json.dumps(v) for k, v in row.items() if k not in nums}
+            out.append((name, i, nums, texts))
+    return out
+
+
 def run_leaf(specs: DataFrame, leaf: str | Leaf, *, key: str = "run_id", attempts: int = 3, partitions: int | None = None) -> DataFrame:
     """Apply a leaf to every spec row; failures become rows, not failed jobs.
 
     Output is long: one row per result row, or one row with ``error`` per spec
-    that kept failing.  Specs are spread evenly first because leaf time, not
-    bytes, decides the load.
+    that kept failing.  Specs are spread over ``partitions`` tasks first (by default
+    the session's shuffle partitions) because leaf time, not bytes, decides the load.
     """
     fn = LEAVES[leaf] if isinstance(leaf, str) else leaf
-    spread = specs.repartition(partitions) if partitions else specs
+    # an explicit number, because adaptive execution would merge tasks by their bytes
+    spark = specs.sparkSession
+    number = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = specs.repartition(number, key)
 
     def run(batches):
         for batch in batches:
             out = []
             for spec in batch.to_dict("records"):
-                error, frames, tried = None, {}, 0
+                run_id, error, rows, tried = str(spec[key]), None, [], 0
                 while tried < attempts:
                     tried += 1
                     try:
-                        frames, error = fn(spec), None
+                        rows, error = _result_rows(fn(spec)), None
                         break
                     except Exception as exc:  # noqa: BLE001
                         error = f"{type(exc).__name__}: {exc}"
-                run_id = str(spec[key])
                 if error is not None:
                     out.append((run_id, None, None, None, None, error, tried))
-                for name, rows in frames.items():
-                    for i, row in enumerate(rows):
-                        nums = {k: float(v) for k, v in row.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
-                        texts = {k: v if isinstance(v, str) else json.dumps(v) for k, v in row.items() if k not in nums}
-                        out.append((run_id, name, i, nums, texts, None, tried))
+                out += [(run_id, *row, None, tried) for row in rows]
             yield pd.DataFrame(out, columns=["run_id", "key", "row_ix", "values", "labels", "error", "attempts"])
 
     return spread.mapInPandas(run, RESULT_SCHEMA)

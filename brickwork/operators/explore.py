@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickwork.operators.ranking import join_null_safe
 from brickwork.operators.summary import exact_percentiles
 
 
@@ -20,10 +21,28 @@ def _bin(value: Column, low: float, high: float, bins: int) -> Column:
     return F.least(F.floor((value - F.lit(low)) / F.lit((high - low) / bins)).cast("int"), F.lit(bins - 1))
 
 
+def _known(df: DataFrame, *values: str) -> DataFrame:
+    """Rows whose values are neither NULL nor NaN."""
+    for v in values:
+        df = df.filter(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")))
+    return df
+
+
+def _ranges(df: DataFrame, *values: str) -> list[tuple[float, float]]:
+    """(low, high) per column; a single value gets half a unit on either side, no value (0, 1)."""
+    row = df.agg(*[f(v).cast("double") for v in values for f in (F.min, F.max)]).first()
+    out = []
+    for low, high in zip(row[::2], row[1::2]):
+        if low is None:
+            low, high = 0.0, 1.0
+        out.append((low - 0.5, high + 0.5) if low == high else (low, high))
+    return out
+
+
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Equal-width histogram over the data range, empty bins included."""
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    inside = df.filter(F.col(value).isNotNull())
+    """Equal-width histogram over the data range, empty bins included; NULL and NaN are left out."""
+    inside = _known(df, value)
+    [(low, high)] = _ranges(inside, value)
     counts = inside.groupBy(_bin(F.col(value), low, high, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     step = (high - low) / bins
@@ -33,8 +52,9 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
-    """Counts per occupied cell of an equal-width grid."""
-    x0, x1, y0, y1 = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    """Counts per occupied cell of an equal-width grid; rows without both values are left out."""
+    df = _known(df, x, y)
+    (x0, x1), (y0, y1) = _ranges(df, x, y)
     return df.groupBy(_bin(F.col(x), x0, x1, bins).alias("x_bin"), _bin(F.col(y), y0, y1, bins).alias("y_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -42,15 +62,15 @@ def kernel_density(df: DataFrame, value: str, points: int, keys: Sequence[str] =
     """Gaussian density on an even grid over the data range, Scott bandwidth.
 
     Every grid point is one aggregate of the same scan: rows are not multiplied
-    by the grid, and a task ships ``points`` partial sums per group.
+    by the grid, and a task ships ``points`` partial sums per group.  NULL keys
+    are a group; a group without spread has NULL densities.
     """
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    df = _known(df, value)
+    [(low, high)] = _ranges(df, value)
     grid = [low + (high - low) * i / (points - 1) for i in range(points)]
-    band = df.groupBy(*keys).agg((F.stddev_samp(value) * F.pow(F.count(value), F.lit(-0.2))).alias("h"))
-    if keys:
-        df = df.join(band, list(keys))
-    else:
-        df = df.withColumn("h", F.lit(band.first()["h"]))
+    spread = F.nullif(F.stddev_samp(value), F.lit(0.0))
+    band = df.groupBy(*keys).agg((spread * F.pow(F.count(value), F.lit(-0.2))).alias("h"))
+    df = join_null_safe(df, band, keys) if keys else df.crossJoin(F.broadcast(band))  # one row
     z = [f"avg(exp(-0.5D * pow((`{value}` - {g!r}D) / h, 2)) / (h * {math.sqrt(2 * math.pi)!r}D)) AS d{i}" for i, g in enumerate(grid)]
     wide = df.groupBy(*keys).agg(*[F.expr(e) for e in z])
     items = ", ".join(f"struct({i} AS point, {g!r}D AS x, d{i} AS density)" for i, g in enumerate(grid))
@@ -96,7 +116,5 @@ W_M2_TO_BTU_H_FT2 = 0.316998  # fixed value
 def peak_rate(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """kW/m2 as Btu/(h ft2): mean and exact median."""
     rate = df.select(*keys, (F.col(value) * F.lit(1000.0 * W_M2_TO_BTU_H_FT2)).alias("rate"))
-    from brickwork.operators.ranking import join_null_safe
-
     mean = rate.groupBy(*keys).agg(F.avg("rate").alias("mean"))
     return join_null_safe(mean, exact_percentiles(rate, keys, "rate", {"median": 0.5}), keys)

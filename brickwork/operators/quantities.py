@@ -148,13 +148,15 @@ def add_quantities(
 
     ``cost_prefix`` names the cost columns that percent factors refer to and
     that incentives may not exceed.  Percent factors take the full cost, not
-    what earlier factors left; only the sum is clipped.
+    what earlier factors left; only the sum is clipped.  Where several rules
+    match one change they add up, or fail the job if ``raise_on_duplicate``.
     """
     key, have, made = rules.output_key, set(df.columns), {}
     for trigger in rules.triggers:
         cost = f"{cost_prefix}{trigger}"
         basis = f"`{cost}`" if cost_prefix and cost in have else None
         per_final: dict[str, list[str]] = {}
+        sharing: dict[str, list[Rule]] = {}
         for i, rule in enumerate(rules.rules):
             if rule.trigger != trigger or (finals is not None and rule.final not in finals):
                 continue
@@ -163,12 +165,15 @@ def add_quantities(
             amount = sql_sum(
                 [factor_value(f, f"{key}/{i}/{j}", indicator, basis, keyed) for j, f in enumerate(rule.used())]
             )
+            sharing.setdefault(rule.final, []).append(rule)
             per_final.setdefault(rule.final, []).append(
                 f"CASE WHEN {rule.applies(old, new)} THEN {amount} ELSE 0.0D END"
             )
         pieces = []
         for final, terms in per_final.items():
             total = sql_sum(terms)
+            if rules.raise_on_duplicate:
+                total = _once(sharing[final], total, old, new, f"several {key} rules for {trigger} -> {final}")
             if key == "incentive" and basis is not None:
                 total = f"least({total}, {basis})"
             pieces.append(total)
@@ -181,6 +186,15 @@ def add_quantities(
     )
 
 
+def _once(rules: Sequence[Rule], amount: str, old: Lookup, new: Lookup, what: str) -> str:
+    """``amount``, or an error where several of ``rules``, which share a final, apply to a row."""
+    seen = [r.initial for r in rules]
+    if len(rules) < 2 or (None not in seen and len(set(seen)) == len(seen)):
+        return amount  # no row can match two of them
+    hits = sql_sum([f"int({r.applies(old, new)})" for r in rules])
+    return f"CASE WHEN {hits} > 1 THEN raise_error({sql_value(what)}) ELSE {amount} END"
+
+
 def match_report(df: DataFrame, rules: RuleSet, old: Lookup, new: Lookup, keys: Sequence[str]) -> DataFrame:
     """Changed fields with no rule, or with several: (keys, trigger, n_matches)."""
     rows = []

@@ -158,22 +158,28 @@ class StripIndex:
                 at = at + step
 
 
-def nearest_station(points: DataFrame, stations: DataFrame, key: str, station: str = "station_id", limit: int = STATION_LIMIT) -> DataFrame:
-    """Nearest station of every point with its distance; ties to the lower id.
+FINITE = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND abs(x) < double('Infinity') AND abs(y) < double('Infinity')"
+
+
+def nearest_station(points: DataFrame, stations: DataFrame, station: str = "station_id", limit: int = STATION_LIMIT) -> DataFrame:
+    """Every row of ``points`` with its nearest station and distance; ties to the lower id.
 
     Both sides have ``x`` and ``y``; station ids are whole numbers.  Stations
     without finite coordinates are ignored and co-located ones collapse to the
-    lowest id.  A counted number of stations within ``limit`` is sent to the
-    tasks as a sorted index and the points never move; beyond it the two tables
-    meet in grid joins instead.
+    lowest id; points without finite coordinates get NULL for both.  A counted
+    number of stations within ``limit`` is sent to the tasks as a sorted index
+    and the points never move; beyond it the distinct places meet the stations
+    in grid joins.  Both ways give the same rows.
     """
-    finite = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND abs(x) < double('Infinity') AND abs(y) < double('Infinity')"
-    sites = stations.filter(finite).groupBy("x", "y").agg(F.min(station).cast("bigint").alias("sid"))
+    sites = stations.filter(FINITE).groupBy("x", "y").agg(F.min(station).cast("bigint").alias("sid"))
     small = sites.limit(limit + 1).toPandas()
     if len(small) == 0:
         raise ValueError("no usable station")
     if len(small) > limit:
-        return _nearest_by_grid(points, sites, key, station)
+        places = points.filter(FINITE).select(F.col("x").cast("double"), F.col("y").cast("double")).distinct()
+        found = _nearest_by_grid(places, sites).withColumnsRenamed({"x": "__x", "y": "__y"})
+        joined = points.join(found, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")), "left")
+        return joined.select(*[points[c] for c in points.columns], F.col("sid").alias(station), F.sqrt("d2").alias("distance"))
     shared = points.sparkSession.sparkContext.broadcast(
         (small["sid"].to_numpy(), small["x"].to_numpy(float), small["y"].to_numpy(float))
     )
@@ -183,17 +189,20 @@ def nearest_station(points: DataFrame, stations: DataFrame, key: str, station: s
     def find(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         if not built:
             built.append(StripIndex(*shared.value))
-        who, best = built[0].query(x.to_numpy(float), y.to_numpy(float))
-        return pd.DataFrame({"sid": who, "d2": best})
+        px, py = x.to_numpy(float), y.to_numpy(float)
+        placed = np.flatnonzero(np.isfinite(px) & np.isfinite(py))
+        who, best = built[0].query(px[placed], py[placed])
+        return pd.DataFrame({"sid": pd.Series(who, placed, "Int64").reindex(range(len(px))), "d2": pd.Series(best, placed).reindex(range(len(px)))})
 
     found = points.withColumn("__f", find("x", "y"))
+    known = F.col("__f.sid").isNotNull()  # a missing distance comes back from pandas as NaN or NULL
     return found.select(
-        *[c for c in points.columns], F.col("__f.sid").alias(station), F.sqrt("__f.d2").alias("distance")
+        *[F.col(f"`{c}`") for c in points.columns], F.col("__f.sid").alias(station), F.when(known, F.sqrt("__f.d2")).alias("distance")
     )
 
 
-def _nearest_by_grid(points: DataFrame, sites: DataFrame, key: str, station: str) -> DataFrame:
-    """Rounds of grid joins with growing cells.
+def _nearest_by_grid(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """(x, y, sid, d2) of distinct places, by rounds of grid joins with growing cells.
 
     A station within one cell side of a point lies in the 3 x 3 block around it,
     so a point whose best distance is at most the side is settled; the others go
@@ -203,6 +212,8 @@ def _nearest_by_grid(points: DataFrame, sites: DataFrame, key: str, station: str
         F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))
     ).first()
     reach = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if reach[0] is None:
+        return points.selectExpr("x", "y", "bigint(NULL) AS sid", "double(NULL) AS d2")
     span = max(box[1], reach[1]) - min(box[0], reach[0]), max(box[3], reach[3]) - min(box[2], reach[2])
     side = max(math.sqrt(max((box[1] - box[0]) * (box[3] - box[2]), 1e-12) / box[4]), max(span) * 1e-9)
     open_points, settled = points, []
@@ -210,19 +221,19 @@ def _nearest_by_grid(points: DataFrame, sites: DataFrame, key: str, station: str
         cell = {"gx": f"bigint(floor(x / {side!r}D))", "gy": f"bigint(floor(y / {side!r}D))"}
         s = derive(sites, cell).withColumnsRenamed({"x": "sx", "y": "sy"})
         around = derive(open_points, cell).selectExpr(
-            *[f"`{c}`" for c in points.columns],
-            f"inline(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(gx + i AS gx, gy + j AS gy)))))",
+            "x", "y",
+            "inline(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(gx + i AS gx, gy + j AS gy)))))",
         )
         joined = around.join(s, ["gx", "gy"], "left")
         d2 = F.expr("pow(sx - x, 2) + pow(sy - y, 2)")
-        best = joined.groupBy(*points.columns).agg(F.min(F.when(F.col("sid").isNotNull(), F.struct(d2.alias("d2"), "sid"))).alias("b"))
+        best = joined.groupBy("x", "y").agg(F.min(F.when(F.col("sid").isNotNull(), F.struct(d2.alias("d2"), "sid"))).alias("b"))
         best = cut_lineage(best)
         last = side >= max(span)
         done = F.lit(True) if last else F.coalesce(F.col("b.d2") <= side * side, F.lit(False))
-        settled.append(best.filter(done).select(*points.columns, F.col("b.sid").alias(station), F.sqrt("b.d2").alias("distance")))
+        settled.append(best.filter(done).select("x", "y", "b.sid", "b.d2"))
         if last:
             break
-        open_points = best.filter(~done).select(*points.columns)
+        open_points = best.filter(~done).select("x", "y")
         side = min(side * 4, max(max(span), side))
     out = settled[0]
     for part in settled[1:]:

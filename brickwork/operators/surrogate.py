@@ -101,14 +101,15 @@ METRICS = ("mae", "rmse", "r2", "cvrmse", "mape")
 def regression_metrics(predictions: DataFrame, keys: Sequence[str], stratum: str | None = None, target: str = "target_value", estimate: str = "prediction") -> DataFrame:
     """Metrics per key and, with a stratum, per (key, stratum) and overall in one pass.
 
-    The overall rows have a NULL stratum.  Per-group sums are combined before
-    the shuffle; group size does not matter.
+    The overall rows have a NULL stratum and a true ``overall``, which tells them
+    from rows whose stratum is NULL in the data.  Per-group sums are combined
+    before the shuffle; group size does not matter.
     """
     aggs = metric_columns(F.col(target), F.col(estimate))
     if stratum is None:
         return predictions.groupBy(*keys).agg(*aggs)
     sets = [[F.col(k) for k in (*keys, stratum)], [F.col(k) for k in keys]]
-    return predictions.groupingSets(sets, *keys, stratum).agg(*aggs)
+    return predictions.groupingSets(sets, *keys, stratum).agg(*aggs, (F.grouping(stratum) == 1).alias("overall"))
 
 
 def long_metrics(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -69,7 +69,7 @@ def manifest(
     df = join_null_safe(df, located, [*shape, "height"])
 
     points = df.selectExpr(f"`{key}`", "cx AS x", "cy AS y")
-    near = cut_lineage(spatial.nearest_station(points, stations, key))
+    near = cut_lineage(spatial.nearest_station(points, stations))
     far = spatial.far_points(near, max_station_distance).first()["n_too_far"]
     if far:
         raise ValueError(f"{far} buildings have no weather station within {max_station_distance} m")

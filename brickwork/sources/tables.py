@@ -53,12 +53,25 @@ GEOJSON = (
 
 
 def read_footprints(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> DataFrame:
-    """Polygons of a GeoJSON file: attribute map, outer ring, crs."""
+    """Footprints of GeoJSON files: crs, attribute map, part, outer ring, holes.
+
+    One row per polygon; a multipolygon gives one row for each of its parts,
+    numbered by ``part``.  Features of other kinds have a NULL ring, so a caller
+    sees them.  A file is one task: split a large collection into many files.
+    """
     raw = spark.read.schema(GEOJSON).json(path, multiLine=True)
     feats = raw.select(F.coalesce("crs.properties.name", F.lit(crs)).alias("crs"), F.explode("features").alias("f"))
-    outer = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")[0]
-    ring = F.transform(F.slice(outer, 1, F.size(outer) - 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return feats.filter("f.geometry.type = 'Polygon'").select("crs", F.col("f.properties").alias("properties"), ring.alias("ring"))
+    shape, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    polygons = F.when(shape == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(
+        shape == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>")
+    )
+    parts = feats.select("crs", F.col("f.properties").alias("properties"), F.posexplode_outer(polygons).alias("part", "rings"))
+
+    def opened(ring):  # without the closing vertex
+        return F.transform(F.slice(ring, 1, F.size(ring) - 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+
+    holes = F.transform(F.slice("rings", 2, F.size("rings")), opened)
+    return parts.select("crs", "properties", "part", opened(F.get("rings", F.lit(0))).alias("ring"), holes.alias("holes"))
 
 
 def read_stations(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
@@ -72,32 +85,56 @@ def read_stations(spark: SparkSession, path: str, where: str | None = None) -> D
     return out.filter(where) if where else out
 
 
+COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # outside quotation marks
+
+
 def read_zone_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Hourly zone report, wide to long: (file, hour, zone, temp_c, rh_pct).
+    """Hourly zone reports, wide to long: (file, stamp, zone, variable, temp_c, rh_pct).
 
-    Temperature and humidity columns are recognized by name; a file with
-    neither is an error.
+    Every file is read by its own header line (the one with temperature or
+    humidity columns; files without one are an error).  A zone with several
+    temperatures has a row for each, told apart by ``variable``, the temperature
+    column's name; its humidity stands on all of them.
     """
-    wide = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    temps = [c for c in wide.columns if "temperature" in c.lower()]
-    humid = [c for c in wide.columns if "relative humidity" in c.lower()]
-    times = [c for c in wide.columns if "date/time" in c.lower() or "datetime" in c.lower()]
-    if not temps and not humid:
-        raise ValueError(f"no temperature or humidity columns in {path}")
-
-    def zone(c: str) -> str:
-        return c.split(":")[0].strip()
-
-    by_zone: dict[str, dict[str, str]] = {}
-    for kind, cols in (("t", temps), ("h", humid)):
-        for c in cols:
-            by_zone.setdefault(zone(c), {})[kind] = c
-    cell = lambda c: f"double(`{c}`)" if c else "double(NULL)"
-    items = ", ".join(
-        f"struct('{z}' AS zone, {cell(c.get('t'))} AS temp_c, {cell(c.get('h'))} AS rh_pct)" for z, c in by_zone.items()
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter("trim(value) <> ''")
+    cells = lines.withColumn("cells", F.transform(F.split("value", COMMA, -1), lambda c: F.trim(F.regexp_replace(c, r'^\s*"|"\s*$', "")))).drop("value")
+    named = F.lower(F.array_join("cells", ","))
+    headed = cells.withColumn("is_header", named.contains("temperature") | named.contains("relative humidity"))
+    headers = headed.filter("is_header").select("file", F.col("cells").alias("names")).dropDuplicates(["file"])
+    bare = headed.groupBy("file").agg(F.bool_or("is_header").alias("ok")).filter("NOT ok").select("file").take(5)
+    if bare:
+        raise ValueError("no temperature or humidity columns in " + ", ".join(r["file"] for r in bare))
+    # One row per file: headers are small beside the hours they name.
+    rows = headed.filter("NOT is_header").join(headers, "file")
+
+    def has(column, text: str):
+        return F.lower(column).contains(text)
+
+    numbered = F.transform(
+        "names", lambda c, i: F.struct(c.alias("name"), F.trim(F.split(c, ":")[0]).alias("zone"), F.get("cells", i).alias("text"))
+    )
+    rows = rows.withColumn("c", numbered)
+    times = F.filter("c", lambda c: has(c["name"], "date/time") | has(c["name"], "datetime"))
+    stamp = F.get(times, F.lit(0))["text"]
+    temps = F.filter("c", lambda c: has(c["name"], "temperature"))
+    humid = F.filter("c", lambda c: has(c["name"], "relative humidity"))
+    rows = rows.select("file", stamp.alias("stamp"), temps.alias("t"), humid.alias("h"))
+    with_temp = F.transform(
+        "t",
+        lambda t: F.struct(
+            t["zone"].alias("zone"), t["name"].alias("variable"), t["text"].try_cast("double").alias("temp_c"),
+            F.get(F.filter("h", lambda h: h["zone"] == t["zone"]), F.lit(0))["text"].try_cast("double").alias("rh_pct"),
+        ),
+    )
+    dry = F.filter("h", lambda h: ~F.exists("t", lambda t: t["zone"] == h["zone"]))
+    only_humid = F.transform(
+        dry,
+        lambda h: F.struct(
+            h["zone"].alias("zone"), F.lit(None).cast("string").alias("variable"), F.lit(None).cast("double").alias("temp_c"),
+            h["text"].try_cast("double").alias("rh_pct"),
+        ),
     )
-    stamp = f"`{times[0]}`" if times else "string(NULL)"
-    return wide.selectExpr("_metadata.file_path AS file", f"{stamp} AS stamp", f"inline(array({items}))")
+    return rows.select("file", "stamp", F.explode(F.concat(with_temp, only_humid)).alias("z")).select("file", "stamp", "z.*")
 
 
 def read_weather_text(spark: SparkSession, path: str) -> DataFrame:

@@ -152,10 +152,23 @@ def test_nearest_both_ways_against_brute_force(spark):
     pr, sr = p.collect(), [r for r in s.collect() if not math.isnan(r["y"])]
     want = {q["id"]: min(((a["x"] - q["x"]) ** 2 + (a["y"] - q["y"]) ** 2, a["station_id"]) for a in sr)[1] for q in pr}
     for limit in (1000, 0):
-        got = {r["id"]: r["station_id"] for r in spatial.nearest_station(p, s, "id", limit=limit).collect()}
+        got = {r["id"]: r["station_id"] for r in spatial.nearest_station(p, s, limit=limit).collect()}
         assert got == want
 
 
+def test_nearest_keeps_rough_points_both_ways(spark):
+    nan = float("nan")
+    rows = [(1, 0.0, 0.0), (1, 0.0, 0.0), (2, None, 1.0), (3, nan, 1.0), (4, 9.0, float("inf")), (5, 8.0, 0.0)]
+    p = spark.createDataFrame(rows, "id int, x double, y double").withColumn("tags", F.create_map(F.lit("a"), F.col("id")))
+    s = spark.createDataFrame([(7, 0.0, 3.0), (6, 0.0, 3.0), (8, 9.0, 0.0)], "station_id int, x double, y double")
+    want = [(1, 6, 3.0), (1, 6, 3.0), (2, None, None), (3, None, None), (4, None, None), (5, 8, 1.0)]
+    for limit in (1000, 0):
+        got = spatial.nearest_station(p, s, limit=limit)
+        assert got.columns == ["id", "x", "y", "tags", "station_id", "distance"]
+        assert sorted(((r["id"], r["station_id"], r["distance"]) for r in got.collect()), key=lambda r: r[0]) == want
+        assert spatial.nearest_station(p.filter("id > 9"), s, limit=limit).count() == 0
+
+
 def test_density_integrates(spark):
     df = spark.range(2000).selectExpr("double(id % 100) AS v")
     rows = sorted((r["x"], r["density"]) for r in explore.kernel_density(df, "v", 40).collect())
@@ -163,6 +176,16 @@ def test_density_integrates(spark):
     assert 0.85 < sum(y for _, y in rows) * step < 1.05
 
 
+def test_constant_empty_and_null_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("c", 2.0), ("c", 2.0), ("n", float("nan")), ("n", None)], "k string, v double")
+    dens = explore.kernel_density(df, "v", 5, ["k"]).groupBy("k").agg(F.count("*").alias("n"), F.count("density").alias("known"))
+    assert {(r["k"], r["n"], r["known"]) for r in dens.collect()} == {(None, 5, 5), ("c", 5, 0)}
+    flat = explore.histogram(df.filter("k = 'c'"), "v", 4).collect()
+    assert sum(r["n"] for r in flat) == 2 and len(flat) == 4
+    assert sum(r["n"] for r in explore.histogram(df.filter("k = 'n'"), "v", 4).collect()) == 0
+    assert [r["n"] for r in explore.histogram_2d(df.filter("k = 'c'"), "v", "v", 3).collect()] == [2]
+
+
 def test_rank_keeps_null_strata_and_shuffles_rows_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")

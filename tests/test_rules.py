@@ -105,6 +105,19 @@ def test_detailed_columns_and_final_filter(spark):
     assert none["cost_Total"] == 0
 
 
+def test_two_matching_rules_add_up_or_fail(spark):
+    df = spark.createDataFrame([("old", "new")], "was string, now string")
+    for initials, hits in (((None, "old"), 2), (("other", "old"), 1)):
+        rules = tuple(q.Rule("T", i, "new", (q.Factor(q.FIXED, amount=10.0),), (q.FIXED,)) for i in initials)
+        run = lambda flag: q.add_quantities(df, q.RuleSet(rules, "cost", flag), lambda t: "was", lambda t: "now").first()["cost_T"]  # noqa: B023, E731
+        assert run(False) == 10.0 * hits
+        if hits == 1:
+            assert run(True) == 10.0
+        else:
+            with pytest.raises(Exception, match="several cost rules for T -> new"):
+                run(True)
+
+
 def test_rule_file(spark, tmp_path):
     doc = {
         "output_key": "incentive", "raise_on_duplicate_trigger": False, "create_metadata": True, "metadata_aggregation": "bracket",

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,13 @@ def test_geojson_and_stations(spark, tmp_path):
     (tmp_path / "b.geojson").write_text(json.dumps(doc))
     r = t.read_footprints(spark, str(tmp_path / "b.geojson")).first()
     assert r["properties"]["Typology"] == "SFH" and len(r["ring"]) == 4 and r["crs"] == "EPSG:4326"
+    box = lambda x, w: [[x, 0], [x, w], [x + w, w], [x + w, 0], [x, 0]]
+    shapes = [("Polygon", [box(0, 4), box(1, 1)]), ("MultiPolygon", [[box(0, 2)], [box(9, 3), box(10, 1)]]), ("Point", [1, 2])]
+    more = {"features": [{"properties": {"id": str(i)}, "geometry": {"type": k, "coordinates": c}} for i, (k, c) in enumerate(shapes)]}
+    (tmp_path / "m.geojson").write_text(json.dumps(more))
+    rows = t.read_footprints(spark, str(tmp_path / "m.geojson")).collect()
+    assert sorted((r["properties"]["id"], r["part"], len(r["ring"] or ()), len(r["holes"] or ())) for r in rows if r["ring"]) == [("0", 0, 4, 1), ("1", 0, 4, 0), ("1", 1, 4, 1)]
+    assert [r["properties"]["id"] for r in rows if not r["ring"]] == ["2"]
     st = {"features": [{"properties": {"name": n, "source": s, "path": n + ".zip"}, "geometry": {"type": "Point", "coordinates": xy}} for n, s, xy in (("A", "tmyx", [1, 2]), ("B", "old", [3, 4]))]}
     (tmp_path / "s.geojson").write_text(json.dumps(st))
     got = t.read_stations(spark, str(tmp_path / "s.geojson"), "source in ('tmyx')").collect()
@@ -80,6 +88,15 @@ def test_hourly_files(spark, tmp_path):
     (tmp_path / "z.csv").write_text("Date/Time,Z1:Zone Air Temperature [C](Hourly),Z1:Zone Air Relative Humidity [%](Hourly),Other\n01:00,20.5,40,1\n02:00,21,41,2\n")
     rows = t.read_zone_csv(spark, str(tmp_path / "z.csv")).collect()
     assert sorted((r["zone"], r["temp_c"], r["rh_pct"]) for r in rows) == [("Z1", 20.5, 40.0), ("Z1", 21.0, 41.0)]
+    folder = tmp_path / "zones"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Date/Time,Z1:Zone Air Temperature [C],Z1:Zone Radiant Temperature [C],Z1:Relative Humidity [%]\n01:00,20,21,40\n")
+    (folder / "b.csv").write_text('Date/Time,Z9:Relative Humidity [%],"Z9:Zone Air Temperature, mean [C]",Z1:Zone Air Temperature [C],Z2:Relative Humidity [%]\n01:00,50,30,10,60\n')
+    rows = t.read_zone_csv(spark, str(folder)).collect()
+    assert sorted((r["file"][-5:], r["zone"], r["temp_c"] or 0.0, r["rh_pct"] or 0.0, r["stamp"]) for r in rows) == [
+        ("a.csv", "Z1", 20.0, 40.0, "01:00"), ("a.csv", "Z1", 21.0, 40.0, "01:00"), ("b.csv", "Z1", 10.0, 0.0, "01:00"),
+        ("b.csv", "Z2", 0.0, 60.0, "01:00"), ("b.csv", "Z9", 30.0, 50.0, "01:00"),
+    ]
     (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         t.read_zone_csv(spark, str(tmp_path / "bad.csv"))
@@ -130,7 +147,7 @@ def test_leaf_errors_and_frames(spark):
     def leaf(spec):
         if spec["x"] < 0:
             raise RuntimeError("negative")
-        return {"results": [{"y": spec["x"] * 2, "note": "n"}], "extra": [{"z": 1.0}, {"z": 2.0}]}
+        return {"results": [{"y": np.float32(spec["x"] * 2), "note": "n", "at": np.arange(2)}], "extra": [{"z": 1.0}, {"z": 2.0}]}
 
     c.register_leaf("double", leaf)
     out = c.run_leaf(seen, "double", attempts=2).collect()
