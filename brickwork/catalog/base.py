@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sql_over(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
+    """``text``, which reads only the table ``name``, without leaving a view in the session."""
+    return spark.sql(text.replace(f"FROM {name}", "FROM {" + name + "}"), **{name: table(spark, sf_dir, name)})
+
+
 def sql_fixed(expr: str, places: int = 6) -> str:
     s = f"{float(10**places)!r}"
     return f"(floor(({expr})*{s}+0.5)/{s})"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brickwork.catalog.base import Chain, Registry, sql_draw, sql_fixed, sql_words
-from brickwork.catalog.portfolio import CHANGED, portfolio, portfolio_sql, predict, predict_sql
+from brickwork.catalog.portfolio import CHANGED, SUPPLIERS_SQL, portfolio, portfolio_sql, predict, predict_sql, suppliers_as_customers
 from brickwork.functions.rounding import fixed
 from brickwork.names import FUELS, RAW_END_USES, SEGMENTS, UPGRADED_SOLAR
 from brickwork.operators.energy import long_results, result_columns, sum_over, unknown_fuel_count
@@ -16,13 +16,14 @@ from brickwork.sources.rules import legacy_costs, standard_incentives
 
 REGISTRY = Registry()
 N = 4
+MANY = 500
 PRIORS = default_priors()
 BURNED = ("Electricity", "NaturalGas", "Oil")
 SYSTEMS = {"Heating": "heat", "Cooling": "cool", "DomesticHotWater": "dhw"}
 
 
-def ensemble_chain(n: int = N, upgrade: bool = False) -> Chain:
-    ch = Chain(portfolio_sql())
+def ensemble_chain(n: int = N, upgrade: bool = False, customers: str = "customer") -> Chain:
+    ch = Chain(portfolio_sql(customers))
     ch.steps.append(f"SELECT *, unnest(range({n})) AS sample_id FROM s0")
     ch.steps.append(f"SELECT *, {sql_words(42, ['building_id', 'sample_id'], 'rk')} FROM s1")
     for layer in PRIORS.layers():
@@ -171,6 +172,14 @@ def inference_distribution_summary(spark, sf_dir):
     return s.select("building_id", "normalization", "dataset", "segment", "units", *[fixed(F.col(x), 3).alias(x) for x in _STATS])
 
 
+@REGISTRY.add(results_chain(ensemble_chain(MANY, customers=SUPPLIERS_SQL)).then(_dist_query()))
+def many_draws_distribution_summary(spark, sf_dir):
+    """The same summary of a smaller portfolio with hundreds of draws a building."""
+    ens = plan.infer(portfolio(spark, sf_dir, suppliers_as_customers(spark, sf_dir)), MANY, predict, PRIORS)
+    s = plan.summarize_results(ens, MANY)
+    return s.select("building_id", "normalization", "dataset", "segment", "units", *[fixed(F.col(x), 3).alias(x) for x in _STATS])
+
+
 _ENERGY_COLS = [c for c in result_columns() if not c.startswith("Raw_")] + ["fuel_net_total", "pv_kw"]
 
 

@@ -1,7 +1,8 @@
 """Customers as a building portfolio, in both engines.
 
 Every customer is a building; attributes come from its key, nation and market
-segment, so the portfolio grows with the customer table.
+segment, so the portfolio grows with the customer table.  Suppliers make a smaller
+portfolio for studies with many draws.
 """
 
 from __future__ import annotations
@@ -44,7 +45,18 @@ def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+def suppliers_as_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segment = pick(tuple(UPGRADES), F.col("s_suppkey") % len(UPGRADES))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), segment.alias("c_mktsegment"))
+
+
+SUPPLIERS_SQL = (
+    "(SELECT s_suppkey AS c_custkey, s_nationkey AS c_nationkey, "
+    f"(list_value({', '.join(repr(s) for s in UPGRADES)}))[s_suppkey % {len(UPGRADES)} + 1] AS c_mktsegment FROM supplier)"
+)
+
+
+def portfolio(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     k = F.col("c_custkey")
     cols = {
         "geometry__short_edge": (F.lit(8.0) + (k % 7).cast("double")),
@@ -58,7 +70,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols[f"semantic__{f}"] = pick(vals, F.floor(k / F.lit(i + 1)).cast("bigint") % len(vals))
     for name, m in YES_NO:
         cols[name] = F.when(k % m == 0, "No").otherwise("Yes")
-    df = table(spark, sf_dir, "customer").select(
+    df = (table(spark, sf_dir, "customer") if customers is None else customers).select(
         k.alias("building_id"), "c_mktsegment", *[c.alias(n) for n, c in cols.items()]
     )
     df = df.withColumn(
@@ -79,7 +91,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
-def portfolio_sql() -> str:
+def portfolio_sql(customers: str = "customer") -> str:
     def pick_sql(values, index):
         return f"(list_value({', '.join(repr(v) for v in values)}))[CAST({index} AS BIGINT)+1]"
 
@@ -96,7 +108,7 @@ def portfolio_sql() -> str:
         cols.append(f"{pick_sql(vals, f'(c_custkey // {i + 1}) % {len(vals)}')} AS semantic__{f}")
     for name, m in YES_NO:
         cols.append(f"CASE WHEN c_custkey % {m} = 0 THEN 'No' ELSE 'Yes' END AS {name}")
-    inner = f"SELECT {', '.join(cols)} FROM customer"
+    inner = f"SELECT {', '.join(cols)} FROM {customers}"
     gfa = "geometry__short_edge*geometry__long_edge*geometry__num_floors"
     news = []
     for f in CHANGED:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brickwork.catalog.base import Registry, sql_fixed, table
+from brickwork.catalog.base import Registry, sql_fixed, sql_over, table
 from brickwork.functions.rounding import fixed
 from brickwork.functions.text import derive
 from brickwork.operators import buildings as b
 from brickwork.operators import collate as c
 from brickwork.operators import validation as v
+from brickwork.operators.heat_balance import option_grid
 from brickwork.sources import tables as src
 
 REGISTRY = Registry()
-MAX_OPTIONS = 1000
 
 
 @REGISTRY.add("SELECT o_orderkey, 'study/iter-000' AS experiment_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS sort_index, o_orderpriority FROM orders")
@@ -86,8 +86,7 @@ _AGE = "CASE WHEN year_built < 1975 THEN 'pre_1975' WHEN year_built <= 2003 THEN
     "CASE WHEN retrofit IS NULL OR lower(retrofit)='baseline' THEN NULL WHEN starts_with(lower(retrofit),'deep') THEN retrofit || ' ' || size_key ELSE retrofit END AS retrofit_name FROM s"
 )
 def typology_classes(spark, sf_dir):
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    p = b.add_typology(spark.sql(_TYPED))
+    p = b.add_typology(sql_over(spark, sf_dir, _TYPED, "part"))
     return derive(p, {"retrofit_name": b.retrofit_name("retrofit", "size_key")}).select(
         "p_partkey", "is_residential", "size_key", "age_key", "template_name", "window_name", "retrofit_name"
     )
@@ -95,8 +94,7 @@ def typology_classes(spark, sf_dir):
 
 @REGISTRY.add(f"SELECT count(*) FILTER (WHERE retrofit IS NOT NULL AND retrofit <> 'Baseline' AND p_size > 25) AS n_without_library FROM ({_TYPED})")
 def retrofits_without_library(spark, sf_dir):
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return b.retrofits_without_library(spark.sql(_TYPED).selectExpr("retrofit", "CASE WHEN p_size <= 25 THEN 's3://lib' END AS retrofit_lib_uri"))
+    return b.retrofits_without_library(sql_over(spark, sf_dir, _TYPED, "part").selectExpr("retrofit", "CASE WHEN p_size <= 25 THEN 's3://lib' END AS retrofit_lib_uri"))
 
 
 _SPACES = "['none','unoccupied_unconditioned','unoccupied_conditioned','occupied_unconditioned','occupied_conditioned']"
@@ -166,8 +164,7 @@ _SURF = "SELECT l_orderkey % 500 AS building, CASE WHEN l_linenumber % 2 = 0 THE
     "CASE WHEN lo=hi OR floor_number=lo THEN 'ground' WHEN floor_number=hi THEN 'top' ELSE 'middle' END AS floor_assignment FROM e"
 )
 def zone_orientation_table(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return b.zone_table(spark.sql(_SURF))
+    return b.zone_table(sql_over(spark, sf_dir, _SURF, "lineitem"))
 
 
 _OUT = "WITH s AS (SELECT o_orderkey AS run_id, o_orderpriority AS name FROM orders), r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus='O' THEN 'boom ' || o_orderpriority END AS error FROM orders WHERE o_orderstatus <> 'P')"
@@ -257,8 +254,7 @@ _PATHS = "SELECT 'root/C' || (o_custkey % 7) || '_Cairo' || (o_custkey % 3) || '
 )
 def case_folder_specs(spark, sf_dir):
     """Model files of folders with exactly one weather file, from a path listing."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return src.case_specs(spark.sql(_PATHS), "exp").drop("experiment_id", "epw")
+    return src.case_specs(sql_over(spark, sf_dir, _PATHS, "orders"), "exp").drop("experiment_id", "epw")
 
 
 def _leaf(spec: dict) -> dict[str, list[dict]]:
@@ -273,22 +269,19 @@ def _leaf(spec: dict) -> dict[str, list[dict]]:
 def leaf_function_over_specs(spark, sf_dir):
     """A user function per spec row with retries and captured errors."""
     specs = table(spark, sf_dir, "part").selectExpr("p_partkey AS run_id", "p_size", "p_retailprice")
-    res = c.run_leaf(specs, _leaf, attempts=2, partitions=8)
+    res = c.run_leaf(specs, _leaf, attempts=2)
     return res.select("run_id", fixed(F.try_element_at("values", F.lit("energy")), 4).alias("energy"), "error", "attempts")
 
 
 @REGISTRY.add("SELECT r_name, p AS o_orderpriority, f AS status, (SELECT count(*) FROM orders) AS n_orders FROM region, (SELECT DISTINCT o_orderpriority AS p FROM orders), (SELECT unnest(['F','O','P']) AS f)")
 def option_product(spark, sf_dir):
-    """Grid of options: explosion of a literal list over distinct option rows."""
+    """Grid of options: distinct option rows and literal labels over every row."""
     o = table(spark, sf_dir, "orders")
-    n = o.count()
-    opts = [r[0] for r in o.select("o_orderpriority").distinct().take(MAX_OPTIONS + 1)]
-    if len(opts) > MAX_OPTIONS:
-        raise ValueError("too many option levels for a literal grid")
-    g = table(spark, sf_dir, "region").select("r_name")
-    from brickwork.operators.heat_balance import option_grid
-
-    return option_grid(g, {"o_orderpriority": opts, "status": ["F", "O", "P"]}).withColumn("n_orders", F.lit(n).cast("bigint"))
+    facts = o.select(
+        F.struct(F.transform(F.collect_set(F.struct("o_orderpriority")), lambda s: s["o_orderpriority"]).alias("levels"), F.count(F.lit(1)).alias("n")).alias("f")
+    ).scalar()
+    g = table(spark, sf_dir, "region").select("r_name", facts["n"].alias("n_orders"))
+    return option_grid(g, {"o_orderpriority": facts["levels"], "status": ["F", "O", "P"]})
 
 
 @REGISTRY.add(

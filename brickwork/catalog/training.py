@@ -55,10 +55,10 @@ def _pred(spark, sf_dir):
     )
 
 
-@REGISTRY.add(f"SELECT target, stratum, {', '.join(f'{sql_fixed(e, 4)} AS {k}' for k, e in _METRIC_SQL.items())} FROM ({_PRED}) GROUP BY GROUPING SETS ((target, stratum), (target))")
+@REGISTRY.add(f"SELECT target, stratum, grouping(stratum) = 1 AS overall, {', '.join(f'{sql_fixed(e, 4)} AS {k}' for k, e in _METRIC_SQL.items())} FROM ({_PRED}) GROUP BY GROUPING SETS ((target, stratum), (target))")
 def stratum_and_global_metrics(spark, sf_dir):
     got = s.regression_metrics(_pred(spark, sf_dir), ["target"], "stratum")
-    return got.select("target", "stratum", *[fixed(F.col(k), 4).alias(k) for k in _METRIC_SQL])
+    return got.select("target", "stratum", "overall", *[fixed(F.col(k), 4).alias(k) for k in _METRIC_SQL])
 
 
 _LONG = f"SELECT target, stratum, fold, {', '.join(f'{e} AS {k}' for k, e in _METRIC_SQL.items())} FROM ({_PRED}) GROUP BY ALL"

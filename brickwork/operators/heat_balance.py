@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickwork.functions.text import derive, sql_value
@@ -22,10 +22,10 @@ DEFAULTS = {
 }
 
 
-def option_grid(df: DataFrame, options: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Every combination of option labels for every row, by explosion of literals."""
+def option_grid(df: DataFrame, options: Mapping[str, Sequence[str] | Column]) -> DataFrame:
+    """Every combination of option labels for every row, by explosion of literals or array columns."""
     for name, labels in options.items():
-        df = df.withColumn(name, F.explode(F.array(*[F.lit(x) for x in labels])))
+        df = df.withColumn(name, F.explode(labels if isinstance(labels, Column) else F.array(*[F.lit(x) for x in labels])))
     return df
 
 

@@ -2,8 +2,9 @@
 
 Three ways to the percentiles, chosen by what is known about group size:
 
-* ``bounded``  - the caller proves at most ``GROUP_LIMIT`` rows per group (an
-  ensemble of n draws per building); the built-in ``percentile`` is used.
+* ``bounded``  - the caller states at most ``GROUP_LIMIT`` rows per group (an
+  ensemble of n draws per building); the built-in ``percentile`` is used.  A
+  larger figure takes the exact way.
 * exact (default) - any group size.  A mergeable sketch brackets every wanted
   rank, a second pass counts the rows outside the brackets and keeps only the
   distinct values inside, and the exact order statistics are read from those.
@@ -101,7 +102,7 @@ def exact_percentiles(
     margin = 4.0 / accuracy
     low = [max(0.0, p - margin) for p in probs]
     high = [min(1.0, p + margin) for p in probs]
-    data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    data = df.select(*keys, clean(F.col(value)).alias("__v")).filter("__v IS NOT NULL")
 
     sketch = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
@@ -176,15 +177,19 @@ def wide_summary(
     percentiles: dict[str, float] = PERCENTILES,
     label: str = "name",
 ) -> DataFrame:
-    """Summaries of many columns of a bounded ensemble in one aggregation.
+    """Summaries of many columns of an ensemble, for small groups in one aggregation.
 
     Works on the wide form (one row per draw) instead of exploding every draw
     into one row per column: when the ensemble was expanded on a partitioning
     by ``keys`` no shuffle is needed at all.  Minimum and maximum come from the
-    same order statistics as the percentiles.
+    same order statistics as the percentiles.  Groups above ``GROUP_LIMIT`` rows,
+    which would not fit one task, give the same result through the long form.
+    NaN is missing, as in ``distribution_summary``.
     """
+    df = df.select(*keys, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in values])
     if rows_per_group > GROUP_LIMIT:
-        raise ValueError("use distribution_summary for groups without a proven bound")
+        long = df.unpivot(list(keys), list(values), label, "__value")
+        return distribution_summary(long, [*keys, label], "__value", percentiles)
     probs = ", ".join(f"{p!r}D" for p in (0.0, *percentiles.values(), 1.0))
     aggs = []
     for i, c in enumerate(values):

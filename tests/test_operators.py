@@ -7,7 +7,7 @@ from brickwork.functions import draws as d
 from brickwork.functions import geometry as g
 from brickwork.functions.rng import with_row_key
 from brickwork.names import dotted, expose_dotted, plain
-from brickwork.operators import explore, hourly, ranking, sampling, spatial, summary
+from brickwork.operators import explore, heat_balance, hourly, ranking, sampling, spatial, summary
 from brickwork.operators.priors import PriorSet, default_priors
 
 
@@ -78,6 +78,22 @@ def test_infinite_payback_summary(spark):
     assert r["mean"] == float("inf") and r["min"] == 1.0 and r["p50"] == 2.0
 
 
+def test_wide_summary_beyond_one_task_and_nan(spark, monkeypatch):
+    df = spark.range(900).selectExpr("id % 3 AS b", "CASE WHEN id % 7 = 0 THEN double('NaN') ELSE sqrt(id) END AS v", "double(id % 5) AS w")
+    small = sorted(summary.wide_summary(df, ["b"], ["v", "w"], 300).collect())
+    monkeypatch.setattr(summary, "GROUP_LIMIT", 100)
+    large = summary.wide_summary(df, ["b"], ["v", "w"], 300)
+    assert not any(math.isnan(x) for r in small for x in r[2:])
+    for got, want in zip(sorted(large.collect()), small, strict=True):
+        assert got[:2] == want[:2] and list(got[2:]) == pytest.approx(list(want[2:]))
+
+
+def test_option_grid_takes_array_columns(spark):
+    df = spark.createDataFrame([(1, ["x", None])], "k int, a array<string>")
+    rows = heat_balance.option_grid(df, {"o": F.col("a"), "p": ["u", "v"]}).select("o", "p").collect()
+    assert {tuple(r) for r in rows} == {("x", "u"), ("x", "v"), (None, "u"), (None, "v")}
+
+
 def test_hot_stratum_rank_and_sample(spark):
     df = spark.range(3000).selectExpr("id", "CASE WHEN id < 2500 THEN 'hot' ELSE string(id % 3) END AS s")
     rows, k = with_row_key(df, 9, ["id"])
