@@ -215,6 +215,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id", "class_size", *[c for c in carry if c != "doc_id"])
 
 
+def one_of_each(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """One of ``rows`` (doc_id, _content and more) for each ``key`` of ``found`` (doc_id, _content, component_id)."""
+    keep = found.groupBy(key).agg(
+        F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "doc_id", "_content")).alias("k")
+    )
+    keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k._content").alias("_content")).distinct()
+    kept = rows.join(keep, rows.doc_id.eqNullSafe(keep._id) & (rows._content == keep._content), "left_semi")
+    # Rows equal in every column are one document.
+    return kept.dropDuplicates(["doc_id", "_content"])
+
+
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` for one document of each component.
 
@@ -226,10 +237,4 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     content = F.xxhash64(*[F.col(c).cast("string") for c in names])
     rows = docs.withColumn("_content", content)
     found = near_duplicates(rows.select("doc_id", "text", "_content"), carry=("_content",))
-    keep = found.groupBy("component_id").agg(
-        F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "doc_id", "_content")).alias("k")
-    )
-    keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k._content").alias("_content")).distinct()
-    kept = rows.join(keep, rows.doc_id.eqNullSafe(keep._id) & (rows._content == keep._content), "left_semi")
-    # Rows equal in every column are one document.
-    return kept.dropDuplicates(["doc_id", "_content"]).select(*names)
+    return one_of_each(rows, found, "component_id").select(*names)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from brickwork.llm import ann, catalog, classlm, cleaning, langid, licenses, mixing, packing, pii, simhash, tagger, toxicity
+from brickwork.llm import ann, catalog, classlm, cleaning, langid, licenses, mixing, nearcopies, packing, pii, simhash, tagger, toxicity
 
 LONG = "alpha beta gamma. " * 5_000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, queue string, size long, key long, fp long, words string, lines string, n long, row long, part int, label int, base string, word string"
@@ -265,6 +265,46 @@ def test_simhash_of_nothing(empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.without_near_duplicates(empty).count() == 0
 
 
+def planted_copies():
+    g = np.random.default_rng(7)
+    word = lambda: f"w{g.integers(1 << 40):x}"
+    rows = []
+    for pair in range(40):  # single words changed so that 0.82 to 0.95 of the shingles are common
+        words = [word() for _ in range(400)]
+        other = list(words)
+        for at in np.linspace(10, 390, 2 + pair % 7).astype(int):
+            other[at] = word()
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    line = " ".join(word() for _ in range(10))
+    clean = [(1000 + i, " ".join([word() for _ in range(250)] + [line] * 80)) for i in range(30)]
+    apart = []
+    for pair in range(20):  # about 0.6 of the shingles are common
+        words = [word() for _ in range(400)]
+        other = list(words)
+        for at in np.linspace(10, 390, 20).astype(int):
+            other[at] = word()
+        apart += [(2000 + 2 * pair, " ".join(words)), (2001 + 2 * pair, " ".join(other))]
+    return rows, clean + apart
+
+
+@pytest.mark.parametrize("part", [3, 512])
+def test_near_copies_go_and_repeated_lines_stay(spark, part, monkeypatch):
+    copies, clean = planted_copies()
+    df = spark.createDataFrame(copies + clean, "doc_id long, text string").repartition(3)
+    if part == 3:
+        monkeypatch.setattr(nearcopies.without_near_copies, "__defaults__", (part,))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == {i for i, _ in copies if i % 2 == 0} | {i for i, _ in clean}
+
+
+def test_near_copies_of_awkward_rows(spark, odd, empty):
+    kept = nearcopies.without_near_copies(odd)
+    assert kept.columns == odd.columns
+    # The texts without words are one document, and the repeated row is one.
+    assert kept.count() == len(ODD_TEXTS) - 3
+    assert nearcopies.without_near_copies(empty).count() == 0
+
+
 # --- quality rules
 
 
