@@ -26,8 +26,6 @@ from brickwork.functions.text import fence
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words that a file looks up, those with the highest inverse frequency first.
 LOOKUPS = 8
-#: Words with a lower inverse document frequency are no evidence.
-LEAST_IDF = 1.5
 
 # Phrases that name a licence wherever they stand.
 PHRASES = (
@@ -114,7 +112,7 @@ def _starts(words: str, phrase: str) -> Column:
     return F.when(inside, F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), stands)).otherwise(none)
 
 
-def scan(docs: DataFrame, notices=NOTICES, lookups: int = LOOKUPS, least_idf: float = LEAST_IDF) -> DataFrame:
+def scan(docs: DataFrame, notices=NOTICES, lookups: int = LOOKUPS) -> DataFrame:
     """Phrase places and licence labels of every document.
 
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
@@ -124,10 +122,10 @@ def scan(docs: DataFrame, notices=NOTICES, lookups: int = LOOKUPS, least_idf: fl
     vocabulary = sorted({w for _, text, _ in notices for w in text.split()})
     total, counts = frequencies(docs, vocabulary)
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
-    rare = sorted((w for w in vocabulary if idf[w] >= least_idf), key=lambda w: (-idf[w], w))
+    rare = sorted(vocabulary, key=lambda w: (-idf[w], w))
     rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     # The index words stand in order of falling idf, so the first that a file holds are its rarest.
-    looked = F.slice(F.array_intersect(_strings(rare) if rare else F.array().cast("array<string>"), F.col("words")), 1, lookups)
+    looked = F.slice(F.array_intersect(_strings(rare), F.col("words")), 1, lookups)
     rows = rows.withColumn("looked", looked)
     for number, (phrase, _) in enumerate(PHRASES):
         rows = rows.withColumn(f"base{number}", _starts("words", phrase))

@@ -386,6 +386,16 @@ def test_notices_are_found_at_their_place(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("others", [0, 2])
+def test_notices_of_common_words_are_found(spark, others):
+    notices = [n for n in licenses.NOTICES if n[0] in ("gpl-3", "isc", "bsd")]
+    rows = [(10 * i + k, f"one two. {text} and so on") for i, (_, text, _) in enumerate(notices[:3]) for k in range(3)]
+    rows = rows if others else rows[:1]
+    plain = [(100 + i, "nothing of this kind stands here") for i in range(others * len(rows))]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows + plain, "doc_id long, text string")).collect()}
+    assert got == {i: notices[i // 10][0] for i, _ in rows} | {i: "" for i, _ in plain}
+
+
 # --- class language model
 
 
