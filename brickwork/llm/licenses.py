@@ -1,10 +1,11 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
 The index maps each word of a few licence texts to its postings (text, position).
-A file looks up the licence words that it holds with the highest inverse document
-frequency; a posting and a place in the file give a relative position, and where
-postings of one text agree on it, the text is aligned with the file.  There its
-mandatory phrases must stand word for word.  Document frequencies are counted
+Of each licence text a file looks up the words of the mandatory phrases with the
+highest inverse document frequency; a posting and a place in the file give a
+relative position, and where postings of one text agree on it, the text is aligned
+with the file.  There its mandatory phrases must stand word for word; as they hold
+the looked-up words, no place where they stand is missed.  Document frequencies are counted
 over all documents, for the words of the index only, so what reaches the driver
 is bounded by the licence texts.
 
@@ -24,8 +25,8 @@ from brickwork.functions.text import fence
 
 #: What separates words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words that a file looks up, those with the highest inverse frequency first.
-LOOKUPS = 8
+#: Words of each licence text that are looked up; two must agree on a place.
+LOOKUPS = 2
 
 # Phrases that name a licence wherever they stand.
 PHRASES = (
@@ -71,12 +72,22 @@ def _notices(notices) -> Column:
     return F.array(*entries)
 
 
-def _postings(notices) -> Column:
-    """Literal map of word to the longs ``notice * 2**40 - position``."""
+def looked_up(notices, idf: dict[str, float], lookups: int) -> list[list[str]]:
+    """The words of each notice to look up: the rarest of its mandatory phrases, then the rarest of the rest."""
+    out = []
+    for _, text, phrases in notices:
+        inside = {w for p in phrases for w in p.split()}
+        out.append(sorted(set(text.split()), key=lambda w: (w not in inside, -idf[w], w))[: max(lookups, 2)])
+    return out
+
+
+def _postings(notices, looked: list[list[str]]) -> Column:
+    """Literal map of looked-up word to the longs ``notice * 2**40 - position``."""
     index: dict[str, list[int]] = {}
     for number, (_, text, _) in enumerate(notices):
         for position, word in enumerate(text.split()):
-            index.setdefault(word, []).append((number << 40) - position)
+            if word in looked[number]:
+                index.setdefault(word, []).append((number << 40) - position)
     parts = []
     for word in sorted(index):
         parts += [F.lit(word), F.array(*[F.lit(p).cast("long") for p in index[word]])]
@@ -122,14 +133,17 @@ def scan(docs: DataFrame, notices=NOTICES, lookups: int = LOOKUPS) -> DataFrame:
     vocabulary = sorted({w for _, text, _ in notices for w in text.split()})
     total, counts = frequencies(docs, vocabulary)
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
-    rare = sorted(vocabulary, key=lambda w: (-idf[w], w))
+    own = looked_up(notices, idf, lookups)
     rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    # The index words stand in order of falling idf, so the first that a file holds are its rarest.
-    looked = F.slice(F.array_intersect(_strings(rare), F.col("words")), 1, lookups)
+    # Words of a notice of which the file holds at least two, which may agree on a place.
+    rows = rows.withColumn("held", F.array_intersect(_strings(sorted({w for words in own for w in words})), F.col("words")))
+    some = [F.array_intersect("held", _strings(words)) for words in own]
+    looked = F.array_distinct(F.flatten(F.array(*[F.when(F.size(x) > 1, x).otherwise(F.array().cast("array<string>")) for x in some])))
+    looked = F.when(F.size("held") > 1, looked).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("looked", looked)
     for number, (phrase, _) in enumerate(PHRASES):
         rows = rows.withColumn(f"base{number}", _starts("words", phrase))
-    postings, texts = _postings(notices), _notices(notices)
+    postings, texts = _postings(notices, own), _notices(notices)
     hits = F.filter(
         F.transform("words", lambda w, i: F.when(F.array_contains("looked", w), F.struct(w.alias("w"), i.cast("long").alias("i")))),
         lambda h: h.isNotNull(),

@@ -396,6 +396,21 @@ def test_notices_of_common_words_are_found(spark, others):
     assert got == {i: notices[i // 10][0] for i, _ in rows} | {i: "" for i, _ in plain}
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    text = {label: words for label, words, _ in licenses.NOTICES}
+    index = " ".join(f"{w} apart" for w in sorted({w for _, words, _ in licenses.NOTICES for w in words.split()}))
+    rows = [
+        (1, f"one two. {text['bsd']} and {text['gpl-3']} and so on"),
+        (2, f"{index} {text['gpl-3']} {index}"),
+        (3, " and ".join(words for _, words, _ in licenses.NOTICES)),
+        *[(i, text["gpl-3"]) for i in range(10, 40)],
+        *[(i, "nothing of this kind stands here") for i in range(40, 200)],
+    ]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "bsd,gpl-3" and got[2] == "gpl-3" and got[3] == ",".join(sorted(text))
+    assert all(got[i] == "gpl-3" for i in range(10, 40)) and not any(got[i] for i in range(40, 200))
+
+
 # --- class language model
 
 
