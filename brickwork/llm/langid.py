@@ -7,8 +7,9 @@ the contexts.  A text gets the language with the lowest cross-entropy per
 character.  A text whose lowest cross-entropy is beyond what is usual at its
 length is rejected; the bound comes from labelled texts that the counts left out.
 
-The fit uses a sample of the labelled rows, of ``train_chars`` characters a
-language in expectation; prediction reads whole texts.
+The fit uses a sample of the labelled rows: blocks of ``BLOCK`` characters drawn
+inside the texts, ``train_chars`` a language in expectation however long its texts
+are, and all of a language that has no more.  Prediction reads whole texts.
 
 Defined results: null text, and text without a letter, gives ``und`` with score 0
 and is rejected; with no labelled row everything does; ties go to the language
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ DISCOUNT = 0.75
 TRAIN_CHARS = 400_000
 #: Labelled texts that set the rejection bound, in expectation.
 CALIBRATION_DOCS = 2000
+#: Characters that are drawn together for training.
+BLOCK = 2000
 #: Length at which half of a text's excess cross-entropy counts.
 SHORT = 100
 #: The bound lies this many times the largest excess seen in calibration.
@@ -181,12 +184,12 @@ def fit_model(grams: dict[str, tuple[np.ndarray, np.ndarray]], discount: float =
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams of the highest order, summed in the task."""
+    """Counts of the n-grams of the highest order, summed in the task; ``begins`` where the text does."""
     counts: dict[str, Counter] = {}
     for batch in batches:
-        for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            line = " " * ORDER + " ".join((text or "").lower().split())
-            counts.setdefault(language, Counter()).update(line[i : i + ORDER] for i in range(1, len(line) - ORDER + 1))
+        for language, text, begins in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "begins"))):
+            line = " " * (ORDER if begins else 0) + " ".join((text or "").lower().split())
+            counts.setdefault(language, Counter()).update(line[i : i + ORDER] for i in range(1 if begins else 0, len(line) - ORDER + 1))
     for language, own in counts.items():
         yield pa.RecordBatch.from_arrays(
             [pa.array([language] * len(own), pa.string()), pa.array([g.encode("utf-32-le", "surrogatepass") for g in own], pa.binary()), pa.array(list(own.values()), pa.int64())],
@@ -197,13 +200,32 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, train_chars: int = TRAIN_CHARS, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
     """Fit on (text, lang) of ``docs``; rows without text or language are not used."""
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("draw"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("docs")).collect()
-    if not sizes:
+    n_docs = rows.count()
+    if not n_docs:
         return None
-    n_docs = sum(r["docs"] for r in sizes)
-    share = {r["lang"]: min(1.0, train_chars / max(1, r["chars"])) for r in sizes}
-    upto = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * (1 << 30))))]), F.col("lang"))
-    counts = rows.filter(F.col("draw") < upto).select("lang", "text").mapInArrow(_gram_counts, "lang string, gram binary, n long")
+    # Calibration has its own end of the draw; training leaves it out where the rest of a language suffices.
+    reach = int(min(1.0, calibration_docs / n_docs) * (1 << 30))
+    aside = F.col("draw") >= (1 << 30) - reach
+    chars = F.length("text").cast("long")
+    sizes = rows.groupBy("lang").agg(F.sum(chars).alias("chars"), F.sum(F.when(~aside, chars).otherwise(0)).alias("rest")).collect()
+    spared = {r["lang"]: r["rest"] >= train_chars for r in sizes}
+    share = {r["lang"]: min(1.0, train_chars / max(1, r["rest"] if spared[r["lang"]] else r["chars"])) for r in sizes}
+
+    def of(values: dict) -> Column:
+        return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
+
+    upto = of({k: int(v * (1 << 30)) for k, v in share.items()})
+    whole = upto >= 1 << 30
+    # A text taken whole is one block.
+    last = F.when(whole, F.lit(0)).otherwise(F.greatest(F.floor((F.length("text") - 1) / BLOCK), F.lit(0)).cast("int"))
+    drawn = F.filter(F.sequence(F.lit(0), last), lambda b: whole | (F.pmod(F.xxhash64("draw", b), F.lit(1 << 30)) < upto))
+    rows = rows.withColumn("blocks", F.when(of(spared) & aside, F.array().cast("array<int>")).otherwise(drawn))
+    blocks = rows.filter(F.size("blocks") > 0).select("lang", "text", whole.alias("whole"), F.explode("blocks").alias("block"))
+    # A block begins with the context of its first character.
+    first = F.greatest(F.col("block") * BLOCK - (ORDER - 1), F.lit(0))
+    cut = F.when(F.col("whole"), F.col("text")).otherwise(F.col("text").substr(first + 1, (F.col("block") + 1) * BLOCK - first))
+    counts = blocks.select("lang", cut.alias("text"), (F.col("block") == 0).alias("begins"))
+    counts = counts.mapInArrow(_gram_counts, "lang string, gram binary, n long")
     table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     grams = {}
     for language, own in table.groupby("lang"):
@@ -212,9 +234,8 @@ def train(docs: DataFrame, train_chars: int = TRAIN_CHARS, calibration_docs: int
     if not grams:
         return None
     model = fit_model(grams)
-    # Texts that the counts did not use, from the other end of the draw; all of them where that leaves none.
-    reach = int(min(1.0, calibration_docs / n_docs) * (1 << 30))
-    held = rows.filter((F.col("draw") >= (1 << 30) - reach) & ((F.col("draw") >= upto) | (upto >= (1 << 30) - reach)))
+    # Texts that the counts did not use, or any text of languages of which they needed all ends.
+    held = rows.filter(aside & ((F.size("blocks") == 0) | ~of(spared)))
     seen = _scored(held.select("text"), model).filter("lang_pred <> 'und'").select("cross_entropy", "n_chars").toPandas()
     if len(seen):
         long = seen[seen["n_chars"] >= SHORT]

@@ -108,6 +108,31 @@ def test_languages_are_told_apart(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+@pytest.mark.parametrize("calibration", [3, 2000])
+def test_languages_of_long_texts_are_learned(spark, monkeypatch, calibration):
+    g = np.random.default_rng(5)
+    kinds = {"aa": "abcdefgh", "bb": "ijklmnop"}
+
+    def text(lang, n):
+        letters = g.choice(list(kinds[lang]), n)
+        letters[5::6] = " "
+        return "".join(letters)
+
+    rows = [(i, text("aa", 1_000_000), "aa") for i in range(10)] + [(100 + i, text("bb", 500), "bb") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = {}
+    fit = langid.fit_model
+    monkeypatch.setattr(langid, "fit_model", lambda grams: seen.update(grams) or fit(grams))
+    model = langid.train(df, train_chars=40_000, calibration_docs=calibration)
+    assert model.languages == ["aa", "bb"]
+    # Twenty blocks of the long texts, give or take, and at most all of the short ones.
+    assert all(20_000 < seen[k][1].sum() < 62_000 for k in seen)
+    found = langid.identify(df, model, ("doc_id", "lang")).toPandas()
+    assert (found["lang"] == found["lang_pred"]).all()
+    # A bound from about three texts may reject others.
+    assert calibration == 3 or not found["rejected"].any()
+
+
 def test_kneser_ney_distributions_sum_to_one():
     text = "abracadabra abacus cabaret " * 3
     grams = Counter((" " * langid.ORDER + text)[i : i + langid.ORDER] for i in range(1, len(text) + 1))
