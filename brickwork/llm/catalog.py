@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwork.llm import ann, classlm, cleaning, langid, licenses, mixing, packing, pii, simhash, toxicity
+from brickwork.llm import ann, classlm, cleaning, infill, langid, licenses, mixing, packing, pii, simhash, spelling, tokencounts, toxicity
 from brickwork.llm.shared import documents
 
 #: Vocabulary of the packing query, and the same as merge ranks.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Vocabulary of the token counts.
+COUNTED = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +70,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scanned(documents(spark, sf_dir))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and the text rebuilt from it, as digests."""
+    return infill.digests(documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, form and root."""
+    return spelling.grouped(documents(spark, sf_dir))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return tokencounts.counted(documents(spark, sf_dir), public_tokenizers.path(COUNTED))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to packed pieces."""
     import corpus_pipeline
@@ -76,9 +93,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_packing, op2_language_id, op3_mixing, op4_toxicity, op5_simhash, op6_quality_rules, op7_license_scan, op8_class_lm, op9_graph_ann, op10_personal_data, pipeline)
+    every = (op1_packing, op2_language_id, op3_mixing, op4_toxicity, op5_simhash, op6_quality_rules, op7_license_scan, op8_class_lm, op9_graph_ann, op10_personal_data, op11_infill, op12_spelling, op13_token_counts, pipeline)
     return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op6_quality_rules": cleaning.SQL}
+    return {"op3_mixing": mixing.SQL, "op6_quality_rules": cleaning.SQL, "op11_infill": infill.SQL, "op12_spelling": spelling.SQL}
