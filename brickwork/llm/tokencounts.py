@@ -11,10 +11,13 @@ task, at most ``COMMON`` of at most ``COMMON_CHARS`` characters.  All others are
 by a shuffle, where none can be hot, as the hot ones are among the former.
 
 Splitting is the vocabulary's own normalizer and pre-tokenizer.  Where white space
-separates pre-tokens (as is asked of the vocabulary at the start), words between white
-space are split once and remembered by the task.  A word that may spell an added
-token, such as the mark of a text's end, is kept whole and counted by the complete
-vocabulary, since added tokens are looked for before anything else.
+separates pre-tokens (as is found out at the start), words between white space are
+split on their own.  Where the vocabulary lowers letters and splits by a pattern, the
+same pattern splits texts of printable characters below U+0300 directly: there are no
+combining marks there, so composing changes nothing, and lower case of a letter does
+not depend on its neighbours.  A word that may spell an added token, such as the mark
+of a text's end, is kept whole and counted by the complete vocabulary, since added
+tokens are looked for before anything else.
 
 Defined results: null text is empty and has no bytes and no tokens; rows are counted
 one by one, so repeated rows and ids, null ids too, give repeated results; texts of any
@@ -30,6 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,30 +48,44 @@ REMEMBERED, REMEMBERED_CHARS = 1 << 17, 64
 #: Pre-tokens in one Arrow batch of frequencies.
 BATCH_PIECES = 1 << 18
 LIMIT = 2048
+#: Any other character than white space and printable ones below U+0300.
+UNUSUAL = re.compile(f"[^{SPACE}\\x21-\\x7E\\u00A1-\\u02FF]")
+#: Byte-level characters: printable bytes stand for themselves, the others follow U+0100 in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 #: Leads a word that is counted by the complete vocabulary; no pre-token holds it.
 WHOLE = "\x00"
 
 
-def _tokenizer(vocabulary: str):
-    from tokenizers import Tokenizer
-
-    # Loaded from text, as a file that asks for truncation or padding must not change counts.
-    with open(vocabulary, encoding="utf-8") as file:
-        own = Tokenizer.from_str(json.dumps(json.load(file)))
-    own.no_truncation()
-    own.no_padding()
-    return own
+def _own_pattern(settings: dict) -> regex.Pattern | None:
+    """The pattern of a vocabulary that composes, lowers, splits by it, and maps bytes; None for all others."""
+    lowered = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    if settings["normalizer"] != lowered or (settings["pre_tokenizer"] or {}).get("type") != "Sequence":
+        return None
+    steps = settings["pre_tokenizer"]["pretokenizers"]
+    split = {"type": "Split", "behavior": "Removed", "invert": True}
+    levels = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    if len(steps) != 2 or any(step.get(k) != v for step, want in zip(steps, (split, levels)) for k, v in want.items()):
+        return None
+    return regex.compile(steps[0]["pattern"]["Regex"]) if "Regex" in steps[0]["pattern"] else None
 
 
 class PreTokens:
     """Pre-tokens of texts; ``pieces`` gives the number of tokens of one of them."""
 
     def __init__(self, vocabulary: str):
-        self.own = _tokenizer(vocabulary)
+        from tokenizers import Tokenizer
+
+        with open(vocabulary, encoding="utf-8") as file:
+            settings = json.load(file)
+        self.own = Tokenizer.from_file(vocabulary)
+        self.own.no_truncation()
+        self.own.no_padding()
         added = [t.content for t in self.own.get_added_tokens_decoder().values()]
         # The first two characters tell words that need a closer look.
         self.marks = tuple({a[:2] for a in added})
         self.words = re.compile(f"[^{SPACE}]+") if self._spaces_separate() else re.compile(r"(?s).+")
+        self.pattern = _own_pattern(settings) if self._spaces_separate() else None
         self.known: dict[str, tuple[str, ...]] = {}
 
     def _split(self, text: str) -> tuple[str, ...]:
@@ -82,6 +100,9 @@ class PreTokens:
         alone = tuple(p for x in parts for p in self._split(x))
         return all(self._split(gap.join(["", *parts, ""])) == alone for gap in (" ", "\t", "\n", "\x0b", "\x0c", "\r", " \n "))
 
+    def _usual(self, text: str) -> bool:
+        return self.pattern is not None and not UNUSUAL.search(text) and not any(m in text for m in self.marks)
+
     def of_word(self, word: str) -> tuple[str, ...]:
         got = self.known.get(word)
         if got is None:
@@ -93,8 +114,19 @@ class PreTokens:
         return got
 
     def counts(self, text: str) -> Counter[str]:
-        out: Counter[str] = Counter()
-        for word, n in Counter(self.words.findall(text)).items():
+        if self._usual(text):
+            found = Counter(self.pattern.findall(text.lower()))
+            rest: dict[str, int] = {}
+        else:
+            found, rest = Counter(), {}
+            for word, n in Counter(self.words.findall(text)).items():
+                if self._usual(word):
+                    for pre in self.pattern.findall(word.lower()):
+                        found[pre] += n
+                else:
+                    rest[word] = n
+        out = Counter({p if p.isascii() else p.encode().decode("latin-1").translate(BYTES): n for p, n in found.items()})
+        for word, n in rest.items():
             for pre in self.of_word(word):
                 out[pre] += n
         return out

@@ -93,3 +93,25 @@ def test_remembered_words_are_bounded(monkeypatch):
     for k in range(100):
         own.counts(f"word{k} and more")
     assert len(own.known) <= 10
+
+
+def test_usual_characters_are_split_as_by_the_vocabulary():
+    """Every printable character below U+0300 alone, in pairs and inside words."""
+    own = tokencounts.PreTokens(VOCABULARY)
+    usual = [chr(c) for c in range(0x21, 0x300) if not tokencounts.UNUSUAL.match(chr(c))]
+    assert len(usual) == 94 + 0x300 - 0xA1
+    words = [f"{a}{b}" for a in usual for b in ["", "a", "Z", "1", "'s", ".", "'", "é", "²", "İ"]] + [f"{b}{a}" for a in usual for b in "aZ1'.éªǅ"]
+    for word in words:
+        if own._usual(word):
+            assert sorted(own.counts(word).elements()) == sorted(own._split(word)), word
+    assert own._usual("a'b É") and not own._usual("<|") and not own._usual("a\u0301") and not own._usual("a\xa0b")
+
+
+def test_pattern_is_used_only_where_it_is_known():
+    import json
+
+    with open(VOCABULARY, encoding="utf-8") as file:
+        settings = json.load(file)
+    assert tokencounts._own_pattern(settings) is not None
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "Sequence", "pretokenizers": []}}):
+        assert tokencounts._own_pattern({**settings, **change}) is None
