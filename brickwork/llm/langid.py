@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brickwork.llm.hashes import MULTIPLIERS, SortedHashes, gram_hashes, mixed
-from brickwork.llm.shared import remainder
+from brickwork.llm.shared import remainder, small_batches
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -249,8 +249,44 @@ def _excess(cross_entropy, n_chars, usual: float):
     return (cross_entropy - usual) * np.sqrt(n_chars / (n_chars + SHORT))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a letter stands in ``text``; numerals such as superscripts are none."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
+def _judged(texts: pa.Array, model: Model | None) -> list[tuple]:
+    """(lang_pred, score, cross_entropy, n_chars, rejected) of every text."""
+    rows: list[tuple] = [(UNKNOWN, 0.0, None, 0, True)] * len(texts)
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+
+    def settle() -> None:
+        values = model.cross_entropies([codes for _, codes in held])
+        for (i, codes), own in zip(held, values):
+            best = int(np.argmin(own))
+            # A text is worth at most 50 independent characters of evidence.
+            odds = np.exp((own[best] - own) * min(len(codes), 50))
+            excess = _excess(own[best], len(codes), model.usual)
+            rows[i] = (model.languages[best], float(1 / odds.sum()), float(own[best]), len(codes), bool(excess > model.bound))
+
+    for i, text in enumerate(texts):
+        text = text.as_py()
+        if model is None or not text or not has_letter(text):
+            continue
+        codes = codes_of(text)
+        held.append((i, codes))
+        size += len(codes)
+        if size >= 4 * SLICE:
+            settle()
+            held, size = [], 0
+    if held:
+        settle()
+    return rows
+
+
 def _scored(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ()) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in carry] + [
         T.StructField("lang_pred", T.StringType()),
         T.StructField("score", T.DoubleType()),
@@ -260,33 +296,8 @@ def _scored(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ()) -
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            rows: list[tuple] = [(UNKNOWN, 0.0, None, 0, True)] * batch.num_rows
-            held: list[tuple[int, np.ndarray]] = []
-            size = 0
-
-            def settle() -> None:
-                values = model.cross_entropies([codes for _, codes in held])
-                for (i, codes), own in zip(held, values):
-                    best = int(np.argmin(own))
-                    # A text is worth at most 50 independent characters of evidence.
-                    odds = np.exp((own[best] - own) * min(len(codes), 50))
-                    excess = _excess(own[best], len(codes), model.usual)
-                    rows[i] = (model.languages[best], float(1 / odds.sum()), float(own[best]), len(codes), bool(excess > model.bound))
-
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                if model is None or not text or not LETTER.search(text):
-                    continue
-                codes = codes_of(text)
-                held.append((i, codes))
-                size += len(codes)
-                if size >= 4 * SLICE:
-                    settle()
-                    held, size = [], 0
-            if held:
-                settle()
+            rows = _judged(batch.column("text"), shared.value)
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + columns, names=[f.name for f in fields])
 
@@ -309,7 +320,11 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns."""
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    found = identify(docs.select("text", own), train(training_rows(docs)), carry=("_row",))
-    return found.filter("NOT rejected").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """The rows of ``docs`` that are not rejected, with their columns; only the text goes to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs)))
+    small_batches(docs.sparkSession)
+
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([not row[-1] for row in _judged(texts, shared.value)], pa.bool_())
+
+    return docs.filter(F.arrow_udf(known, T.BooleanType())("text"))

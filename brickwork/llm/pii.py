@@ -24,15 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brickwork.llm import tagger
+from brickwork.llm.shared import small_batches
 from brickwork.llm.tagger import KINDS, WIDTH
 
-#: Sample of the fit: documents in expectation, and windows at most.
+#: Sample of the fit: documents in expectation (half of them may hold a base span), and windows at most.
 TRAIN_DOCS = 4000
 TRAIN_WINDOWS = 1500
 TRAIN_STEPS = 300
@@ -47,6 +47,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: Every base span matches one of these.
+LIKELY = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}|\+[0-9][ ().0-9-]{7}"
 EVIDENCE = re.compile(r"[0-9@]+")
 
 Span = tuple[int, int, int]
@@ -243,11 +245,15 @@ def _labelled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> dict | None:
     """Parameters of the tagger, from the base spans of a sample of ``docs``."""
-    total = docs.count()
-    if not total:
+    # Texts that may hold a base span are drawn on their own: they may be rare.
+    likely = F.coalesce(F.col("text").rlike(LIKELY), F.lit(False))
+    rows = docs.select("text", likely.alias("likely"))
+    found = {r["likely"]: r["count"] for r in rows.groupBy("likely").count().collect()}
+    if not found.get(True):
         return None
-    reach = int(min(1.0, train_docs / total) * (1 << 30))
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= reach)
+    reach = {k: int(min(1.0, train_docs / 2 / n) * (1 << 30)) for k, n in found.items()}
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    sample = rows.filter(draw <= F.when(F.col("likely"), reach[True]).otherwise(reach.get(False, 0))).select("text")
     rows = sample.mapInArrow(_labelled_windows, "x binary, y binary").distinct()
     kind = F.when(F.expr("translate(hex(y), '0', '') = ''"), 0).otherwise(1)
     rows = rows.withColumn("kind", kind).withColumn("draw", F.xxhash64("x", "y"))
@@ -259,47 +265,52 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TR
     return tagger.fit(x, y.astype(np.int64), epochs=-(-TRAIN_STEPS // -(-len(x) // BATCH_WINDOWS)), batch=BATCH_WINDOWS)
 
 
-def find(docs: DataFrame, model: dict | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns, ``base`` and ``added`` spans (kind, start, end) of every document."""
+def spans_of(texts: list[str | None], model: dict | None) -> tuple[list[list[Span]], list[list[Span]]]:
+    """Base spans and added spans of every text."""
+    base = [base_spans(t or "") for t in texts]
+    added: list[list[Span]] = [[] for _ in base]
+    held: list[tuple[int, str, list[int]]] = []
+
+    def settle() -> None:
+        windows = np.concatenate([windows_of(t, s) for _, t, s in held])
+        # Equal windows have equal labels.
+        kinds, back = np.unique(windows, axis=0, return_inverse=True)
+        labels = np.concatenate([tagger.decode(model, kinds[i : i + BATCH]) for i in range(0, len(kinds), BATCH)])[back.ravel()]
+        at = 0
+        for i, text, starts in held:
+            found = reconcile(len(text), starts, labels[at : at + len(starts)])
+            added[i] = added_spans(text, found, base[i])
+            at += len(starts)
+
+    count = 0
+    for i, text in enumerate(texts):
+        starts = window_starts(text) if model and text else []
+        if starts:
+            held.append((i, text, starts))
+            count += len(starts)
+            if count >= 8 * BATCH:
+                settle()
+                held, count = [], 0
+    if held:
+        settle()
+    return base, added
+
+
+def find(docs: DataFrame, model: dict | None) -> DataFrame:
+    """doc_id, ``base`` and ``added`` spans (kind, start, end) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("base", span), T.StructField("added", span)])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("base", span), T.StructField("added", span)])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            base = [base_spans(t.as_py() or "") for t in batch.column("text")]
-            added: list[list[Span]] = [[] for _ in base]
-            held: list[tuple[int, str, list[int]]] = []
-
-            def settle() -> None:
-                windows = np.concatenate([windows_of(t, s) for _, t, s in held])
-                # Equal windows have equal labels.
-                kinds, back = np.unique(windows, axis=0, return_inverse=True)
-                labels = np.concatenate([tagger.decode(model, kinds[i : i + BATCH]) for i in range(0, len(kinds), BATCH)])[back.ravel()]
-                at = 0
-                for i, text, starts in held:
-                    found = reconcile(len(text), starts, labels[at : at + len(starts)])
-                    added[i] = added_spans(text, found, base[i])
-                    at += len(starts)
-
-            count = 0
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                starts = window_starts(text) if model else []
-                if starts:
-                    held.append((i, text, starts))
-                    count += len(starts)
-                    if count >= 8 * BATCH:
-                        settle()
-                        held, count = [], 0
-            if held:
-                settle()
-            out = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(own)] for own in side], arrow) for side in (base, added)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + out, names=schema.names)
+            sides = spans_of(batch.column("text").to_pylist(), shared.value)
+            out = [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(own)] for own in side], arrow) for side in sides]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out], names=schema.names)
 
-    return docs.select(*dict.fromkeys(["text", *carry])).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _text_of(spans: Column) -> Column:
@@ -327,33 +338,28 @@ def _masked(text: str | None, spans: list[Span]) -> str | None:
     if not spans:
         return text
     out, at, end = [], 0, 0
-    for a, b, kind in sorted(spans):
+    for a, b, kind in sorted((a, b, k) for k, a, b in spans):
         if a >= end:
-            out += [text[at:a], f"[{kind.upper()}]"]
+            out += [text[at:a], f"[{KINDS[kind].upper()}]"]
         end = max(end, b)
         at = end
     return "".join([*out, text[at:]])
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by the name of its kind; ``n_chars`` follows the new text."""
-    names = docs.columns
-    own = F.struct(*[F.col(c) for c in names]).alias("_row")
-    found = find(docs.select("text", own), train(docs), carry=("_row",))
-    found = found.select("_row", F.concat("base", "added").alias("_spans"))
-    fields = [docs.schema[c] for c in names]
-
-    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column("_row")
-            texts = []
-            for text, spans in zip(pc.struct_field(row, "text"), batch.column("_spans").to_pylist()):
-                texts.append(_masked(text.as_py(), [(s["start"], s["end"], s["kind"]) for s in spans]))
-            columns = {c: pc.struct_field(row, c) for c in names}
-            columns["text"] = pa.array(texts, columns["text"].type)
-            if "n_chars" in columns:
-                size = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns["n_chars"].type)
-                columns["n_chars"] = size
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
-
-    return found.mapInArrow(mask, T.StructType(fields))
+    """``docs`` with every span replaced by the name of its kind; ``n_chars`` follows the new text.
+
+    Only the text goes to Python, which finds and masks in one pass; the other columns stay as they are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    small_batches(docs.sparkSession)
+
+    def mask(texts: pa.Array) -> pa.Array:
+        own = texts.to_pylist()
+        base, added = spans_of(own, shared.value)
+        return pa.array([_masked(t, [*b, *a]) for t, b, a in zip(own, base, added)], pa.string())
+
+    out = docs.withColumn("text", F.arrow_udf(mask, T.StringType())("text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -38,6 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes of the Arrow batches that whole texts travel in, unless the user has set a bound."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+    if spark.conf.get(key, default) in (default, f"{default}b", "64MB", "64m"):
+        spark.conf.set(key, str(size))
+
+
 def queue_key(column: str) -> Column:
     """A non-null text key of a nullable grouping column; nulls sort last."""
     return F.coalesce(F.concat(F.lit("0"), F.col(column).cast("string")), F.lit("1"))

@@ -215,26 +215,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id", "class_size", *[c for c in carry if c != "doc_id"])
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the whole row as ``row``, and ``content``, a name of rows that are equal in every column.
+
+    Names of the caller's columns cannot clash with any that are added to the result.
+    """
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    cells = [x for c in docs.columns for x in (F.col("row")[c].isNull(), F.col("row")[c].cast("string"))]
+    content = F.concat_ws(":", F.xxhash64(*cells), F.xxhash64(F.lit(SEED), *cells))
+    return rows.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), content.alias("content"))
+
+
 def one_of_each(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """One of ``rows`` (doc_id, _content and more) for each ``key`` of ``found`` (doc_id, _content, component_id)."""
-    keep = found.groupBy(key).agg(
-        F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "doc_id", "_content")).alias("k")
-    )
-    keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k._content").alias("_content")).distinct()
-    kept = rows.join(keep, rows.doc_id.eqNullSafe(keep._id) & (rows._content == keep._content), "left_semi")
+    """The own columns of one of ``rows`` (see ``nested``) for each ``key`` of ``found`` (doc_id, content, component_id)."""
+    first = F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "doc_id", "content"))
+    keep = found.groupBy(key).agg(first.alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.content").alias("content")).distinct()
+    kept = rows.join(keep, rows.doc_id.eqNullSafe(keep.id) & (rows.content == keep.content), "left_semi")
     # Rows equal in every column are one document.
-    return kept.dropDuplicates(["doc_id", "_content"])
+    return kept.dropDuplicates(["doc_id", "content"]).select("row.*")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` for one document of each component.
 
     The smallest id stays; of rows that share this id, one.  The choice is made on
-    narrow rows (a hash of the row beside its id), so whole texts are shuffled at
+    narrow rows (a name of the row beside its id), so whole texts are shuffled at
     most once.
     """
-    names = docs.columns
-    content = F.xxhash64(*[F.col(c).cast("string") for c in names])
-    rows = docs.withColumn("_content", content)
-    found = near_duplicates(rows.select("doc_id", "text", "_content"), carry=("_content",))
-    return one_of_each(rows, found, "component_id").select(*names)
+    rows = nested(docs)
+    found = near_duplicates(rows.select("doc_id", "text", "content"), carry=("content",))
+    return one_of_each(rows, found, "component_id")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brickwork.llm.shared import remainder
+from brickwork.llm.shared import remainder, small_batches
 
 BITS = 20
 TRAIN_ROWS = 3000
@@ -84,10 +84,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights learned from (doc_id, text) and (doc_id, label); see ``fit``."""
     labels = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("label") > 0).cast("int").alias("label"))
-    found = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    # Only ids with a text can be learned from.
+    labels = labels.join(docs.filter("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    found = labels.groupBy("label").agg(F.count("*").alias("n")).collect()
     if not found:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), -1e-9
-    share = {k: min(1.0, train_rows / n) for k, n in found.items()}
+    share = {r["label"]: min(1.0, train_rows / r["n"]) for r in found}
     upto = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * (1 << 30))))]), F.col("label"))
     sample = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < upto)
     # At most two classes of ``train_rows`` ids, in expectation: small at any size of the tables.
@@ -95,6 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
     # The order of the rows must not depend on how they were dealt out.
     got = rows.mapInArrow(_features, "label int, features array<int>").toPandas()
+    if not len(got):
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), -1e-9
     got["order"] = [zlib.crc32(np.asarray(f).tobytes()) for f in got["features"]]
     got = got.sort_values(["order", "label"], kind="stable")
     # Half the way from equal classes back to their shares: rare classes stay audible.
@@ -105,6 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """(doc_id, score, predicted) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

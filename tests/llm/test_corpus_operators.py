@@ -602,3 +602,48 @@ def test_pipeline_stages(spark, sf, odd, monkeypatch):
     for name, stage in corpus_pipeline.STAGES:
         left = corpus_pipeline.stored(stage(spark, left, sf), f"odd-{name}")
     assert left.count() > 0
+
+
+def test_stages_keep_the_values_of_every_column(spark, odd, empty, monkeypatch):
+    """Columns named like the operators' own, such as fp and _content, come back as they went in."""
+    monkeypatch.setattr(pii, "TRAIN_STEPS", 2)
+    own = odd.withColumn("fp", F.coalesce("doc_id", F.lit(0)) * 7).withColumn("_content", F.concat_ws("-", "doc_id", "lang")).withColumn("content", F.lit(3)).withColumn("row", F.col("fp") + 1)
+    was = {r.asDict()["doc_id"]: r.asDict() for r in own.collect()}
+    for stage in (langid.in_known_language, nearcopies.without_near_copies, simhash.without_near_duplicates, pii.without_personal_data):
+        got = stage(own).collect()
+        assert got and stage(own.where("false")).count() == 0
+        for r in got:
+            new, old = r.asDict(), dict(was[r.doc_id])
+            if stage is pii.without_personal_data:
+                assert new.pop("n_chars") == (None if r.text is None else len(r.text)) and (new.pop("text") is None) == (old.pop("text") is None)
+                old.pop("n_chars")
+            assert new == old
+
+
+def test_rows_that_differ_in_nulls_are_two(spark):
+    rows = spark.createDataFrame([(1, "same text here", None, "a"), (1, "same text here", "a", None)], "doc_id long, text string, lang string, source string")
+    names = simhash.nested(rows).select("content").distinct()
+    assert names.count() == 2 and nearcopies.without_near_copies(rows).count() == 1
+
+
+def test_labels_without_documents_teach_nothing(spark, odd):
+    labels = spark.createDataFrame([(10**9 + k, 1, k % 2) for k in range(50)], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(odd, labels).collect()
+    assert len(got) == odd.count() and {r.predicted for r in got} == {0} and {round(r.score, 6) for r in got} == {0.5}
+
+
+def test_numerals_are_no_letters(spark):
+    assert not langid.has_letter("² ½ 123 _ Ⅷ") and langid.has_letter("² x") and langid.has_letter("ß")
+
+
+def test_rare_personal_data_is_still_learned(spark):
+    rows = [(k, f"plain words number {k} and nothing else") for k in range(3000)] + [(9000 + k, f"write to mail{k}@host{k}.org or +1 415 555 01{k:02d} today") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    mp = pytest.MonkeyPatch()
+    mp.setattr(tagger, "fit", lambda x, y, **_: seen.append((y > 0).any(axis=1).sum()))
+    pii.train(docs, train_docs=60)
+    mp.undo()
+    assert seen and seen[0] >= 12
+    for text in ("a@b.c", "1.2.3.4", "4111 1111-11111111", "+12 (345) 678-90"):
+        assert pii.re.search(pii.LIKELY, text), text
