@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brickwork.catalog.base import Registry, sql_fixed, table
+from brickwork.catalog.portfolio import portfolio, predict, suppliers_as_customers
 from brickwork.functions.rounding import fixed
 from brickwork.operators import surrogate as s
+from brickwork.operators.energy import cooling_for_prediction
 from brickwork.plans import training as plan
+from brickwork.plans.boosting import Patience, fit_staged
+from brickwork.plans.inference import draw_ensemble, infer, infer_savings, summarize_results
 from brickwork.session import checkpoint_root
+from brickwork.sources.rules import legacy_costs, standard_incentives
 
 REGISTRY = Registry()
 _NUM = ("p_size", "p_retailprice")
@@ -135,3 +140,91 @@ def progressive_training_study(spark, sf_dir):
         f"{checkpoint_root(spark)}/study-{uuid.uuid4().hex}", "customers",
         plan.Progress(n_init=n, n_per_iter=n, min_per_stratum=10, max_iters=2, folds=2), QUICK,
     )
+
+
+# ---- staged boosting, followed in SQL by one-split trees over few values ------------------
+
+STUMPS = Patience(rounds=6, patience=2, depth=1, step=0.5, min_child=1, subsample=1.0, column_share="all", refresh=3)
+_STAGED = {"duty": "l_extendedprice * l_tax / 1000.0", "quantity": "l_quantity"}
+
+
+def _staged_sql(target: str, expr: str) -> str:
+    """Rounds of one-split trees on the residuals of lines whose order number 5 does not divide."""
+    cells = "SELECT l_tax AS x0, l_discount AS x1, l_orderkey % 5 = 0 AS held, ({e})::DOUBLE AS y FROM lineitem".format(e=expr)
+    steps = [f"r0 AS MATERIALIZED (SELECT *, (SELECT avg(y) FROM ({cells}) WHERE NOT held) AS f FROM ({cells}))"]
+    for r in range(1, STUMPS.rounds + 1):
+        p = f"r{r - 1}"
+        steps += [
+            f"v{r} AS (SELECT k, x, sum(y - f) AS s, count(*) AS n FROM (SELECT 0 AS k, x0 AS x, y, f FROM {p} WHERE NOT held UNION ALL SELECT 1, x1, y, f FROM {p} WHERE NOT held) GROUP BY k, x)",
+            f"c{r} AS (SELECT k, x, sum(s) OVER a AS sl, sum(n) OVER a AS nl, sum(s) OVER w AS s, sum(n) OVER w AS n FROM v{r} WINDOW a AS (PARTITION BY k ORDER BY x), w AS (PARTITION BY k))",
+            f"t{r} AS MATERIALIZED (SELECT k, x, sl / nl AS lo, (s - sl) / (n - nl) AS hi FROM c{r} WHERE nl < n ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)",
+            f"r{r} AS MATERIALIZED (SELECT x0, x1, held, y, f + {STUMPS.step} * CASE WHEN CASE k WHEN 0 THEN x0 ELSE x1 END <= x THEN lo ELSE hi END AS f FROM {p}, t{r})",
+        ]
+    rmse = lambda h: f"sqrt(avg((y - f) * (y - f)) FILTER (WHERE {h}))"
+    each = " UNION ALL ".join(f"SELECT {r} AS round, {rmse('NOT held')} AS a, {rmse('held')} AS b FROM r{r}" for r in range(1, STUMPS.rounds + 1))
+    return (
+        f"WITH {', '.join(steps)}, h AS MATERIALIZED ({each}), m AS (SELECT a.round, arg_min(b.round, b.b) AS best FROM h a JOIN h b ON b.round <= a.round GROUP BY a.round), "
+        f"e AS (SELECT coalesce(min(round), {STUMPS.rounds}) AS last FROM m WHERE round - best >= {STUMPS.patience}) "
+        f"SELECT '{target}' AS target, round, {sql_fixed('a')} AS train_rmse, {sql_fixed('b')} AS held_rmse, round = (SELECT best FROM m, e WHERE m.round = e.last) AS chosen FROM h, e WHERE round <= last"
+    )
+
+
+@REGISTRY.add(" UNION ALL ".join(f"SELECT * FROM ({_staged_sql(t, e)})" for t, e in _STAGED.items()))
+def staged_boosting_history(spark, sf_dir):
+    """Error of every round until two rounds bring no gain, and the round that is kept."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_tax", "l_discount", "l_orderkey % 5 = 0 AS __held", *[f"double({e}) AS {t}" for t, e in _STAGED.items()])
+    out = None
+    for t in _STAGED:
+        got = fit_staged(rows, ["l_tax", "l_discount"], t, STUMPS).table(spark, t)
+        out = got if out is None else out.unionByName(got)
+    return out.withColumns({c: fixed(F.col(c)) for c in ("train_rmse", "held_rmse")})
+
+
+# ---- models trained in the session, inside inference --------------------------------------
+
+LOADS = ("Raw_Lighting", "Raw_Equipment", "Raw_DomesticHotWater", "Raw_Heating", "Raw_Cooling", "Peak_Heating")
+LOAD_FEATURES = ("geometry__wwr", "geometry__f2f_height", "geometry__num_floors", "extra_spaces__basement__use_fraction", "semantic__Windows", "semantic__Cooling")
+LOAD_KINDS = ("semantic__Windows", "semantic__Cooling")
+
+
+def _simulated(spark, sf_dir, n=2):
+    """Draws of every supplier's building with closed-form loads, the stand-in for simulations."""
+    drawn, _ = draw_ensemble(portfolio(spark, sf_dir, suppliers_as_customers(spark, sf_dir)), n, seed=7)
+    return cooling_for_prediction(predict(drawn, "")).drop("semantic__Cooling").withColumnRenamed("predict__Cooling", "semantic__Cooling")
+
+
+def _trained(spark, sf_dir, targets=LOADS, settings=Patience(rounds=8, patience=3, depth=4, step=0.5, subsample=1.0, column_share="all")):
+    data = _simulated(spark, sf_dir).withColumn("fold", F.pmod(F.hash("building_id"), F.lit(4))).withColumn("stratum", F.lit("all"))
+    result = plan.train_fold(data, 0, LOAD_FEATURES, LOAD_KINDS, list(targets), "stratum", boosting=settings)
+    result.release()
+    return result
+
+
+@REGISTRY.add(
+    "SELECT c_custkey AS building_id, unnest(range(2)) AS sample_id, t AS target, TRUE AS same FROM customer, (SELECT unnest(['Raw_Heating', 'Raw_Cooling']) AS t)"
+)
+def trained_loads_equal_transform(spark, sf_dir):
+    """Each draw's loads from the stored trees beside those of the models' own transform."""
+    targets = ["Raw_Heating", "Raw_Cooling"]
+    result = _trained(spark, sf_dir, targets, plan.Boosting(rounds=4, depth=4, subsample=1.0, column_share="all"))
+    ensemble, _ = draw_ensemble(portfolio(spark, sf_dir), 2)
+    both = plan.trained_predictor(result.models, result.space)(ensemble, "")
+    cooled = cooling_for_prediction(both).drop("semantic__Cooling").withColumnRenamed("predict__Cooling", "semantic__Cooling")
+    own = plan.predict(result.space.encode(cooled, ["building_id", "sample_id", *targets]), result.models)
+    near = lambda t: f"abs(`{t}` - `pred_{t}`) <= 1e-9D * greatest(abs(`pred_{t}`), 1D)"
+    return own.selectExpr("building_id", "sample_id", f"inline(array({', '.join(f'''struct('{t}' AS target, {near(t)} AS same)''' for t in targets)}))")
+
+
+@REGISTRY.add()
+def trained_inference_summary(spark, sf_dir):
+    """Distributions of every customer's building with loads from models trained in this session."""
+    result = _trained(spark, sf_dir)
+    return summarize_results(infer(portfolio(spark, sf_dir), 8, plan.trained_predictor(result.models, result.space)), 8)
+
+
+@REGISTRY.add()
+def trained_savings_summary(spark, sf_dir):
+    """Savings of every customer's upgrade, both scenarios predicted by the same trained models."""
+    result = _trained(spark, sf_dir)
+    ensemble = infer_savings(portfolio(spark, sf_dir), 4, plan.trained_predictor(result.models, result.space), legacy_costs(), standard_incentives())
+    return summarize_results(ensemble, 4, prefix="Delta_")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,10 @@ from brickwork.functions.text import derive, sql_list
 from brickwork.operators.validation import domain_report
 
 
+#: Most options of a feature that are written into a plan; more are joined as a table.
+LITERALS = 1000
+
+
 @dataclass(frozen=True)
 class FeatureSpace:
     """Ordered features: a tuple of options, or a (low, high) range."""
@@ -27,15 +31,29 @@ class FeatureSpace:
     def check(self, df: DataFrame) -> DataFrame:
         return domain_report(df, self.options(), self.ranges())
 
-    def encode(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Ordinal codes (-1 when unseen) and min-max scaled numbers, in space order."""
-        exprs = []
+    def codes(self, read: Callable[[str], str]) -> dict[str, str]:
+        """SQL text of every encoded feature; ``read`` names the column that a feature is read from.
+
+        Ordinal codes (-1 when unseen) and min-max scaled numbers.
+        """
+        out = {}
         for f, v in self.features.items():
             if v and isinstance(v[0], str):
-                exprs.append(f"coalesce(double(array_position(array({sql_list(v)}), `{f}`) - 1), -1D) AS `{f}`")
+                out[f] = f"coalesce(double(array_position(array({sql_list(v)}), {read(f)}) - 1), -1D)"
             else:
-                exprs.append(f"try_divide(double(`{f}`) - {v[0]!r}D, {v[1] - v[0]!r}D) AS `{f}`")
-        return df.selectExpr(*[f"`{c}`" for c in keep], *exprs)
+                out[f] = f"try_divide(double({read(f)}) - {v[0]!r}D, {v[1] - v[0]!r}D)"
+        return out
+
+    def encode(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Encoded features in space order; features with many options are looked up in a table of them."""
+        large = [f for f, v in self.options().items() if len(v) > LITERALS]
+        looked_up = {}
+        for k, f in enumerate(large):
+            rows = df.sparkSession.createDataFrame([(o, float(i)) for i, o in enumerate(self.features[f])], f"__o{k} string, __c{k} double")
+            df = df.join(rows, F.col(f"`{f}`") == F.col(f"__o{k}"), "left")
+            looked_up[f] = f"coalesce(__c{k}, -1D)"
+        small = FeatureSpace({f: v for f, v in self.features.items() if f not in large}).codes(lambda f: f"`{f}`")
+        return df.selectExpr(*[f"`{c}`" for c in keep], *[f"{ {**small, **looked_up}[f]} AS `{f}`" for f in self.features])
 
     def table(self, spark) -> DataFrame:
         rows = [
@@ -66,14 +84,7 @@ def numeric_bounds(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     return bounds.selectExpr(f"inline(array({pairs}))")
 
 
-MAX_OPTIONS = 100_000
-
-
 def learn_space(data: DataFrame, train: DataFrame, features: Sequence[str], categorical: Sequence[str]) -> FeatureSpace:
-    if categorical:
-        pairs = ", ".join(f"struct('{c}' AS feature, `{c}` AS option)" for c in categorical)
-        if data.selectExpr(f"inline(array({pairs}))").distinct().limit(MAX_OPTIONS + 1).count() > MAX_OPTIONS:
-            raise ValueError("a categorical feature has too many values for a feature space")
     options = {r["feature"]: tuple(r["options"]) for r in categorical_domains(data, categorical).collect()} if categorical else {}
     numeric = [f for f in features if f not in categorical]
     bounds = {r["feature"]: (r["low"], r["high"]) for r in numeric_bounds(train, numeric).collect()} if numeric else {}

@@ -17,7 +17,7 @@ from brickwork.functions.draws import Draw
 from brickwork.functions.rng import Keyed, with_row_key
 from brickwork.functions.text import derive
 from brickwork.names import INCOME_BRACKETS, UNITS, UNITS_PER
-from brickwork.operators.energy import add_results, reader, result_columns
+from brickwork.operators.energy import add_results, result_columns
 from brickwork.operators.priors import PriorSet, default_priors, expand_samples
 from brickwork.operators.quantities import RuleSet
 from brickwork.operators.retrofit import (
@@ -85,12 +85,6 @@ def apply_upgrade(
     return df
 
 
-def cooling_for_prediction(df: DataFrame, suffix: str = "") -> DataFrame:
-    """Buildings without cooling are predicted as if they had central cooling."""
-    c = reader(df, suffix)("semantic__Cooling")
-    return derive(df, {"predict__Cooling": f"CASE WHEN {c} = 'none' THEN 'ACCentral' ELSE {c} END"})
-
-
 def infer(portfolio: DataFrame, n: int, predict: Predictor, priors: PriorSet | None = None, seed: int = 42) -> DataFrame:
     """The wide ensemble of one scenario with every normalized result column."""
     df, _ = draw_ensemble(portfolio, n, priors, seed)

@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 
 from brickwork.functions.rng import with_row_key
 from brickwork.operators import surrogate as s
+from brickwork.operators.energy import cooling_for_prediction, reader
 from brickwork.operators.ranking import hash_rank, split_label, stratified_folds
 from brickwork.operators.sampling import stratified_selection
 from brickwork.operators.validation import near_constant_columns
+from brickwork.plans.boosting import Patience, Staged, TreeEnsemble, fit_staged, load_ensembles, of_pipeline, predict_trees, save_ensembles
 from brickwork.sources.tables import write_stage
 
+Model = PipelineModel | TreeEnsemble
+
 
 @dataclass(frozen=True)
 class Boosting:
@@ -38,11 +42,12 @@ class Boosting:
 
 @dataclass
 class FoldResult:
-    models: dict[str, PipelineModel] = field(default_factory=dict)
+    models: dict[str, Model] = field(default_factory=dict)
     space: s.FeatureSpace | None = None
     predictions: DataFrame | None = None
     metrics: DataFrame | None = None
     encoded: DataFrame | None = None
+    stages: dict[str, Staged] = field(default_factory=dict)
 
     def release(self) -> None:
         """Give back the cached rows once the metrics are stored."""
@@ -76,11 +81,35 @@ def fit_target(train: DataFrame, features: Sequence[str], target: str, b: Boosti
     return Pipeline(stages=[assembler, gbt]).fit(train)
 
 
-def predict(df: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
-    """Every target's prediction as ``pred_<target>``."""
-    for model in models.values():
-        df = model.transform(df).drop("__x")
-    return df
+def predict(df: DataFrame, models: Mapping[str, Model]) -> DataFrame:
+    """Every target's prediction as ``pred_<target>``; ``df`` is encoded."""
+    trees = {t: m for t, m in models.items() if isinstance(m, TreeEnsemble)}
+    for target, model in models.items():
+        if target not in trees:
+            df = model.transform(df).drop("__x")
+    if not trees:
+        return df
+    features = next(iter(trees.values())).features
+    return predict_trees(df, trees, {f: f"`{f}`" for f in features}, {t: f"pred_{t}" for t in trees})
+
+
+def trained_predictor(models: Mapping[str, Model], space: s.FeatureSpace, rename: Mapping[str, str] | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """Trained models as the load function of an inference plan.
+
+    Features are read as the scenario sees them; buildings without cooling are
+    predicted as if they had central cooling.  All targets come out of one projection
+    over the draws.  ``rename`` maps a target to its raw load column.
+    """
+    trees = {t: m if isinstance(m, TreeEnsemble) else of_pipeline(m) for t, m in models.items()}
+
+    def loads(df: DataFrame, suffix: str = "") -> DataFrame:
+        cooled = cooling_for_prediction(df, suffix) if "semantic__Cooling" in space.features else df
+        c = reader(cooled, suffix)
+        read = lambda f: "`predict__Cooling`" if f == "semantic__Cooling" else c(f)
+        names = {t: (rename or {}).get(t, t) + suffix for t in trees}
+        return predict_trees(cooled, trees, space.codes(read), names).drop("predict__Cooling")
+
+    return loads
 
 
 def split_target_names(df: DataFrame, targets: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -92,21 +121,27 @@ def split_target_names(df: DataFrame, targets: Sequence[str], keys: Sequence[str
 
 
 def train_fold(
-    data: DataFrame, fold: int, features: Sequence[str], categorical: Sequence[str], targets: Sequence[str], stratum: str, *, iteration: int = 0, boosting: Boosting = Boosting()
+    data: DataFrame, fold: int, features: Sequence[str], categorical: Sequence[str], targets: Sequence[str], stratum: str, *, iteration: int = 0, boosting: Boosting | Patience = Boosting()
 ) -> FoldResult:
-    """Split, learn the space on the training rows, encode, fit, score."""
+    """Split, learn the space on the training rows, encode, fit, score; ``Patience`` settings fit in stages."""
     tagged = data.withColumn("split", split_label(F.col("fold"), fold))
     space = s.learn_space(tagged, tagged.filter("split = 'train'"), features, categorical)
     named = tagged.withColumn("__stratum", F.col(stratum))
     encoded = space.encode(named, ["split", "__stratum", *targets])
     encoded = encoded.withColumn("__held", F.col("split") == "test").persist()
     encoded.count()  # cached once, then read by every target
-    jobs = [lambda t=t: fit_target(encoded, features, t, boosting) for t in targets]
-    models = dict(zip(targets, _together(data.sparkSession, jobs)))
+    stages: dict[str, Staged] = {}
+    if isinstance(boosting, Patience):
+        jobs = [lambda t=t: fit_staged(encoded, features, t, boosting) for t in targets]
+        stages = dict(zip(targets, _together(data.sparkSession, jobs)))
+        models = {t: x.model for t, x in stages.items()}
+    else:
+        jobs = [lambda t=t: fit_target(encoded, features, t, boosting) for t in targets]
+        models = dict(zip(targets, _together(data.sparkSession, jobs)))
     long = split_target_names(predict(encoded, models), targets, ["split", "__stratum"]).withColumnRenamed("__stratum", "stratum")
     scored = s.regression_metrics(long, ["split", "measurement", "target"], "stratum")
     metrics = s.long_metrics(scored, ["split", "measurement", "target", "stratum"]).withColumns({"fold": F.lit(fold), "iteration": F.lit(iteration)})
-    return FoldResult(models, space, long, metrics, encoded)
+    return FoldResult(models, space, long, metrics, encoded, stages)
 
 
 def cross_validate(data: DataFrame, folds: int, **kw) -> tuple[list[FoldResult], DataFrame]:
@@ -119,17 +154,23 @@ def cross_validate(data: DataFrame, folds: int, **kw) -> tuple[list[FoldResult],
 
 
 def save_models(result: FoldResult, spark: SparkSession, root: str) -> None:
+    trees = {t: m for t, m in result.models.items() if isinstance(m, TreeEnsemble)}
     for target, model in result.models.items():
-        model.write().overwrite().save(f"{root}/{target}.gbt")
+        if target not in trees:
+            model.write().overwrite().save(f"{root}/{target}.gbt")
+    if trees:
+        save_ensembles(trees, spark, root)
     result.space.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{root}/space.parquet")
 
 
-def load_models(spark: SparkSession, root: str) -> tuple[dict[str, PipelineModel], s.FeatureSpace]:
-    """Models of an experiment by suffix, and its feature space."""
+def load_models(spark: SparkSession, root: str) -> tuple[dict[str, Model], s.FeatureSpace]:
+    """Models of an experiment by suffix, staged ones from their table, and its feature space."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     listing = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
     names = sorted(x.getPath().getName() for x in listing)
-    models = {n.removesuffix(".gbt"): PipelineModel.load(f"{root}/{n}") for n in names if n.endswith(".gbt")}
+    models: dict[str, Model] = {n.removesuffix(".gbt"): PipelineModel.load(f"{root}/{n}") for n in names if n.endswith(".gbt")}
+    if "ensembles.parquet" in names:
+        models |= load_ensembles(spark, root)
     if not models:
         raise ValueError(f"no models under {root}")
     return models, s.FeatureSpace.from_table(spark.read.parquet(f"{root}/space.parquet"))
@@ -158,7 +199,7 @@ def progressive_training(
     root: str,
     experiment_id: str,
     progress: Progress = Progress(),
-    boosting: Boosting = Boosting(),
+    boosting: Boosting | Patience = Boosting(),
 ) -> DataFrame:
     """Sample, run, merge, cross-validate, until converged or out of iterations.
 

@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from brickwork.catalog.portfolio import portfolio, predict
 from brickwork.names import RAW_END_USES
 from brickwork.operators import surrogate as s
+from brickwork.operators.energy import cooling_for_prediction
 from brickwork.plans import inference as plan
 from brickwork.plans import training as tr
 from brickwork.sources.rules import legacy_costs, standard_incentives
@@ -51,7 +52,7 @@ def test_response(spark, sf):
 
 def test_cooling_none(spark):
     df = spark.createDataFrame([("none",), ("ACWindow",)], "semantic__Cooling string")
-    assert [r["predict__Cooling"] for r in plan.cooling_for_prediction(df).collect()] == ["ACCentral", "ACWindow"]
+    assert [r["predict__Cooling"] for r in cooling_for_prediction(df).collect()] == ["ACCentral", "ACWindow"]
 
 
 def test_space_encode_and_models(spark, tmp_path):
