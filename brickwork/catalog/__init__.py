@@ -19,6 +19,7 @@ MODULES = (
     "hourly",
     "spatial",
     "tables",
+    "files",
     "training",
     "exploration",
 )

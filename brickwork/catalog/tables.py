@@ -236,6 +236,22 @@ def wide_tabular_report(spark, sf_dir):
     return c.wide_report(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", _CELLS)
 
 
+_FOUND = [(f"{f} {s}", p) for f in ("A", "N", "R") for s in ("F", "O") for p in ("early", "late")]
+_PART = "CASE WHEN l_linenumber <= 3 THEN 'early' ELSE 'late' END"
+_SHOWN = "CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_quantity END"
+
+
+@REGISTRY.add(
+    "SELECT l_orderkey, " + ", ".join(
+        f"max(CASE WHEN l_returnflag || ' ' || l_linestatus = '{r}' AND {_PART} = '{p}' THEN l_quantity END) AS \"{r.replace(' ', '_')}_{p}\"" for r, p in _FOUND if r[0] != "A"
+    ) + " FROM lineitem GROUP BY l_orderkey"
+)
+def wide_report_found_cells(spark, sf_dir):
+    """Cells are found in the data; those of returned lines hold no value in any order and are dropped."""
+    report = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "concat(l_returnflag, ' ', l_linestatus) AS title", f"{_PART} AS part", f"{_SHOWN} AS shown")
+    return c.wide_report(report, "l_orderkey", "title", "part", "shown")
+
+
 _MSG = "'EnergyPlus Completed Successfully-- ' || (o_orderkey % 17) || ' Warning; ' || (o_custkey % 5) || ' Severe Errors; Elapsed'"
 
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Frames = dict[str, DataFrame]
@@ -21,8 +21,18 @@ def collate(parts: Sequence[Mapping[str, DataFrame]]) -> Frames:
     return out
 
 
+def _frame(value: object) -> DataFrame:
+    """A frame as it is, or rows given inline as mappings; a column that a row lacks is NULL."""
+    if isinstance(value, DataFrame):
+        return value
+    if not isinstance(value, list) or not value or not all(isinstance(r, Mapping) for r in value):
+        raise ValueError("explicit results must be frames or lists of rows")
+    names = dict.fromkeys(name for row in value for name in row)
+    return SparkSession.active().createDataFrame([tuple(row.get(n) for n in names) for row in value], list(names))
+
+
 def combine_results(parts: Sequence[Mapping[str, object]], load: Callable[[str], Frames]) -> Frames:
-    """Parts are frames, or ``{"uri": …}`` naming stored frames - never both."""
+    """Parts are frames or inline rows by key, or ``{"uri": …}`` naming stored frames - never both."""
     resolved: list[Mapping[str, DataFrame]] = []
     for part in parts:
         if "uri" in part:
@@ -30,9 +40,7 @@ def combine_results(parts: Sequence[Mapping[str, object]], load: Callable[[str],
                 raise ValueError("a result cannot carry both a uri and other keys")
             resolved.append(load(str(part["uri"])))
         else:
-            if any(not isinstance(v, DataFrame) for v in part.values()):
-                raise ValueError("explicit results must be frames")
-            resolved.append(part)  # type: ignore[arg-type]
+            resolved.append({key: _frame(value) for key, value in part.items()})
     return collate(resolved)
 
 
@@ -74,14 +82,29 @@ def inputs_beside_outputs(specs: DataFrame, rows: DataFrame, key: str = "run_id"
     return rows.join(specs, key)
 
 
-def wide_report(report: DataFrame, run: str, row: str, column: str, value: str, names: Sequence[tuple[str, str]]) -> DataFrame:
-    """Long tabular report to one wide row per run for the listed (row, column) cells."""
-    return report.groupBy(run).agg(
-        *[
-            F.max(F.when((F.col(row) == r) & (F.col(column) == c), F.col(value))).alias(f"{r}_{c}".replace(" ", "_"))
-            for r, c in names
-        ]
-    )
+def report_cells(report: DataFrame, row: str, column: str, value: str) -> list[tuple[str, str]]:
+    """The (row, column) names of a tabular report that hold a value anywhere, in order.
+
+    One aggregation finds them and leaves out the cells that are NULL in every run;
+    a report has as many as its layout, whatever the number of runs.
+    """
+    seen = report.groupBy(F.col(row).alias("r"), F.col(column).alias("c")).agg(F.count(value).alias("n"))
+    return sorted((x["r"], x["c"]) for x in seen.filter("n > 0 AND r IS NOT NULL AND c IS NOT NULL").collect())
+
+
+def wide_report(report: DataFrame, run: str, row: str, column: str, value: str, names: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Long tabular report to one wide row per run.
+
+    ``names`` lists the (row, column) cells; without it they are found in the data,
+    and cells without any value are dropped.  Every run keeps its row.
+    """
+    cells = report_cells(report, row, column, value) if names is None else list(names)
+    titles = [f"{r}_{c}".replace(" ", "_") for r, c in cells]
+    if len(set(titles)) < len(titles):
+        raise ValueError("several cells would have the same column name")
+    taken = [F.max(F.when((F.col(row) == r) & (F.col(column) == c), F.col(value))).alias(t) for (r, c), t in zip(cells, titles)]
+    runs = report.groupBy(run)
+    return runs.agg(*taken) if taken else runs.agg(F.count(F.lit(1)).alias("__n")).drop("__n")
 
 
 def drop_empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -105,30 +105,67 @@ def quoted(name: str) -> str:
     return f"`{name}`"
 
 
+@dataclass(frozen=True)
+class Terms:
+    """What a factor's formula may read: its name, indicators, the cost it refers to, and the row's draws."""
+
+    name: str
+    indicator: Lookup
+    basis: str | None
+    keyed: Keyed | None
+
+    def noise(self) -> str:
+        """A standard normal draw of this row and factor."""
+        if self.keyed is None:
+            raise ValueError("a row key is needed for rules with an error scale")
+        return self.keyed.normal_sql(self.name)
+
+    def scaled(self, text: str, scale: float | None) -> str:
+        """``text`` times one plus its relative error, never below zero."""
+        return f"{text} * greatest(1.0D + {sql_value(scale)} * {self.noise()}, 0.0D)" if scale else text
+
+
+Formula = Callable[[Factor, Terms], str]
+#: Kind of factor to its formula, and the kinds that refer to a cost.
+FORMULAS: dict[str, Formula] = {}
+COST_KINDS: set[str] = set()
+
+
+def register_factor(kind: str, formula: Formula, needs_cost: bool = False) -> None:
+    """Let rules use factors of ``kind``; ``formula`` gives SQL text, so it joins the one projection of all rules."""
+    FORMULAS[kind] = formula
+    (COST_KINDS.add if needs_cost else COST_KINDS.discard)(kind)
+
+
+def _fixed(f: Factor, t: Terms) -> str:
+    amount = sql_value(f.amount)
+    if not f.error_scale:
+        return amount
+    drawn = f"{amount} + {sql_value(abs(f.amount) * f.error_scale)} * {t.noise()}"
+    return f"{'greatest' if f.amount > 0 else 'least'}({drawn}, 0.0D)"
+
+
+def _linear(f: Factor, t: Terms) -> str:
+    return t.scaled(" * ".join([sql_value(f.coefficient), *[f"double({t.indicator(c)})" for c in f.indicators]]), f.error_scale)
+
+
+def _percent(f: Factor, t: Terms) -> str:
+    if t.basis is None:
+        return "0.0D"
+    x = t.scaled(f"{t.basis} * {sql_value(f.percent)}", f.error_scale)
+    return x if f.limit is None else f"least({x}, {sql_value(f.limit)})"
+
+
+register_factor(FIXED, _fixed)
+register_factor(LINEAR, _linear)
+register_factor(PERCENT, _percent, needs_cost=True)
+
+
 def factor_value(f: Factor, name: str, indicator: Lookup, basis: str | None, keyed: Keyed | None) -> str:
     """SQL value of one factor; ``basis`` is the cost a percentage refers to."""
-    scale = f.error_scale or 0.0
-    if scale and keyed is None:
-        raise ValueError("a row key is needed for rules with an error scale")
-    if f.kind == FIXED:
-        amount = sql_value(f.amount)
-        if not scale:
-            return amount
-        drawn = f"{amount} + {sql_value(abs(f.amount) * scale)} * {keyed.normal_sql(name)}"
-        return f"{'greatest' if f.amount > 0 else 'least'}({drawn}, 0.0D)"
-    if f.kind == LINEAR:
-        x = " * ".join([sql_value(f.coefficient), *[f"double({indicator(c)})" for c in f.indicators]])
-    elif f.kind == PERCENT:
-        if basis is None:
-            return "0.0D"
-        x = f"{basis} * {sql_value(f.percent)}"
-    else:
+    if f.kind not in FORMULAS:
         raise ValueError(f"unknown factor kind {f.kind}")
-    if scale:
-        x = f"{x} * greatest(1.0D + {sql_value(scale)} * {keyed.normal_sql(name)}, 0.0D)"
-    if f.kind == PERCENT and f.limit is not None:
-        x = f"least({x}, {sql_value(f.limit)})"
-    return x
+    return FORMULAS[f.kind](f, Terms(name, indicator, basis, keyed))
 
 
 def add_quantities(
@@ -160,7 +197,7 @@ def add_quantities(
         for i, rule in enumerate(rules.rules):
             if rule.trigger != trigger or (finals is not None and rule.final not in finals):
                 continue
-            if cost_prefix and basis is None and any(f.kind == PERCENT for f in rule.used()):
+            if cost_prefix and basis is None and any(f.kind in COST_KINDS for f in rule.used()):
                 raise ValueError(f"no cost column for {trigger}")
             amount = sql_sum(
                 [factor_value(f, f"{key}/{i}/{j}", indicator, basis, keyed) for j, f in enumerate(rule.used())]

@@ -140,8 +140,34 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int | str, ids: Sequen
     return rows.filter(keyed.uniform("keep") < F.lit(fraction)).drop(*keyed.columns())
 
 
+#: Parts into which a range of hashed keys is divided, and rows that one task may sort.
+PARTS_LOG2, EDGE = 10, 1000
+
+
 def sample_rows(df: DataFrame, n: int, seed: int | str, ids: Sequence[str]) -> DataFrame:
-    """``n`` rows without replacement: a distributed top-n on a hashed key."""
+    """``n`` rows without replacement: those with the smallest hashed keys.
+
+    Histograms of ever narrower ranges find where the n-th key lies; everything below
+    is a filter, and only the rows of the last range, a few, are sorted.
+    """
     rows, keyed = with_row_key(df, seed, ids)
-    rows = rows.withColumn("__u", keyed.uniform("order"))
-    return rows.orderBy("__u", *ids).limit(n).drop("__u", *keyed.columns())
+    rows, own = rows.withColumn("__u", keyed.uniform("order")), keyed.columns()
+    if n <= 0:
+        return df.limit(0)
+    u, low, width, left = F.col("__u"), 0.0, 1.0, n
+    while width > 2.0**-40:
+        # Widths are powers of two, so the bounds of the parts are exact.
+        part = width / (1 << PARTS_LOG2)
+        inside = rows.filter((u >= low) & (u < low + width)).groupBy(F.floor((u - low) / part).alias("part"))
+        counts = {r["part"]: r["n"] for r in inside.agg(F.count("*").alias("n")).collect()}
+        for at in sorted(counts):
+            if counts[at] >= left:
+                break
+            left -= counts[at]
+        else:
+            return df  # fewer than n rows
+        low, width = low + at * part, part
+        if counts[at] <= EDGE:
+            break
+    edge = rows.filter((u >= low) & (u < low + width)).orderBy("__u", *ids).limit(left)
+    return rows.filter(u < low).unionByName(edge).drop("__u", *own)

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from brickwork.functions.text import derive
 from brickwork.operators.ranking import dense_index
+from brickwork.sources.publish import collect_frames, publish, publish_frames
 
 PARQUET_SUFFIXES = (".pq", ".parquet")
 
@@ -183,44 +184,24 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_frames(frames: Mapping[str, DataFrame], root: str, *, save_errors: bool = False, existing: str = "forbid") -> dict[str, str]:
-    """One parquet dataset per key; error tables only on request.
-
-    With ``existing="forbid"`` all places are looked at before the first is written,
-    so a refused call leaves nothing behind.
-    """
-    mode = {"forbid": "errorifexists", "overwrite": "overwrite"}[existing]
-    written = {k: f"{root}/{k}" for k in frames if save_errors or "error" not in k.lower()}
-    if existing == "forbid":
-        there = [p for k, p in written.items() if _exists(frames[k].sparkSession, p)]
-        if there:
-            raise FileExistsError(", ".join(there))
-    for key, path in written.items():
-        frames[key].write.mode(mode).parquet(path)
-    return written
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    """One parquet dataset per key, all of them readable at once; error tables only on request."""
+    return publish_frames({k: df for k, df in frames.items() if save_errors or "error" not in k.lower()}, root, existing)
 
 
-def read_frames(spark: SparkSession, root: str, keys: Sequence[str]) -> dict[str, DataFrame]:
-    return {k: spark.read.parquet(f"{root}/{k}") for k in keys}
+def read_frames(spark: SparkSession, root: str, keys: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The frames below ``root``; without ``keys``, all that are there."""
+    return collect_frames(spark, [root], keys)
 
 
 def write_stage(df: DataFrame, root: str, experiment_id: str, iteration: int, name: str, existing: str = "overwrite") -> str:
     """A stage artefact in its own iteration folder."""
-    path = f"{root}/{experiment_id}/iter-{iteration:03d}/{name}"
-    df.write.mode({"forbid": "errorifexists", "overwrite": "overwrite"}[existing]).parquet(path)
-    return path
+    return publish(df, f"{root}/{experiment_id}/iter-{iteration:03d}/{name}", existing)
 
 
 def write_hourly(df: DataFrame, path: str, existing: str = "overwrite") -> None:
     """Hourly series laid out by scope, so selected runs are read by partition."""
     scope = ["experiment_id", "case", "city", "grid", "building"]
-    df.repartition(*scope, F.pmod(F.hash("hour"), F.lit(16))).write.mode(
-        {"forbid": "errorifexists", "overwrite": "overwrite"}[existing]
-    ).partitionBy(*scope).parquet(path)
+    publish(df.repartition(*scope, F.pmod(F.hash("hour"), F.lit(16))), path, existing, scope)
 
 
 def series_of(selected: DataFrame, hourly: DataFrame, keys: Sequence[str]) -> DataFrame:
