@@ -192,6 +192,29 @@ def incentive_program_metadata(spark, sf_dir):
     return got.selectExpr("building_id", "inline(items)").withColumn("amount_applied", fixed(F.col("amount_applied"), 3))
 
 
+_RESPONSE_SQL = (
+    "SELECT q.*, 'years' AS payback_units, count(p.program_name) FILTER (WHERE p.amount_applied <> 0) AS n_programs, "
+    f"{sql_fixed('coalesce(sum(p.amount_applied), 0)', 1)} AS amounts FROM (SELECT building_id, {sql_fixed('avg(cost_Total)', 2)} AS mean_cost, "
+    f"{sql_fixed('quantile_cont(net_cost_Total_IncomeEligible, 0.5)', 2)} AS median_net_cost, {sql_fixed('max(incentive_Total_AllCustomers)', 2)} AS most_incentive "
+    f"FROM {{last}} GROUP BY building_id) q LEFT JOIN ({_programs_sql()}) p USING (building_id) GROUP BY ALL"
+)
+
+
+@REGISTRY.add(_CH.then(_RESPONSE_SQL))
+def retrofit_response_fields(spark, sf_dir):
+    """Fields read back from every building's retrofit answer."""
+    got = plan.respond_retrofit(_savings(spark, sf_dir), N, COSTS, INCENTIVES)
+    at = lambda path: F.get_json_object("response", path)
+    items = F.from_json(at("$.metadata.IncomeEligible.items"), "array<struct<amount_applied: double>>")
+    amounts = F.aggregate(items, F.lit(0.0), lambda a, x: a + fixed(x["amount_applied"], 3))
+    return got.select(
+        "building_id", fixed(at("$.quantities.cost_Total.mean").cast("double"), 2).alias("mean_cost"),
+        fixed(at("$.quantities.net_cost_Total_IncomeEligible.p50").cast("double"), 2).alias("median_net_cost"),
+        fixed(at("$.quantities.incentive_Total_AllCustomers.max").cast("double"), 2).alias("most_incentive"),
+        at("$.quantities.payback.units").alias("payback_units"), F.size(items).cast("bigint").alias("n_programs"), fixed(amounts, 1).alias("amounts"),
+    )
+
+
 def _size_sql(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} <= {s!r}::DOUBLE THEN {s!r}::DOUBLE" for s in HEATING_SIZES_KW) + f" ELSE {x} END"
 

@@ -3,8 +3,9 @@
 A window partitioned by a stratum puts that stratum in one task.  When the
 order key is a hash, its leading part is a ready-made bucket: rows are ranked
 inside (stratum, bucket) and shifted by the number of rows in earlier buckets.
-Only the (stratum, bucket) counts - at most ``buckets`` per stratum, partially
-aggregated before the shuffle - are ever seen by one task.
+Only the (stratum, bucket) counts, partially aggregated before the shuffle, are ever
+seen by one task.  The number of buckets follows from the counted rows, so a bucket
+stays as large as one task sorts well.
 """
 
 from __future__ import annotations
@@ -15,7 +16,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1024
+#: Rows of one bucket, and most buckets.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1 << 17
+
+
+def bucket_number(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Buckets for so many rows: one for every ``bucket_rows``, and one more for their rest."""
+    return min(MOST_BUCKETS, rows // bucket_rows + 1)
 
 
 def join_null_safe(
@@ -56,12 +63,14 @@ def hash_rank(
     unit: Column,
     tie: Sequence[str],
     name: str = "rank",
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """1-based dense rank inside ``keys`` ordered by a uniform hash in (0, 1).
 
-    ``tie`` must make the order total, so the rank is the same on every retry.
+    ``tie`` must make the order total, so the rank is the same on every retry.  The
+    rows are counted unless the number of ``buckets`` is given.
     """
+    buckets = buckets or bucket_number(df.count())
     tagged = df.withColumn("__u", unit).withColumn(
         "__b", F.floor(F.col("__u") * buckets).cast("int")
     )
@@ -70,29 +79,31 @@ def hash_rank(
     ).drop("__u")
 
 
-def _search(col: Column, bounds: Sequence[float], low: int, high: int) -> Column:
-    """Balanced comparison tree: index of the first bound greater than ``col``."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(
-        col < F.lit(bounds[mid]), _search(col, bounds, low, mid)
-    ).otherwise(_search(col, bounds, mid + 1, high))
+def bucket_of(col: Column, bounds: Sequence[float]) -> Column:
+    """Number of ``bounds``, ascending, that are at most ``col``: a binary search in an array."""
+    if not bounds:
+        return F.lit(0)
+    known = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    ahead = lambda low, step: F.when(F.get(known, low + step - 1) <= col, low + step).otherwise(low)
+    return F.aggregate(steps, F.lit(0), ahead)
 
 
 def dense_index(
-    df: DataFrame, key: str, name: str = "sort_index", buckets: int = 64
+    df: DataFrame, key: str, name: str = "sort_index", buckets: int | None = None
 ) -> DataFrame:
     """0-based position in the order of a unique numeric ``key``.
 
-    Bucket bounds are ``buckets`` approximate quantiles - that many numbers
-    reach the driver whatever the size of ``df`` - so clustered keys still
-    spread evenly over tasks.
+    Bucket bounds are approximate quantiles, one for each bucket of counted rows, so
+    clustered keys still spread evenly over tasks.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(key, probs, 10_000)).first()[0]
-    bounds = sorted(set(found or []))
-    tagged = df.withColumn("__b", _search(F.col(key), bounds, 0, len(bounds)))
+    buckets = buckets or bucket_number(df.count())
+    bounds: list = []
+    if buckets > 1:
+        probs = [i / buckets for i in range(1, buckets)]
+        found = df.select(F.percentile_approx(key, probs, max(10_000, 8 * buckets))).first()[0]
+        bounds = sorted(set(found or []))
+    tagged = df.withColumn("__b", bucket_of(F.col(key), bounds))
     ranked = _rank_in_buckets(tagged, [], "__b", [F.col(key)], name)
     return ranked.withColumn(name, F.col(name) - 1)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brickwork.functions import geometry as g
 from brickwork.functions.text import derive
+from brickwork.operators.ranking import join_null_safe
 from brickwork.session import cut_lineage
 
 STATION_LIMIT = 50_000  # stations that may be sent to every task
@@ -86,6 +87,23 @@ def distinct_rectangles(buildings: DataFrame, key: str, height: str | None = Non
     return buildings.groupBy(*shape).agg(F.min(key).alias("loc"), F.count(F.lit(1)).alias("copies"))
 
 
+def building_pairs(buildings: DataFrame, rects: DataFrame, pairs: DataFrame, key: str, *, copies_meet: bool = False) -> DataFrame:
+    """(key, other, distance) for every building, copies of a rectangle included.
+
+    ``rects`` are the distinct rectangles of ``buildings`` and ``pairs`` the pairs of
+    them.  Copies overlap each other, so they are pairs only if ``copies_meet``, as is
+    right where intersecting neighbours are kept.
+    """
+    shape = [c for c in rects.columns if c not in ("loc", "copies")]
+    members = join_null_safe(buildings.select(F.col(key).alias("__key"), *shape), rects.select("loc", *shape), shape).select("__key", "loc")
+    others = members.select(F.col("__key").alias("__other"), F.col("loc").alias("other"))
+    found = pairs.select("loc", "other", "distance").join(members, "loc").join(others, "other").select("__key", "__other", "distance")
+    if copies_meet:
+        same = members.join(others, F.col("loc") == F.col("other")).filter("__key <> __other")
+        found = found.unionByName(same.select("__key", "__other", F.lit(0.0).alias("distance")))
+    return found.select(F.col("__key").alias(key), F.col("__other").alias("other"), "distance")
+
+
 def neighbor_arrays(rects: DataFrame, pairs: DataFrame, height: str, fill_height: float, f2f: float) -> DataFrame:
     """Per rectangle: neighbour outlines, heights, floors and copy counts.
 

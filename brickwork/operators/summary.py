@@ -71,8 +71,7 @@ def distribution_summary(
             *_moments("__v"), F.percentile("__v", F.array(*[F.lit(p) for p in probs])).alias("__q")
         )
         return _unpack(stats, keys, percentiles)
-    stats = data.groupBy(*keys).agg(*_moments("__v"))
-    return join_null_safe(stats, exact_percentiles(data, keys, "__v", percentiles), keys, "left")
+    return exact_percentiles(data, keys, "__v", percentiles, moments=True)
 
 
 def _unpack(stats: DataFrame, keys: Sequence[str], percentiles: dict[str, float]) -> DataFrame:
@@ -87,30 +86,40 @@ def exact_percentiles(
     value: str,
     percentiles: dict[str, float] = PERCENTILES,
     accuracy: int = SKETCH_ACCURACY,
+    margin: float | None = None,
+    moments: bool = False,
 ) -> DataFrame:
-    """Linear-interpolated percentiles of groups of any size.
-
-    Per group the shuffle carries one sketch, then (number of percentiles + 1)
-    outside counts and the distinct values inside the brackets, whose share of
-    the rows is about ``8 * len(percentiles) / accuracy``.  Repeated values
-    collapse before the shuffle, so a value held by a third of all rows is one
-    record.  The bracket join is left to adaptive execution: broadcast when the
-    sketches turn out small, skew-split otherwise.
+    """Linear-interpolated percentiles of groups of any size, in two scans.
+
+    The first scan gives one sketch per group (and the moments, if wanted).  The
+    second counts, per group and slot, the rows outside the brackets around the wanted
+    ranks and the distinct values inside, whose share of the rows is about ``8 *
+    len(percentiles) / accuracy``; repeated values collapse before the shuffle, so a
+    value held by a third of all rows is one record.  Slots are walked on their own and
+    shifted by the counts of earlier slots.  The bracket join is left to adaptive
+    execution: broadcast when the sketches turn out small, skew-split otherwise.
+
+    A rank that lies outside its bracket, which the sketch's accuracy rules out, is
+    found by the built-in percentile over its group; adaptive execution drops this part
+    when no group needs it.  ``margin`` is the half width of a bracket as a share of the
+    rows.
     """
     ordered = sorted(percentiles.items(), key=lambda kv: kv[1])
     probs = [p for _, p in ordered]
-    margin = 4.0 / accuracy
+    margin = 4.0 / accuracy if margin is None else margin
     low = [max(0.0, p - margin) for p in probs]
     high = [min(1.0, p + margin) for p in probs]
-    data = df.select(*keys, clean(F.col(value)).alias("__v")).filter("__v IS NOT NULL")
-
-    sketch = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", low + high, accuracy).alias("__cut"),
-    )
-    small = F.col("__n") <= accuracy
+    single = not keys
+    keys = ["__all"] if single else list(keys)
+    data = (df.withColumn("__all", F.lit(0)) if single else df).select(*keys, clean(F.col(value)).alias("__v"))
+
+    cuts = F.percentile_approx("__v", low + high, accuracy).alias("__cut")
+    stats = data.groupBy(*keys).agg(F.count("__v").alias("__n"), cuts, *_moments("__v"))
+    stats = stats if moments else stats.filter("__n > 0")
+    small = F.col("__n") * margin < 4
     k = len(probs)
-    brackets = sketch.select(
+    shown = list(MOMENTS) if moments else []
+    brackets = stats.select(
         *keys,
         "__n",
         *[
@@ -122,11 +131,12 @@ def exact_percentiles(
             for i in range(k)
         ],
     )
-    if keys:
-        placed = join_null_safe(data, brackets, keys)
-    else:  # one group: a single row of cut points becomes literals
-        row = brackets.first()
-        placed = data.withColumns({c: F.lit(row[c]) for c in brackets.columns})
+    rows = data.filter("__v IS NOT NULL")
+    row = brackets.first() if single else None
+    if row:  # one group: a single row of cut points becomes literals
+        placed = rows.withColumns({c: F.lit(row[c]) for c in brackets.columns})
+    else:
+        placed = join_null_safe(rows, brackets, keys)
     v = F.col("__v")
     inside = F.lit(False)
     slot = F.lit(0)
@@ -140,12 +150,15 @@ def exact_percentiles(
         .groupBy(*keys, "__n", "__slot", "__x")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    walk = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(
-        "__slot", F.col("__x").asc_nulls_last()
+    # Rows of earlier slots: at most one number for each percentile and group.
+    earlier = counts.groupBy(*keys).agg(
+        F.array(*[F.coalesce(F.sum(F.when(F.col("__slot") < j, F.col("__c"))), F.lit(0)) for j in range(k + 1)]).alias("__before")
     )
-    running = counts.withColumn(
-        "__upto", F.sum("__c").over(walk.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("__from", F.col("__upto") - F.col("__c"))
+    walked = join_null_safe(counts, earlier, keys)
+    # The outside rows of a slot follow its inside ones.
+    walk = Window.partitionBy(*keys, "__slot").orderBy(F.col("__x").asc_nulls_last())
+    upto = F.get("__before", F.col("__slot")) + F.sum("__c").over(walk.rowsBetween(Window.unboundedPreceding, 0))
+    running = walked.withColumn("__upto", upto).withColumn("__from", F.col("__upto") - F.col("__c"))
 
     def at(rank: Column) -> Column:
         hit = (F.col("__from") <= rank) & (rank < F.col("__upto"))
@@ -166,7 +179,16 @@ def exact_percentiles(
         a, b = F.col(f"{name}_0"), F.col(f"{name}_1")
         return F.when(a == b, a).otherwise(a + (b - a) * frac).alias(name)
 
-    return found.select(*keys, *[blend(n, p) for n, p in percentiles.items()])
+    names = list(percentiles)
+    found = found.select(*keys, *[blend(n, p) for n, p in percentiles.items()])
+    missed = found.filter(" OR ".join(f"`{n}` IS NULL" for n in names)).select(*keys)
+    exact = F.percentile("__v", F.array(*[F.lit(p) for p in percentiles.values()])).alias("__exact")
+    again = join_null_safe(rows, missed, keys).groupBy(*keys).agg(exact)
+    found = join_null_safe(found, again, keys, "left")
+    found = found.select(*keys, *[F.coalesce(F.col(n), F.get("__exact", F.lit(i))).alias(n) for i, n in enumerate(names)])
+    if moments:
+        found = join_null_safe(stats.select(*keys, *shown), found, keys, "left")
+    return found.drop("__all")
 
 
 def wide_summary(

@@ -21,7 +21,7 @@ from brickwork.operators.energy import add_results, result_columns
 from brickwork.operators.priors import PriorSet, default_priors, expand_samples
 from brickwork.operators.quantities import RuleSet
 from brickwork.operators.retrofit import (
-    add_cost_features, add_incentive_features, add_retrofit_economics, economics_columns,
+    add_cost_features, add_incentive_features, add_retrofit_economics, economics_columns, incentive_programs,
 )
 from brickwork.operators.summary import MOMENTS, PERCENTILES, wide_summary
 from brickwork.session import tune_for_wide_rows
@@ -186,3 +186,22 @@ def respond(summary: DataFrame) -> DataFrame:
         keys.remove(name)
         level = level.groupBy(*keys).agg(_as_map(name))
     return level.select("building_id", F.to_json("v").alias("response"))
+
+
+def respond_retrofit(
+    ensemble: DataFrame, n: int, costs: RuleSet, incentives: RuleSet, keyed: Keyed | None = None, brackets: tuple[str, ...] = INCOME_BRACKETS
+) -> DataFrame:
+    """One nested JSON document per building for the retrofit half of a savings answer.
+
+    ``quantities`` holds every cost, incentive, net cost and payback with its units and
+    statistics; ``metadata`` holds, for each income bracket, the programs that
+    contributed with their mean amounts.  Both are bounded by the rule sets.
+    """
+    views = summarize_economics(ensemble, n, costs, incentives, brackets)
+    views = views.select("building_id", "quantity", F.struct("units", *MOMENTS, *PERCENTILES).alias("v"))
+    out = views.groupBy("building_id").agg(_as_map("quantity")).withColumnRenamed("v", "quantities")
+    for b in brackets:
+        programs = incentive_programs(ensemble, incentives, ["building_id"], b, keyed=keyed)
+        out = out.join(programs.select("building_id", F.struct("items").alias(f"__{b}")), "building_id", "left")
+    metadata = F.struct(*[F.col(f"__{b}").alias(b) for b in brackets]).alias("metadata")
+    return out.select("building_id", F.to_json(F.struct("quantities", metadata)).alias("response"))

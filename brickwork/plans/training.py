@@ -21,6 +21,7 @@ from brickwork.operators.ranking import hash_rank, split_label, stratified_folds
 from brickwork.operators.sampling import stratified_selection
 from brickwork.operators.validation import near_constant_columns
 from brickwork.plans.boosting import Patience, Staged, TreeEnsemble, fit_staged, load_ensembles, of_pipeline, predict_trees, save_ensembles
+from brickwork.session import cut_lineage
 from brickwork.sources.tables import write_stage
 
 Model = PipelineModel | TreeEnsemble
@@ -246,6 +247,8 @@ def learning_curve(data: DataFrame, fractions: Sequence[float], key: Sequence[st
     out = None
     for f in fractions:
         part = train.filter(F.col("__rank") <= int(f * n)).drop("__rank").unionByName(test)
-        got = train_fold(part, 0, **kw).metrics.withColumn("fraction", F.lit(float(f)))
+        result = train_fold(part, 0, **kw)
+        got = cut_lineage(result.metrics.withColumn("fraction", F.lit(float(f))))
+        result.release()
         out = got if out is None else out.unionByName(got)
     return out
