@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brickwork.catalog.base import Registry, sql_fixed, table
-from brickwork.catalog.portfolio import portfolio, predict, suppliers_as_customers
+from brickwork.catalog.portfolio import FIELDS, portfolio, predict, suppliers_as_customers
 from brickwork.functions.rounding import fixed
 from brickwork.operators import surrogate as s
 from brickwork.operators.energy import cooling_for_prediction
 from brickwork.plans import training as plan
+from brickwork.plans.base import STATION, base_features
 from brickwork.plans.boosting import Patience, fit_staged
-from brickwork.plans.inference import draw_ensemble, infer, infer_savings, summarize_results
+from brickwork.plans.inference import draw_ensemble, infer, infer_savings, respond, summarize_results
 from brickwork.session import checkpoint_root, cut_lineage
 from brickwork.sources.rules import legacy_costs, standard_incentives
 
@@ -231,3 +232,70 @@ def trained_savings_summary(spark, sf_dir):
     result = _trained(spark, sf_dir)
     ensemble = infer_savings(portfolio(spark, sf_dir), 4, plan.trained_predictor(result.models, result.space), legacy_costs(), standard_incentives())
     return summarize_results(ensemble, 4, prefix="Delta_")
+
+
+# ---- from building requests to predicted results ------------------------------------------
+
+_KINDS = ("none", "unoccupied_unconditioned", "unoccupied_conditioned", "occupied_unconditioned", "occupied_conditioned")
+_AT = {"customer": ("c_custkey", 31, 1009, 600.0, 17, 997, 1100.0), "supplier": ("s_suppkey", 7919, 1000, 500.0, 104729, 1000, 1000.0)}
+
+
+def _degrees(of, number=lambda v: f"{v!r}D"):
+    k, a, m, w, c, n, h = _AT[of]
+    return f"{number(-71.0)} + ({k} * {a} % {m}) / {number(w)} AS lon, {number(42.0)} + ({k} * {c} % {n}) / {number(h)} AS lat"
+
+
+def _requests(spark, sf_dir):
+    kinds = f"array({', '.join(map(repr, _KINDS))})"
+    p = portfolio(spark, sf_dir).drop("geometry__short_edge", "geometry__long_edge", "geometry__num_floors", "geometry__energy_model_conditioned_area", *[x for x in portfolio(spark, sf_dir).columns if x.startswith("extra_spaces__")])
+    p = p.withColumnsRenamed({x: x.removeprefix("semantic__") for x in p.columns if x.startswith("semantic__") and not x.endswith("_new")})
+    return p.withColumn("c_custkey", F.col("building_id")).selectExpr(
+        "*", _degrees("customer").split(", ")[0], _degrees("customer").split(", ")[1], "15D + c_custkey % 13 AS long_edge", "8D + c_custkey % 7 AS short_edge",
+        "double(1 + c_custkey % 3) AS num_floors", "(c_custkey % 7) / 10D AS long_edge_angle",
+        f"{kinds}[int(c_custkey % 5)] AS basement", f"{kinds}[int(c_custkey % 4)] AS attic",
+    ).drop("c_custkey")
+
+
+def _station_space(spark, sf_dir):
+    """A feature space whose models know two thirds of the stations."""
+    names = [r["s_name"] for r in table(spark, sf_dir, "supplier").filter("s_suppkey % 3 <> 0").select("s_name").collect()]
+    return s.FeatureSpace({STATION: tuple(sorted(names))})
+
+
+def _base(spark, sf_dir):
+    requests = _requests(spark, sf_dir)
+    stations = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS station_id", "s_name AS name", *_degrees("supplier").split(", "))
+    weather = table(spark, sf_dir, "supplier").selectExpr("s_name AS name", "s_acctbal / 100 AS weather__mean")
+    shading = requests.selectExpr("building_id", *[f"(building_id % {7 + k}) / 10D AS shading_mask_{k:02d}" for k in range(4)])
+    fields = [x for x in requests.columns if x in (*FIELDS, "Cooling", "OnsiteSolar")]
+    carry = ["area_m2", "current_solar_kw", "c_mktsegment"]
+    return base_features(requests, stations, _station_space(spark, sf_dir), fields, county="location__county", carry=carry, weather=weather, shading=shading)
+
+
+_METRES = "radians(lon) * 6378137.0::DOUBLE AS x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0::DOUBLE AS y"
+_D = lambda v: f"{v!r}::DOUBLE"
+
+
+@REGISTRY.add(
+    f"WITH c AS (SELECT c_custkey AS k, {_METRES} FROM (SELECT c_custkey, {_degrees('customer', _D)} FROM customer)), "
+    f"t AS (SELECT s_suppkey, s_name, s_acctbal, {_METRES} FROM (SELECT *, {_degrees('supplier', _D)} FROM supplier WHERE s_suppkey % 3 <> 0)), "
+    "n AS (SELECT k, s_name, s_acctbal, sqrt((c.x-t.x)*(c.x-t.x) + (c.y-t.y)*(c.y-t.y)) AS d, row_number() OVER (PARTITION BY k ORDER BY (c.x-t.x)*(c.x-t.x) + (c.y-t.y)*(c.y-t.y), s_suppkey) AS r FROM c, t) "
+    f"SELECT k AS building_id, s_name AS station, {sql_fixed('d', 2)} AS station_distance, {sql_fixed('s_acctbal / 100', 4)} AS weather_mean, {sql_fixed('(k % 9) / 10.0::DOUBLE', 4)} AS shading, "
+    f"{sql_fixed('(15.0::DOUBLE + k % 13) / (8.0::DOUBLE + k % 7)')} AS aspect_ratio, CASE WHEN k % 5 = 0 THEN 'No' ELSE 'Yes' END AS basement_exists, "
+    "(1 + k % 3 + CASE WHEN k % 5 IN (2, 4) THEN 1 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END) * (15.0::DOUBLE + k % 13) * (8.0::DOUBLE + k % 7) AS conditioned_area FROM n WHERE r = 1"
+)
+def portfolio_base_features(spark, sf_dir):
+    """Nearest trained station, its weather, shading, geometry and spaces of every building."""
+    return _base(spark, sf_dir).select(
+        "building_id", F.col(STATION).alias("station"), fixed(F.col("station_distance"), 2).alias("station_distance"), fixed(F.col("weather__mean"), 4).alias("weather_mean"),
+        fixed(F.col("geometry__shading_mask_02"), 4).alias("shading"), fixed(F.col("geometry__aspect_ratio")).alias("aspect_ratio"),
+        F.col("extra_spaces__basement__exists").alias("basement_exists"), F.col("geometry__energy_model_conditioned_area").alias("conditioned_area"),
+    )
+
+
+@REGISTRY.add()
+def requests_to_answers(spark, sf_dir):
+    """From building requests over base features and trained models to one JSON answer each."""
+    result = _trained(spark, sf_dir)
+    base = cut_lineage(_base(spark, sf_dir))  # one row per building
+    return respond(summarize_results(infer(base, 8, plan.trained_predictor(result.models, result.space)), 8))

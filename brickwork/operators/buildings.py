@@ -111,7 +111,11 @@ def add_areas(df: DataFrame) -> DataFrame:
 
 
 def feature_projection(df: DataFrame, semantic: Sequence[str], passthrough: Sequence[str] = ()) -> DataFrame:
-    """The feature vector of each building; weather and shading columns pass through."""
+    """The feature vector of each building.
+
+    Columns ``shading_mask_…`` become geometry features and ``weather__…`` columns are
+    features already, so whatever of them was joined is part of the vector.
+    """
     yes = lambda c: f"CASE WHEN {c} THEN 'Yes' ELSE 'No' END"
     cols = {
         "geometry__long_edge": "long_edge", "geometry__short_edge": "short_edge",
@@ -126,6 +130,8 @@ def feature_projection(df: DataFrame, semantic: Sequence[str], passthrough: Sequ
         cols[f"extra_spaces__{s}__occupied"] = yes(f"{s}_is_occupied")
         cols[f"extra_spaces__{s}__conditioned"] = yes(f"{s}_is_conditioned")
     cols |= {f"semantic__{f}": f"`{f}`" for f in semantic}
+    cols |= {f"geometry__{c}": f"`{c}`" for c in df.columns if c.startswith("shading_mask_")}
+    cols |= {c: f"`{c}`" for c in df.columns if c.startswith("weather__") and c not in passthrough}
     return df.selectExpr(*[f"`{c}`" for c in passthrough], *[f"{e} AS `{n}`" for n, e in cols.items()])
 
 
