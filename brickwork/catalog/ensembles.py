@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from brickwork.catalog.base import Chain, Registry, sql_draw, sql_fixed, sql_words
@@ -10,8 +12,10 @@ from brickwork.functions.rounding import fixed
 from brickwork.names import FUELS, RAW_END_USES, SEGMENTS, UPGRADED_SOLAR
 from brickwork.operators.energy import long_results, result_columns, sum_over, unknown_fuel_count
 from brickwork.operators.priors import default_priors
-from brickwork.operators.retrofit import matched_difference
+from brickwork.operators.retrofit import matched_difference_wide
 from brickwork.plans import inference as plan
+from brickwork.session import checkpoint_root, partitions_for
+from brickwork.sources.publish import publish, publish_bucketed
 from brickwork.sources.rules import legacy_costs, standard_incentives
 
 REGISTRY = Registry()
@@ -204,16 +208,18 @@ _DELTAS = ["Total_EndUse", "Total_FuelCost", "Total_FuelEmissions", "EndUse_Heat
 
 @REGISTRY.add(
     _TWO.then(
-        "SELECT building_id, sample_id::BIGINT AS sample_id, geometry__wwr = geometry__wwr AS same_row, "
+        "SELECT building_id, sample_id::BIGINT AS sample_id, TRUE AS same_row, "
         + ", ".join(f"{sql_fixed(f'{c} - {c}_new', 5)} AS delta_{c}" for c in _DELTAS) + " FROM {last}"
     )
 )
 def matched_sample_savings(spark, sf_dir):
     """Original minus upgraded on the same draws; only reached features are redrawn."""
     df = plan.infer_savings(portfolio(spark, sf_dir), N, predict, legacy_costs(), standard_incentives(), PRIORS)
+    # A feature that no change reaches has no column of its own in the upgraded scenario.
+    same = F.lit(not any(f"{c}_new" in df.columns for c in ("geometry__wwr", "geometry__f2f_height", "extra_spaces__basement__use_fraction")))
     return df.select(
         "building_id", F.col("sample_id").cast("bigint").alias("sample_id"),
-        (F.col("geometry__wwr") == F.col("geometry__wwr")).alias("same_row"),
+        same.alias("same_row"),
         *[fixed(F.col(f"Delta_{c}"), 5).alias(f"delta_{c}") for c in _DELTAS],
     )
 
@@ -229,14 +235,16 @@ def matched_sample_savings(spark, sf_dir):
     )
 )
 def matched_difference_join(spark, sf_dir):
-    """The same difference from two long tables joined on their draws."""
+    """The same difference from two stored scenarios, bucketed by draw, so that their join moves nothing."""
     df = plan.infer_savings(portfolio(spark, sf_dir), N, predict, legacy_costs(), standard_incentives(), PRIORS)
-    keys = ["building_id", "sample_id"]
-    on = [*keys, "normalization", "dataset", "segment"]
-    diff = matched_difference(
-        long_results(df, [*keys, "area_m2"]).drop("area_m2"),
-        long_results(df, [*keys, "area_m2"], "_new").drop("area_m2"), on,
-    )
+    keys, cols, run = ["building_id", "sample_id"], result_columns(), uuid.uuid4().hex
+    root, buckets = f"{checkpoint_root(spark).rstrip('/')}/scenarios-{run}", partitions_for(spark)
+    # The ensemble is computed once, with both scenarios on a row.
+    once = spark.read.parquet(publish(df.select(*keys, "area_m2", *cols, *[f"{c}_new" for c in cols]), f"{root}/both"))
+    sides = {"original": once.select(*keys, "area_m2", *cols), "upgraded": once.select(*keys, *[F.col(f"{c}_new").alias(c) for c in cols])}
+    kept = {name: publish_bucketed(side, f"{name}_{run}", f"{root}/{name}", keys, buckets) for name, side in sides.items()}
+    wide = matched_difference_wide(kept["original"], kept["upgraded"], keys, cols, ("area_m2",))
+    diff = long_results(wide, ["building_id", "area_m2"]).withColumnRenamed("value", "delta")
     return sum_over(diff, ["building_id", "normalization", "dataset", "segment"], "delta").withColumn("delta", fixed(F.col("delta"), 4))
 
 

@@ -153,3 +153,14 @@ def matched_difference(
         *keys, (F.col(value) - F.col("__u")).alias("delta")
     )
 
+
+
+def matched_difference_wide(original: DataFrame, upgraded: DataFrame, keys: list[str], columns: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """original - upgraded of wide tables with one row per draw, joined once for all ``columns``.
+
+    A draw is one row on each side, whatever the number of results; stack the
+    differences afterwards.  Draws without a counterpart are left out.
+    """
+    right = upgraded.selectExpr(*[f"`{k}`" for k in keys], *[f"`{c}` AS `__u_{c}`" for c in columns])
+    both = original.select(*keys, *carry, *columns).join(right, keys)
+    return both.selectExpr(*[f"`{c}`" for c in (*keys, *carry)], *[f"`{c}` - `__u_{c}` AS `{c}`" for c in columns])

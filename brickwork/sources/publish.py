@@ -125,3 +125,16 @@ def collect_frames(spark: SparkSession, roots: Sequence[str], keys: Sequence[str
         raise KeyError(f"no frames named {', '.join(missing)}")
     wanted = sorted(places) if keys is None else list(keys)
     return {k: spark.read.option("mergeSchema", "true").parquet(*places[k]) for k in wanted}
+
+
+def publish_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """``df`` as the table ``table`` at ``path``, laid out in ``buckets`` sorted buckets of ``keys``.
+
+    Tables with the same keys and buckets join on these keys without moving a row.
+    """
+    if buckets < 1:
+        raise ValueError("a table needs at least one bucket")
+    # One task for each bucket, else every task would write a file into every bucket.
+    spread = df.repartition(buckets, *keys)
+    spread.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").mode("errorifexists").saveAsTable(table)
+    return df.sparkSession.table(table)

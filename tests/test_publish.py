@@ -109,3 +109,25 @@ def test_fixed_size_samples(spark):
     assert sample_rows(df.limit(0), 3, 5, ["id"]).count() == 0
     same = spark.createDataFrame([(1,)] * 3000, "id long")
     assert sample_rows(same, 1234, 5, ["id"]).count() == 1234
+
+
+def test_bucketed_scenarios_join_in_place(spark, tmp_path):
+    from brickwork.operators.retrofit import matched_difference_wide
+
+    rows = spark.range(400).selectExpr("id % 50 AS building_id", "id % 8 AS sample_id", "id", "double(id) AS a", "double(id * 2) AS b").dropDuplicates(["building_id", "sample_id"])
+    keys = ["building_id", "sample_id"]
+    one = pub.publish_bucketed(rows, "scenario_one", str(tmp_path / "one"), keys, 5)
+    two = pub.publish_bucketed(rows.filter("building_id <> 3").withColumn("a", F.col("a") - 1), "scenario_two", str(tmp_path / "two"), keys, 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = matched_difference_wide(one, two, keys, ["a", "b"], ("id",))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        kept = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(kept) == rows.filter("building_id <> 3").count() and {(r["a"], r["b"]) for r in kept} == {(1.0, 0.0)}
+    for name in ("scenario_one", "scenario_two"):
+        spark.sql(f"DROP TABLE {name}")
+    with pytest.raises(ValueError):
+        pub.publish_bucketed(rows, "none", str(tmp_path / "none"), keys, 0)
