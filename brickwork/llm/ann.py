@@ -3,8 +3,16 @@
 Distinct vectors are dealt to shards by a hash of their smallest id.  Each shard
 gets a graph: a greedy beam search over the graph so far proposes neighbours for
 the next batch of nodes, and pruning keeps an edge only if no kept neighbour is
-closer to its end by the factor ``ALPHA``, so edges stay diverse.  Queries come in
-blocks; every block searches every shard, and the shards' results are merged.
+closer to its end by the factor ``ALPHA``, so edges stay diverse.  Every query
+searches every shard, and the shards' results are merged.
+
+Shards grow with the table, up to a bound on memory, and the beam grows with the
+shard, so recall holds.  A task searches one shard for at most as many queries as
+a shard has vectors; so neither side is copied more often than the other.
+
+Graphs are built and searched on vectors scaled by a power of two: in single
+precision where the input is single and no vector is a billionth of another, else
+in double.  Scores are always measured in double precision on the vectors given.
 
 Copies of one vector are one node.  Of its ids only the smallest ``k + 1`` can be
 in any result, because ties go to the smaller id; these are kept beside it.
@@ -18,11 +26,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -31,14 +37,22 @@ from brickwork.llm.shared import stored
 
 K = 10
 EVERY = 100
-#: Vectors of a shard, in expectation, and queries of a block.
-SHARD = 2048
-BLOCK = 1024
+#: Least vectors of a shard, in expectation; most of them, and of their components; shards of a table between.
+SHARD, LARGEST, COMPONENTS = 2048, 32_768, 1 << 24
+SHARDS = 16
+#: Tasks for each shard, so that few shards share one.
+TASKS = 4
+#: Queries of one task, and components gathered by one step of their searches.
+BLOCK, GATHERED = 32_768, 1 << 23
 DEGREE = 24
 #: A node may gather so many edges before it is pruned back to ``DEGREE``.
 SLACK = 36
 ALPHA = 1.2
 BUILD_BEAM, SEARCH_BEAM = 48, 96
+#: The beam of a search grows with this power of the shard's vectors beyond ``SHARD``.
+BEAM_GROWTH = 0.4
+#: Binary digits by which a vector may be longer or shorter than the largest of its shard in single precision.
+RANGE = 30
 #: Nodes expanded in one step of a search, nodes added in one batch, and nodes where a search starts.
 EXPAND, BATCH, ENTRIES = 4, 256, 8
 
@@ -156,13 +170,62 @@ def _add_back_edges(graph: np.ndarray, vectors: np.ndarray, targets: np.ndarray,
         targets, sources = targets[~now], sources[~now]
 
 
+def shard_size(n: int, dim: int, least: int = SHARD) -> int:
+    """Vectors of a shard, in expectation, of a table of ``n`` vectors of ``dim`` components."""
+    most = max(1, min(LARGEST, COMPONENTS // max(dim, 1)))
+    return max(1, min(most, max(least, n // SHARDS)))
+
+
+def exponents(vectors: np.ndarray) -> np.ndarray:
+    """The power of two above the largest component of each vector."""
+    return np.frexp(np.abs(vectors).max(axis=-1))[1].astype(np.int64)
+
+
+def _scaled(vectors: np.ndarray, power: int) -> np.ndarray:
+    return np.ldexp(vectors.astype(np.float64), -power)
+
+
+def _searchable(vectors: np.ndarray) -> tuple[np.ndarray, int]:
+    """The vectors as graphs are built on them, and the power of two that they were divided by."""
+    own = exponents(vectors)
+    power = int(own.max())
+    narrow = vectors.dtype == np.float32 and power - int(own.min()) <= RANGE
+    return _scaled(vectors, power).astype(np.float32 if narrow else np.float64), power
+
+
+def distances(vectors: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, of the vectors [q, c, d] from the points [q, d]."""
+    d = vectors.astype(np.float64) - to.astype(np.float64)[:, None, :]
+    power = exponents(d)
+    d = np.ldexp(d, -power[..., None])
+    return np.ldexp(np.sqrt(np.einsum("qcd,qcd->qc", d, d)), power)
+
+
+def _found(own: np.ndarray, graph: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Numbers [q, beam] of the vectors found for each query, nearest first; -1 fills."""
+    usual, power = _searchable(own)
+    beam = round(SEARCH_BEAM * max(1.0, len(own) / SHARD) ** BEAM_GROWTH)
+    step = max(1, GATHERED // (EXPAND * SLACK * own.shape[1]))
+    out = np.full((len(to), beam), -1, np.int32)
+    # A query that dwarfs the shard would overflow; it is searched at its own scale.
+    scale = np.where(exponents(to) - power <= RANGE, power, exponents(to))
+    for p in np.unique(scale):
+        vectors = usual if p == power else _scaled(own, int(p))
+        rows = np.flatnonzero(scale == p)
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            points = _scaled(to[some], int(p)).astype(vectors.dtype)
+            out[some] = beam_search(graph, vectors, points, ENTRIES, beam)[0]
+    return out
+
+
 def _graph_rows(dtype: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("vec_id").sort_values("vec_id")
         # Ids may follow the clusters; nodes must not.
         rows = rows.iloc[np.random.default_rng(11).permutation(len(rows))]
         own = np.stack(rows["vector"].to_numpy()).astype(dtype)
-        graph = build_graph(own.astype(np.float32))
+        graph = build_graph(_searchable(own)[0])
         return pd.DataFrame(
             [(rows["dim"].iloc[0], rows["shard"].iloc[0], rows["vec_id"].to_numpy(np.int64).tobytes(), own.tobytes(), graph.tobytes())],
             columns=["dim", "shard", "ids", "vectors", "graph"],
@@ -171,25 +234,30 @@ def _graph_rows(dtype: str):
     return run
 
 
-def _search_blocks(dtype: str, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids = np.frombuffer(row.ids, np.int64)
-                own = np.frombuffer(row.vectors, dtype).reshape(len(ids), -1)
-                graph = np.frombuffer(row.graph, np.int32).reshape(len(ids), -1)
-                to = np.stack(row.q_vectors).astype(dtype)
-                found, _ = beam_search(graph, own.astype(np.float32), to.astype(np.float32), ENTRIES, SEARCH_BEAM)
-                found = found[:, : 2 * k + 2]
-                there = found >= 0
-                d = own[found].astype(np.float64) - to.astype(np.float64)[:, None, :]
-                exact = np.sqrt(np.einsum("qcd,qcd->qc", d, d))
-                q = np.repeat(np.asarray(row.q_ids, np.int64), there.sum(axis=1))
-                yield pd.DataFrame({"query_id": q, "rep": ids[found[there]], "score": exact[there]})
+def _search(dtype: str, k: int):
+    def run(graphs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(graphs) or not len(asked):
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "rep": np.empty(0, np.int64), "score": np.empty(0)})
+        row = graphs.iloc[0]
+        ids = np.frombuffer(row["ids"], np.int64)
+        own = np.frombuffer(row["vectors"], dtype).reshape(len(ids), -1)
+        graph = np.frombuffer(row["graph"], np.int32).reshape(len(ids), -1)
+        to = np.stack(asked["vector"].to_numpy()).astype(dtype)
+        found = _found(own, graph, to)[:, : 2 * k + 2]
+        step = max(1, GATHERED // (found.shape[1] * own.shape[1]))
+        exact = np.concatenate([distances(own[found[at : at + step]], to[at : at + step]) for at in range(0, len(to), step)])
+        there = found >= 0
+        q = np.repeat(asked["vec_id"].to_numpy(np.int64), there.sum(axis=1))
+        return pd.DataFrame({"query_id": q, "rep": ids[found[there]], "score": exact[there]})
 
     return run
 
 
+def _per_dim(values: dict[int, int]) -> Column:
+    """``values`` of the column ``dim``."""
+    return F.element_at(F.create_map(*[x for d, v in values.items() for x in (F.lit(d), F.lit(v))]), F.col("dim"))
+
+
 def nearest(table: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible by ``every``."""
     spark = table.sparkSession
@@ -207,20 +275,23 @@ def nearest(table: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD
     sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    parts = F.element_at(F.create_map(*[x for d, n in sizes.items() for x in (F.lit(d), F.lit(-(-n // shard)))]), F.col("dim"))
-    graphs = reps.withColumn("shard", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+    shards = {d: -(-n // shard_size(n, d, shard)) for d, n in sizes.items()}
+    graphs = reps.withColumn("shard", F.pmod(F.xxhash64("vec_id"), _per_dim(shards)).cast("int"))
+    # A number of tasks of its own: shards are few and dear, and are not to be put together for their bytes.
+    graphs = graphs.repartition(TASKS * sum(shards.values()), "dim", "shard")
     graphs = graphs.groupBy("dim", "shard").applyInPandas(_graph_rows(dtype), "dim int, shard int, ids binary, vectors binary, graph binary")
     graphs = stored(graphs, "graphs")
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select("dim", "vec_id", "vector").distinct()
-    n_blocks = {r["dim"]: -(-r["count"] // block) for r in asked.groupBy("dim").count().collect()}
-    if not n_blocks:
+    parts = {r["dim"]: -(-r["count"] // block) for r in asked.groupBy("dim").count().collect()}
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    number = F.element_at(F.create_map(*[x for d, n in n_blocks.items() for x in (F.lit(d), F.lit(n))]), F.col("dim"))
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), number).cast("int"))
-    blocks = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("q"))
-    blocks = blocks.select("dim", "block", F.col("q.vec_id").alias("q_ids"), F.col("q.vector").alias("q_vectors"), F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("shard"))
-    pairs = blocks.join(graphs, ["dim", "shard"]).repartition("dim", "shard", "block")
-    found = pairs.drop("dim", "shard", "block").mapInPandas(_search_blocks(dtype, k), "query_id long, rep long, score double")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), _per_dim(parts)).cast("int"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), _per_dim(shards) - 1)))
+    # Vectors of a length that no query has meet none.
+    graphs = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), _per_dim(parts) - 1)))
+    keys, tasks = ["dim", "shard", "part"], TASKS * sum(shards[d] * n for d, n in parts.items())
+    graphs, asked = (df.repartition(tasks, *keys) for df in (graphs, asked))
+    found = graphs.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search(dtype, k), "query_id long, rep long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "rep")
     found = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= 2 * k + 2).drop("place")
     members = copies.select("rep", "vec_id")
