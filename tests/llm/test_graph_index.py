@@ -43,7 +43,7 @@ def test_very_large_and_very_small_components(spark, element, size):
 
 def test_one_giant_vector_among_small_ones(spark):
     x = np.random.default_rng(6).standard_normal((1000, 8)).astype(np.float32).astype(float)
-    x[[100, 7]] = 1e30, -3e30
+    x[100], x[7] = 1e30, -3e30
     x = x.astype(np.float32).astype(float)
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard=400).toPandas()
