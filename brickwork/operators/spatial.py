@@ -15,6 +15,8 @@ from brickwork.operators.ranking import join_null_safe
 from brickwork.session import cut_lineage
 
 STATION_LIMIT = 50_000  # stations that may be sent to every task
+LEAF = 32  # stations of a cell that is not divided
+FANOUT_BITS, LEVELS = 3, 16  # a cell has 8 x 8 children; the finest is 2**-48 of the whole side
 MAX_STATION_DISTANCE = 500_000.0  # fixed value: metres
 
 
@@ -186,8 +188,8 @@ def nearest_station(points: DataFrame, stations: DataFrame, station: str = "stat
     without finite coordinates are ignored and co-located ones collapse to the
     lowest id; points without finite coordinates get NULL for both.  A counted
     number of stations within ``limit`` is sent to the tasks as a sorted index
-    and the points never move; beyond it the distinct places meet the stations
-    in grid joins.  Both ways give the same rows.
+    and the points never move; beyond it the distinct places descend a tree of
+    station cells in joins.  Both ways give the same rows.
     """
     sites = stations.filter(FINITE).groupBy("x", "y").agg(F.min(station).cast("bigint").alias("sid"))
     small = sites.limit(limit + 1).toPandas()
@@ -195,7 +197,7 @@ def nearest_station(points: DataFrame, stations: DataFrame, station: str = "stat
         raise ValueError("no usable station")
     if len(small) > limit:
         places = points.filter(FINITE).select(F.col("x").cast("double"), F.col("y").cast("double")).distinct()
-        found = _nearest_by_grid(places, sites).withColumnsRenamed({"x": "__x", "y": "__y"})
+        found = _nearest_by_tree(places, sites).withColumnsRenamed({"x": "__x", "y": "__y"})
         joined = points.join(found, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")), "left")
         return joined.select(*[points[c] for c in points.columns], F.col("sid").alias(station), F.sqrt("d2").alias("distance"))
     shared = points.sparkSession.sparkContext.broadcast(
@@ -219,44 +221,70 @@ def nearest_station(points: DataFrame, stations: DataFrame, station: str = "stat
     )
 
 
-def _nearest_by_grid(points: DataFrame, sites: DataFrame) -> DataFrame:
-    """(x, y, sid, d2) of distinct places, by rounds of grid joins with growing cells.
+def station_tree(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nested cells over ``sites`` (x, y, sid): children of every full cell, and stations of every leaf.
 
-    A station within one cell side of a point lies in the 3 x 3 block around it,
-    so a point whose best distance is at most the side is settled; the others go
-    to the next round with cells four times as wide.
+    A cell with more than ``LEAF`` stations is full and has up to 64 children, each
+    with the box around its stations; the others are leaves.  Crowded places are
+    divided further than others.  The finest level is never full.
     """
-    box = sites.agg(
-        F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))
-    ).first()
-    reach = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if reach[0] is None:
+    sites = cut_lineage(sites.select(F.col("x").cast("double"), F.col("y").cast("double"), "sid"))
+    box = sites.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    side = max(box[1] - box[0], box[3] - box[2]) or 1.0
+    finest = FANOUT_BITS * LEVELS
+
+    def cell(axis: str, low: float) -> str:
+        # The finest cell, shifted to the level, so that cells nest.
+        fine = f"least(bigint(floor(({axis} - {low!r}D) / {side!r}D * {float(1 << finest)!r}D)), {(1 << finest) - 1}L)"
+        return f"shiftright({fine}, {finest} - {FANOUT_BITS} * level)"
+
+    levels = sites.selectExpr("*", f"explode(sequence(0, {LEVELS})) AS level")
+    levels = derive(levels, {"gx": cell("x", box[0]), "gy": cell("y", box[2])})
+    nodes = levels.groupBy("level", "gx", "gy").agg(
+        F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.count(F.lit(1)).alias("n")
+    )
+    nodes = nodes.withColumn("full", (F.col("n") > LEAF) & (F.col("level") < LEVELS))
+    children = F.collect_list(F.struct("level", "gx", "gy", "full", "x1", "x2", "y1", "y2")).alias("kids")
+    parent = [(F.col("level") - 1).alias("level"), *[F.shiftright(c, FANOUT_BITS).alias(c) for c in ("gx", "gy")]]
+    kids = nodes.groupBy(*parent).agg(children, F.sum("n").alias("n")).filter((F.col("level") < 0) | (F.col("n") > LEAF)).drop("n")
+    kids = cut_lineage(kids)
+    leaf = kids.selectExpr("inline(kids)").filter("NOT full").select("level", "gx", "gy")
+    leaves = levels.join(leaf, ["level", "gx", "gy"]).groupBy("level", "gx", "gy").agg(F.collect_list(F.struct("x", "y", "sid")).alias("sites"))
+    return kids, leaves
+
+
+def _nearest_by_tree(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """(x, y, sid, d2) of distinct places, by descent through nested cells of stations.
+
+    A place holds the cells that may have its nearest station.  In each round its
+    full cells are replaced by their children, and a cell stays only if its box
+    begins no farther away than the nearest box ends; so a place keeps a few cells
+    however crowded the stations and however far the place.  Leaves are compared
+    station by station.  Every join has one row of the tree for many places.
+    """
+    kids, leaves = station_tree(sites)
+    keys = ["level", "gx", "gy"]
+    begins = " + ".join(f"pow(greatest(c.{a}1 - {a}, {a} - c.{a}2, 0D), 2)" for a in "xy")
+    ends = " + ".join(f"pow(greatest(abs({a} - c.{a}1), abs({a} - c.{a}2)), 2)" for a in "xy")
+    cell = f"struct(c.level, c.gx, c.gy, c.full, {begins} AS begins, {ends} AS ends)"
+    held = points.selectExpr("x", "y", "-1 AS level", "bigint(0) AS gx", "bigint(0) AS gy", "true AS full", "0D AS begins", "double('Infinity') AS ends")
+    settled = None
+    while held.take(1):
+        found = held.filter("full").join(kids, keys).selectExpr("x", "y", f"transform(kids, c -> {cell}) AS cells")
+        found = found.selectExpr("x", "y", "cells", "array_min(transform(cells, c -> c.ends)) AS reach")
+        both = held.filter("NOT full").unionByName(found.selectExpr("x", "y", "inline(filter(cells, c -> c.begins <= reach))"))
+        cells = both.groupBy("x", "y").agg(F.collect_list(F.struct(*keys, "full", "begins", "ends")).alias("cells"), F.min("ends").alias("reach"))
+        cells = cut_lineage(cells.selectExpr("x", "y", "filter(cells, c -> c.begins <= reach) AS cells"))
+        opened = F.exists("cells", lambda c: c["full"])
+        done = cells.filter(~opened)
+        settled = done if settled is None else settled.unionByName(done)
+        held = cells.filter(opened).selectExpr("x", "y", "inline(cells)")
+    if settled is None:
         return points.selectExpr("x", "y", "bigint(NULL) AS sid", "double(NULL) AS d2")
-    span = max(box[1], reach[1]) - min(box[0], reach[0]), max(box[3], reach[3]) - min(box[2], reach[2])
-    side = max(math.sqrt(max((box[1] - box[0]) * (box[3] - box[2]), 1e-12) / box[4]), max(span) * 1e-9)
-    open_points, settled = points, []
-    while True:
-        cell = {"gx": f"bigint(floor(x / {side!r}D))", "gy": f"bigint(floor(y / {side!r}D))"}
-        s = derive(sites, cell).withColumnsRenamed({"x": "sx", "y": "sy"})
-        around = derive(open_points, cell).selectExpr(
-            "x", "y",
-            "inline(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(gx + i AS gx, gy + j AS gy)))))",
-        )
-        joined = around.join(s, ["gx", "gy"], "left")
-        d2 = F.expr("pow(sx - x, 2) + pow(sy - y, 2)")
-        best = joined.groupBy("x", "y").agg(F.min(F.when(F.col("sid").isNotNull(), F.struct(d2.alias("d2"), "sid"))).alias("b"))
-        best = cut_lineage(best)
-        last = side >= max(span)
-        done = F.lit(True) if last else F.coalesce(F.col("b.d2") <= side * side, F.lit(False))
-        settled.append(best.filter(done).select("x", "y", "b.sid", "b.d2"))
-        if last:
-            break
-        open_points = best.filter(~done).select("x", "y")
-        side = min(side * 4, max(max(span), side))
-    out = settled[0]
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return out
+    met = settled.selectExpr("x", "y", "inline(cells)").join(leaves, keys)
+    best = "array_min(transform(sites, s -> struct(pow(s.x - x, 2) + pow(s.y - y, 2) AS d2, s.sid AS sid)))"
+    best = met.select("x", "y", F.expr(best).alias("b")).groupBy("x", "y").agg(F.min("b").alias("b"))
+    return best.select("x", "y", "b.sid", "b.d2")
 
 
 def far_points(nearest: DataFrame, threshold: float = MAX_STATION_DISTANCE) -> DataFrame:
