@@ -52,7 +52,7 @@ def test_scattered_or_missing_phrases_are_no_licence(spark):
 
 def test_several_licences_in_one_long_file(spark):
     names = ["zlib", "bsl-1", "unlicense", "gpl"]
-    text = (" other words" * 5000).join(["", *[TEXT[n] for n in names], TEXT["zlib"], ""])
+    text = (" other words" * 5000 + " ").join(["", *[TEXT[n] for n in names], TEXT["zlib"], ""])
     got = labels(spark, [text])[0]
     assert set(names) <= set(got["labels"].split(","))
     places = sorted(f["at"] for f in got["found"] if f["label"] == "zlib")
