@@ -88,39 +88,37 @@ def factor_rows_from_wide(wide: DataFrame, ids: list[str], error_scale: float =
     )
 
 
+# Shipped rebates (trigger, initial, final, feature, USD, text).
+REBATES = (
+    ("Heating", None, "ASHPHeating", "homeowner__in_bracket__AllCustomers", 10000, "MassSave ASHP rebate for all customers"),
+    ("Heating", None, "ASHPHeating", "homeowner__in_bracket__IncomeEligible", 15000, "MassSave ASHP rebate for income eligible customers"),
+    ("Heating", None, "GSHPHeating", "homeowner__in_bracket__AllCustomers", 15000, "MassSave GSHP rebate for all customers"),
+    ("Heating", None, "GSHPHeating", "homeowner__in_bracket__IncomeEligible", 25000, "MassSave GSHP rebate for income eligible customers"),
+    ("DHW", "ElectricResistanceDHW", "HPWH", "homeowner__in_bracket__AllCustomers", 750, "MassSave HPWH rebate for all customers"),
+    ("DHW", "ElectricResistanceDHW", "HPWH", "homeowner__in_bracket__IncomeEligible", 1200, "MassSave HPWH rebate for income eligible customers"),
+    ("Thermostat", None, "Controls", "homeowner__in_bracket__AllCustomers", 100, "MassSave smart thermostat rebate for all customers"),
+    ("Thermostat", None, "Controls", "homeowner__in_bracket__IncomeEligible", 200, "MassSave smart thermostat rebate for income eligible customers"),
+)
+
+# Shipped tax credits (trigger, initial, final, share, USD at most, text).
+CREDITS = (
+    ("Heating", None, "ASHPHeating", 0.3, 2000, "IRA 30% tax credit for ASHP, capped at $2000"),
+    ("Heating", None, "GSHPHeating", 0.3, 2000, "IRA 30% tax credit for GSHP, capped at $2000"),
+    ("Windows", None, "DoublePaneLowE", 0.3, 600, "IRA 30% tax credit for energy efficient windows, capped at $600"),
+    ("Windows", None, "TriplePaneLowE", 0.3, 600, "IRA 30% tax credit for energy efficient windows, capped at $600"),
+)
+
+
 def standard_incentives() -> RuleSet:
-    """The shipped incentive programs."""
-    all_, low = "homeowner__in_bracket__AllCustomers", "homeowner__in_bracket__IncomeEligible"
-
-    def rebate(amount: float, who: str, what: str) -> Factor:
-        who_text = "income eligible customers" if who == low else "all customers"
-        return Factor(
-            "LinearQuantity", coefficient=amount, indicators=(who,), error_scale=0.0,
-            description=f"MassSave {what} rebate for {who_text}", source="MassSave", units="$", per="rebate",
-        )
-
-    def credit(percent: float, limit: float, text: str) -> Factor:
-        return Factor("PercentQuantity", percent=percent, limit=limit, error_scale=0.0, description=text, source="IRA")
-
-    # Program amounts (trigger, initial, final, all, eligible, credit cap, credit text).
-    table = (
-        ("Heating", None, "ASHPHeating", 10000, 15000, "ASHP", 2000, "IRA 30% tax credit for ASHP, capped at $2000"),
-        ("Heating", None, "GSHPHeating", 15000, 25000, "GSHP", 2000, "IRA 30% tax credit for GSHP, capped at $2000"),
-        ("DHW", "ElectricResistanceDHW", "HPWH", 750, 1200, "HPWH", None, ""),
-        ("Thermostat", None, "Controls", 100, 200, "smart thermostat", None, ""),
-        ("Windows", None, "DoublePaneLowE", None, None, "", 600, "IRA 30% tax credit for energy efficient windows, capped at $600"),
-        ("Windows", None, "TriplePaneLowE", None, None, "", 600, "IRA 30% tax credit for energy efficient windows, capped at $600"),
-    )
-    rules = []
-    for trigger, initial, final, everyone, eligible, what, cap, text in table:
-        factors, order = [], []
-        if everyone is not None:
-            factors += [rebate(everyone, all_, what), rebate(eligible, low, what)]
-            order.append("LinearQuantity")
-        if cap is not None:
-            factors.append(credit(0.3, cap, text))
-            order.append("PercentQuantity")
-        rules.append(Rule(trigger, initial, final, tuple(factors), tuple(order)))
+    """The shipped incentive programs: rebates are paid before credits."""
+    factors: dict[tuple, list[Factor]] = {}
+    for *change, feature, amount, text in REBATES:
+        rebate = Factor("LinearQuantity", coefficient=amount, indicators=(feature,), error_scale=0.0, description=text, source="MassSave", units="$", per="rebate")
+        factors.setdefault(tuple(change), []).append(rebate)
+    for *change, share, limit, text in CREDITS:
+        credit = Factor("PercentQuantity", percent=share, limit=limit, error_scale=0.0, description=text, source="IRA")
+        factors.setdefault(tuple(change), []).append(credit)
+    rules = [Rule(*change, tuple(own), tuple(dict.fromkeys(f.kind for f in own))) for change, own in factors.items()]
     return RuleSet(tuple(rules), "incentive", False, True, "bracket")
 
 
