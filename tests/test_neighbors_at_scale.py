@@ -55,3 +55,21 @@ def test_horizon_of_repeated_names(spark):
     twice = one.unionByName(one.filter("loc % 3 = 0").withColumn("cx", F.col("cx") + 7))
     got = op.neighbor_horizon(twice, R, 12, "height", 7.0)
     assert got.count() == got.dropDuplicates(["loc", "x0", "y0", "az_bin"]).count() > 0
+
+
+def test_neighbor_arrays_hold_all_and_shuffle_only_rectangles(spark):
+    rects = crowd(spark, 200).cache()
+    want = {}
+    for r in every_pair(rects).select("a_loc", "b_loc", F.expr("coalesce(b_height, 7D)").alias("h")).collect():
+        want.setdefault(r["a_loc"], []).append((r["b_loc"], r["h"]))
+    found = op.neighbor_arrays_within(rects, R, "height", 7.0, 3.5)
+    got = {r["loc"]: r for r in found.collect()}
+    assert got.keys() == {r["loc"] for r in rects.collect()}
+    for loc, r in got.items():
+        assert r["neighbor_heights"] == [h for _, h in sorted(want.get(loc, []))]
+        assert len(r["neighbor_polys"]) == len(r["neighbor_copies"]) == len(r["neighbor_floors"]) == len(r["neighbor_heights"])
+    assert got[1000]["neighbor_polys"] == [] and got[0]["neighbor_polys"][0].startswith("POLYGON ((")
+    # Both sides of the meeting, and nothing after it.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan[: plan.index("Join")].count("Exchange") == 0
