@@ -73,3 +73,19 @@ def test_neighbor_arrays_hold_all_and_shuffle_only_rectangles(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan[: plan.index("Join")].count("Exchange") == 0
+
+
+def test_members_travel_with_their_rectangle(spark, monkeypatch):
+    monkeypatch.setattr(op, "MEMBERS", 3)
+    rects = crowd(spark, 40, 60.0).drop("copies")
+    copies = spark.range(8).selectExpr("id AS k")
+    b = rects.crossJoin(copies).filter("k = 0 OR loc % 5 = 0").withColumn("id", F.col("loc") * 10 + F.col("k")).drop("loc", "k")
+    own = op.distinct_rectangles(b, "id", "height")
+    rows = op.with_members(b, own, "id")
+    assert rows.selectExpr("sum(size(members))").first()[0] == b.count()
+    pairs = op.neighbor_pairs(rows, R, carry=("members",))
+    key = lambda df: sorted((x["id"], x["other"], x["distance"]) for x in df.collect())
+    found = op.building_pairs(b, own, pairs, "id")
+    assert key(found) == key(op.building_pairs(b, own, op.neighbor_pairs(own, R), "id")) != []
+    # The pairs themselves are joined with nothing.
+    assert found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].count("members") > 0
