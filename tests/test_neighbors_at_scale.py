@@ -89,3 +89,13 @@ def test_members_travel_with_their_rectangle(spark, monkeypatch):
     assert key(found) == key(op.building_pairs(b, own, op.neighbor_pairs(own, R), "id")) != []
     # The pairs themselves are joined with nothing.
     assert found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0].count("members") > 0
+
+
+@pytest.mark.parametrize("side", [8.0, 90.0, 700.0])
+def test_neighbor_statistics(spark, side):
+    rects = crowd(spark, 160, side).cache()
+    want = {}
+    for r in every_pair(rects, apart=False).selectExpr("a_loc AS loc", f"sqrt({op._D2}) AS d").collect():
+        want.setdefault(r["loc"], []).append(r["d"])
+    got = {r["loc"]: (r["n_neighbors"], r["nearest"]) for r in op.neighbor_statistics(rects, R).collect()}
+    assert got == {k: (len(v), min(v)) for k, v in want.items()}
