@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickwork.operators.ranking import join_null_safe
+from brickwork.session import cut_lineage
 
 # Percentile labels of every summary.
 PERCENTILES = {
@@ -96,8 +97,10 @@ def exact_percentiles(
     ranks and the distinct values inside, whose share of the rows is about ``8 *
     len(percentiles) / accuracy``; repeated values collapse before the shuffle, so a
     value held by a third of all rows is one record.  Slots are walked on their own and
-    shifted by the counts of earlier slots.  The bracket join is left to adaptive
-    execution: broadcast when the sketches turn out small, skew-split otherwise.
+    shifted by the counts of earlier slots.  Brackets of groups above ``GROUP_LIMIT`` rows,
+    which are few for their rows, are sent to the tasks, so rows of a large group stay
+    where they are until their values have collapsed; rows of smaller groups meet their
+    brackets in a join.  The sketches are written once.
 
     A rank that lies outside its bracket, which the sketch's accuracy rules out, is
     found by the built-in percentile over its group; adaptive execution drops this part
@@ -115,7 +118,7 @@ def exact_percentiles(
 
     cuts = F.percentile_approx("__v", low + high, accuracy).alias("__cut")
     stats = data.groupBy(*keys).agg(F.count("__v").alias("__n"), cuts, *_moments("__v"))
-    stats = stats if moments else stats.filter("__n > 0")
+    stats = cut_lineage(stats if moments else stats.filter("__n > 0"))
     small = F.col("__n") * margin < 4
     k = len(probs)
     shown = list(MOMENTS) if moments else []
@@ -136,7 +139,7 @@ def exact_percentiles(
     if row:  # one group: a single row of cut points becomes literals
         placed = rows.withColumns({c: F.lit(row[c]) for c in brackets.columns})
     else:
-        placed = join_null_safe(rows, brackets, keys)
+        placed = _placed(rows, brackets, keys)
     v = F.col("__v")
     inside = F.lit(False)
     slot = F.lit(0)
@@ -181,7 +184,8 @@ def exact_percentiles(
 
     names = list(percentiles)
     found = found.select(*keys, *[blend(n, p) for n, p in percentiles.items()])
-    missed = found.filter(" OR ".join(f"`{n}` IS NULL" for n in names)).select(*keys)
+    # Groups too small for a bracket miss nothing.
+    missed = F.broadcast(found.filter(" OR ".join(f"`{n}` IS NULL" for n in names)).select(*keys))
     exact = F.percentile("__v", F.array(*[F.lit(p) for p in percentiles.values()])).alias("__exact")
     again = join_null_safe(rows, missed, keys).groupBy(*keys).agg(exact)
     found = join_null_safe(found, again, keys, "left")
@@ -191,6 +195,20 @@ def exact_percentiles(
     return found.drop("__all")
 
 
+def _placed(rows: DataFrame, brackets: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Every row beside its group's row of ``brackets``; groups of more than ``limit`` rows never meet in one task."""
+    large = F.col("__n") > (GROUP_LIMIT if limit is None else limit)
+    kinds = {bool(r[0]) for r in brackets.select(large).distinct().collect()}
+    if True not in kinds:
+        return join_null_safe(rows, brackets, keys)
+    few = F.broadcast(brackets.filter(large))
+    placed = join_null_safe(rows, few, keys)
+    if kinds == {True}:
+        return placed
+    others = join_null_safe(rows, few.select(*keys), keys, "left_anti")
+    return placed.unionByName(join_null_safe(others, brackets.filter(~large), keys))
+
+
 def wide_summary(
     df: DataFrame,
     keys: Sequence[str],

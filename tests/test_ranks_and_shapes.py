@@ -122,3 +122,27 @@ def test_rectangles_of_long_rings(spark):
         u, v = p @ [math.cos(a["angle"]), math.sin(a["angle"])], p @ [-math.sin(a["angle"]), math.cos(a["angle"])]
         assert (a["u0"], a["u1"], a["v0"], a["v1"]) == pytest.approx((u.min(), u.max(), v.min(), v.max()), abs=1e-9)
         assert (a["u1"] - a["u0"]) * (a["v1"] - a["v0"]) == pytest.approx(brute_rectangle(p), rel=1e-8, abs=1e-9)
+
+
+@pytest.mark.parametrize("limit", [50, 500, 5000])
+def test_percentiles_of_large_groups_beside_small_ones(spark, monkeypatch, limit):
+    """Rows of a group above the limit are not gathered by their group, NULL keys included."""
+    monkeypatch.setattr(s, "GROUP_LIMIT", limit)
+    df = spark.range(0, 4000, 1, 8).selectExpr("CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN id % 40 ELSE -1 END AS k", "double(id * 7919 % 997) AS v")
+    seen = []
+    real = s._placed
+
+    def watched(*args):
+        out = real(*args)
+        seen.append(out.groupBy("k", F.spark_partition_id().alias("at")).count().groupBy("k").agg(F.max("count").alias("most"), F.sum("count").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(s, "_placed", watched)
+    p = {"a": 0.1, "b": 0.5, "c": 0.97}
+    got = {r["k"]: r for r in s.exact_percentiles(df, ["k"], "v", p, accuracy=100, moments=True).collect()}
+    want = {r["k"]: r for r in s.distribution_summary(df, ["k"], "v", p, rows_per_group=4000).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert [got[k][c] for c in (*s.MOMENTS, *p)] == pytest.approx([r[c] for c in (*s.MOMENTS, *p)], rel=1e-12)
+    assert {r["k"]: r["n"] for r in seen[0]} == {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
+    assert all(r["most"] <= r["n"] / 4 for r in seen[0] if r["n"] > limit)
