@@ -45,6 +45,14 @@ FOREST_ROWS = 100_000
 FRONTIER = 1 << 20
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero if there are none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The SimHash of the lower-cased (A-Z) words of a whole text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -53,11 +61,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     windows = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, windows, repeat(seed)), np.uint64, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, windows, repeat(seed)), np.uint64, len(words) - shingle + 1))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -179,24 +183,22 @@ def near_links(classes: DataFrame, radius: int = RADIUS, tree: int = TREE) -> Da
 def components(links: DataFrame) -> DataFrame:
     """(u, v): every linked node but the smallest of its component, with that smallest.
 
-    Alternates the two star steps until the set of links no longer changes; each
-    round is written to the shared folder.  Only minima are gathered by node, so
-    a node with very many links costs no more than its rows.
+    ``links`` are distinct, u > v.  Alternates the two star steps until every node has
+    only larger neighbours or a single smaller one; each round is written to the
+    shared folder.  Only minima are gathered by node, so a node with very many links
+    costs no more than its rows.
     """
     links = stored(links, "links")
-    seen = None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low < u AND low < high").isEmpty():
+            return links
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(lowest.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == seen:
-            return links
-        seen = state
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:

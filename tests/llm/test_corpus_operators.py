@@ -322,6 +322,52 @@ def test_near_copies_go_and_repeated_lines_stay(spark, part, monkeypatch):
     assert kept == {i for i, _ in copies if i % 2 == 0} | {i for i, _ in clean}
 
 
+def test_near_copies_within_three_bits_come_from_the_trees(spark):
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(f"x{i}" for i in range(900))]
+    prints = [simhash.majority(nearcopies.shingles(t)) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS
+    signed = [int(np.uint64(p).view(np.int64)) for p in prints]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    # No text has a band, so only the trees of fingerprints can name the pair.
+    classes = rows.select(nearcopies.text_class().alias("fp"), "text").join(spark.createDataFrame(list(zip(texts, signed)), "text string, print long"), "text")
+    classes = classes.selectExpr("fp", "print", "cast(array() as array<bigint>) AS bands")
+    links = [tuple(r) for r in nearcopies.near_links(rows, classes).collect()]
+    known = [r.fp for r in rows.select(nearcopies.text_class().alias("fp"), "text").collect()]
+    assert links == [(max(known[:2]), min(known[:2]))]
+
+
+def test_near_copies_are_named_by_fingerprints_before_their_sets_are_compared():
+    g = np.random.default_rng(3)
+    common = g.integers(0, 1 << 64, 450, dtype=np.uint64)
+    sets = [np.unique(np.append(common, g.integers(0, 1 << 64, 50, dtype=np.uint64))) for _ in range(3)]
+    prints = [simhash.majority(s) for s in sets]
+    fp = np.array([7, 5, 9])
+    u, v = nearcopies.verified(fp, sets)
+    assert sorted(zip(u.tolist(), v.tolist())) == [(7, 5), (9, 5)]
+    nearest = min((a ^ b).bit_count() for a, b in [(prints[0], prints[1]), (prints[0], prints[2]), (prints[1], prints[2])])
+    assert nearest > simhash.RADIUS
+    assert len(nearcopies.verified(fp, sets, radius=nearest - 1)[0]) == 0
+
+
+def test_close_pairs_against_brute_force():
+    g = np.random.default_rng(5)
+    base = g.integers(0, 1 << 63, 8).astype(np.uint64)
+    prints = np.concatenate([base, base, base ^ np.uint64(5), base ^ np.uint64((1 << 20) - 1)])
+    brute = sorted((i, j) for i in range(32) for j in range(i + 1, 32) if int(prints[i] ^ prints[j]).bit_count() <= 18)
+    assert sorted(tuple(sorted(p)) for p in nearcopies.close_pairs(prints, 18)) == brute
+
+
+def test_finished_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(simhash, "stored", lambda df, name: written.append(name) or df.localCheckpoint())
+    stars = [(5, 1), (6, 1), (9, 2)]
+    found = simhash.components(spark.createDataFrame(stars, "u long, v long"))
+    assert sorted(map(tuple, found.collect())) == stars and len(written) == 1
+    path = simhash.components(spark.createDataFrame([(i + 1, i) for i in range(40)], "u long, v long"))
+    assert sorted(map(tuple, path.collect())) == [(i, 0) for i in range(1, 41)]
+
+
 def test_near_copies_of_awkward_rows(spark, odd, empty):
     kept = nearcopies.without_near_copies(odd)
     assert kept.columns == odd.columns
