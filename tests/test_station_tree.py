@@ -74,3 +74,24 @@ def test_leaves_are_small_and_a_place_holds_few_cells(spark, monkeypatch):
     places = spark.createDataFrame([(float(x), float(y)) for _, x, y in points], "x double, y double")
     assert spatial._nearest_by_tree(places, sites).count() == len(points)
     assert met and max(met) <= 16
+
+
+def test_places_descend_in_blocks_and_crowded_blocks_go_on_alone(spark, monkeypatch):
+    points, stations = crowded(3)
+    monkeypatch.setattr(spatial, "BLOCK", 16)
+    monkeypatch.setattr(spatial, "HELD", 4)
+    rounds = []
+    real = spatial.cut_lineage
+
+    def watched(df):
+        out = real(df)
+        if "cells" in out.columns:
+            rounds.append((out.columns[0], out.count()))
+        return out
+
+    monkeypatch.setattr(spatial, "cut_lineage", watched)
+    check(spark, points, stations)
+    # The first round is one of blocks; places meet their cells once, at the end.
+    assert rounds[0][0] == "block" and rounds[0][1] < len(points) / 2
+    assert [n for first, n in rounds if first == "x"] == [len(points)]
+    assert max(n for first, n in rounds if first == "block") <= len(points)
