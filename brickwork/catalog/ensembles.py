@@ -244,7 +244,10 @@ def matched_difference_join(spark, sf_dir):
     sides = {"original": once.select(*keys, "area_m2", *cols), "upgraded": once.select(*keys, *[F.col(f"{c}_new").alias(c) for c in cols])}
     kept = {name: publish_bucketed(side, f"{name}_{run}", f"{root}/{name}", keys, buckets) for name, side in sides.items()}
     wide = matched_difference_wide(kept["original"], kept["upgraded"], keys, cols, ("area_m2",))
-    diff = long_results(wide, ["building_id", "area_m2"]).withColumnRenamed("value", "delta")
+    # Draws meet as wide rows, once; the long rows of a building are made and summed where they are.
+    here = ["building_id", "area_m2"]
+    totals = wide.repartition("building_id").groupBy(*here).agg(*[F.sum(c).alias(c) for c in cols])
+    diff = long_results(totals, here).withColumnRenamed("value", "delta")
     return sum_over(diff, ["building_id", "normalization", "dataset", "segment"], "delta").withColumn("delta", fixed(F.col("delta"), 4))
 
 
