@@ -33,6 +33,7 @@ PERCENTILES = {
 }
 MOMENTS = ("mean", "std", "min", "max")
 GROUP_LIMIT = 1_000_000
+LISTED = (32, 1_000)  # rows of a group whose values are sorted as one array for each column
 SKETCH_ACCURACY = 100_000
 
 
@@ -222,7 +223,8 @@ def wide_summary(
     Works on the wide form (one row per draw) instead of exploding every draw
     into one row per column: when the ensemble was expanded on a partitioning
     by ``keys`` no shuffle is needed at all.  Minimum and maximum come from the
-    same order statistics as the percentiles.  Groups above ``GROUP_LIMIT`` rows,
+    same order statistics as the percentiles: the sorted values of a group within
+    ``LISTED`` rows, the built-in aggregate's counted values of smaller and larger ones.  Groups above ``GROUP_LIMIT`` rows,
     which would not fit one task, give the same result through the long form.
     NaN is missing, as in ``distribution_summary``.
     """
@@ -230,16 +232,31 @@ def wide_summary(
     if rows_per_group > GROUP_LIMIT:
         long = df.unpivot(list(keys), list(values), label, "__value")
         return distribution_summary(long, [*keys, label], "__value", percentiles)
-    probs = ", ".join(f"{p!r}D" for p in (0.0, *percentiles.values(), 1.0))
-    aggs = []
+    aggs, items = [], []
     for i, c in enumerate(values):
-        aggs += [f"avg(`{c}`) AS m{i}", f"stddev_samp(`{c}`) AS s{i}", f"percentile(`{c}`, array({probs})) AS q{i}"]
-    stats = df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
-    last = len(percentiles) + 1
-    items = []
+        aggs += [f"avg(`{c}`) AS m{i}", f"stddev_samp(`{c}`) AS s{i}"]
+    if not LISTED[0] <= rows_per_group <= LISTED[1]:
+        probs = ", ".join(f"{p!r}D" for p in (0.0, *percentiles.values(), 1.0))
+        aggs += [f"percentile(`{c}`, array({probs})) AS q{i}" for i, c in enumerate(values)]
+        stats = df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+        at = {p: j + 1 for j, p in enumerate(percentiles)} | {"min": 0, "max": len(percentiles) + 1}
+        point = lambda i, name: f"q{i}[{at[name]}]"
+    else:
+        aggs += [f"collect_list(`{c}`) AS q{i}" for i, c in enumerate(values)]
+        listed = df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+        own = [x for i in range(len(values)) for x in (f"m{i}", f"s{i}", f"sort_array(q{i}) AS q{i}", f"size(q{i}) - 1 AS n{i}")]
+        stats = listed.selectExpr(*[f"`{k}`" for k in keys], *own)
+        point = lambda i, name: _ordered(i, {"min": 0.0, "max": 1.0, **percentiles}[name])
     for i, c in enumerate(values):
-        points = ", ".join(f"q{i}[{j + 1}] AS {p}" for j, p in enumerate(percentiles))
-        items.append(
-            f"struct('{c}' AS `{label}`, m{i} AS mean, s{i} AS std, q{i}[0] AS min, q{i}[{last}] AS max, {points})"
-        )
+        points = ", ".join(f"{point(i, name)} AS {name}" for name in ("min", "max", *percentiles))
+        items.append(f"struct('{c}' AS `{label}`, m{i} AS mean, s{i} AS std, {points})")
     return stats.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({', '.join(items)}))")
+
+
+def _ordered(i: int, p: float) -> str:
+    """The interpolated percentile of the sorted array ``q{i}``, whose last position is ``n{i}``, as the built-in one gives it."""
+    if p in (0.0, 1.0):
+        return f"get(q{i}, {'0' if p == 0.0 else f'n{i}'})"
+    pos = f"n{i} * {p!r}D"
+    low, high = f"get(q{i}, int(floor({pos})))", f"get(q{i}, int(ceil({pos})))"
+    return f"if({low} = {high}, {low}, (ceil({pos}) - {pos}) * {low} + ({pos} - floor({pos})) * {high})"

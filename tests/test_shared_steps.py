@@ -1,9 +1,36 @@
 """Steps that several queries share, and what they move."""
 
+import math
+import re
+
+import pytest
+
 from brickwork import catalog
+from brickwork.operators import summary
+
+
+def _wide(spark):
+    rows = [(i % 3, *[None if (i + k) % 7 == 0 else math.nan if (i * k) % 11 == 5 else math.sin(i * (k + 1)) * 10**k for k in range(3)]) for i in range(40)]
+    rows += [(9, None, 1.0, float("inf")), (9, None, 1.0, float("-inf")), (None, 2.0, 3.0, 4.0)]
+    return spark.createDataFrame(rows, "g int, a double, b double, c double")
+
+
+def test_sorted_arrays_give_the_built_in_percentiles(spark, monkeypatch):
+    wide = _wide(spark)
+    got = summary.wide_summary(wide, ["g"], ["a", "b", "c"], 40)
+    assert "percentile(" not in got._jdf.queryExecution().analyzed().toString()
+    listed = {(r["g"], r["name"]): r.asDict() for r in got.collect()}
+    monkeypatch.setattr(summary, "LISTED", 0)
+    built_in = {(r["g"], r["name"]): r.asDict() for r in summary.wide_summary(wide, ["g"], ["a", "b", "c"], 40).collect()}
+    assert listed.keys() == built_in.keys() and len(listed) == 15
+    for key, want in built_in.items():
+        for name, value in want.items():
+            have = listed[key][name]
+            assert have == value or have == pytest.approx(value, rel=1e-12, nan_ok=True), (key, name)
 
 
 def test_stored_differences_move_wide_draws_once(spark, sf):
-    plan = catalog.matched_difference_join(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    exchanges = [line for line in plan.splitlines() if "Exchange " in line]
-    assert len(exchanges) == 1 and "hashpartitioning(building_id" in exchanges[0] and "normalization" not in exchanges[0]
+    plan = catalog.queries()["matched_difference_join"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    exchanges = re.findall(r"Exchange hashpartitioning\(.*", initial)
+    assert len(exchanges) == 1 and "building_id" in exchanges[0] and "normalization" not in exchanges[0]
