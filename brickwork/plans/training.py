@@ -67,8 +67,9 @@ def _together(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list
 
 
 def assign_folds(data: DataFrame, stratum: str, key: Sequence[str], folds: int, seed: int = 42) -> DataFrame:
+    """Rows with their fold, ranked once: every fit and every fold reads them several times."""
     rows, keyed = with_row_key(data, seed, key)
-    return stratified_folds(rows, [stratum], keyed.uniform("order"), list(key), folds).drop(*keyed.columns())
+    return cut_lineage(stratified_folds(rows, [stratum], keyed.uniform("order"), list(key), folds).drop(*keyed.columns()))
 
 
 def fit_target(train: DataFrame, features: Sequence[str], target: str, b: Boosting) -> PipelineModel:
@@ -241,7 +242,7 @@ def progressive_training(
 def learning_curve(data: DataFrame, fractions: Sequence[float], key: Sequence[str], seed: int = 42, **kw) -> DataFrame:
     """Test metrics by share of the (shuffled) training rows used."""
     rows, keyed = with_row_key(data, seed, key)
-    train = hash_rank(rows.filter("fold <> 0"), [], keyed.uniform("order"), list(key), "__rank").drop(*keyed.columns())
+    train = cut_lineage(hash_rank(rows.filter("fold <> 0"), [], keyed.uniform("order"), list(key), "__rank").drop(*keyed.columns()))
     test = data.filter("fold = 0")
     n = train.count()
     out = None

@@ -20,7 +20,7 @@ def test_sorted_arrays_give_the_built_in_percentiles(spark, monkeypatch):
     got = summary.wide_summary(wide, ["g"], ["a", "b", "c"], 40)
     assert "percentile(" not in got._jdf.queryExecution().analyzed().toString()
     listed = {(r["g"], r["name"]): r.asDict() for r in got.collect()}
-    monkeypatch.setattr(summary, "LISTED", 0)
+    monkeypatch.setattr(summary, "LISTED", (0, 0))
     built_in = {(r["g"], r["name"]): r.asDict() for r in summary.wide_summary(wide, ["g"], ["a", "b", "c"], 40).collect()}
     assert listed.keys() == built_in.keys() and len(listed) == 15
     for key, want in built_in.items():
@@ -34,3 +34,22 @@ def test_stored_differences_move_wide_draws_once(spark, sf):
     initial = plan.split("Initial Plan")[-1]
     exchanges = re.findall(r"Exchange hashpartitioning\(.*", initial)
     assert len(exchanges) == 1 and "building_id" in exchanges[0] and "normalization" not in exchanges[0]
+
+
+def test_folds_are_ranked_once(spark, monkeypatch):
+    from brickwork.plans import training
+
+    scans = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            scans.add(len(b))
+            yield b
+
+    rows = spark.range(400).selectExpr("id", "id % 2 AS stratum", "double(id % 17) AS x", "double(id % 17) * 2 AS Energy_Heating").mapInPandas(seen, "id long, stratum long, x double, Energy_Heating double")
+    data = training.assign_folds(rows, "stratum", ["id"], 4)
+    before = scans.value
+    quick = training.Boosting(rounds=1, depth=1, subsample=1.0, column_share="all")
+    got = training.learning_curve(data, [0.5, 1.0], ["id"], features=["x"], categorical=[], targets=["Energy_Heating"], stratum="stratum", boosting=quick)
+    assert got.filter("split = 'test'").count() > 0
+    assert scans.value == before
