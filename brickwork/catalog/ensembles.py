@@ -281,4 +281,4 @@ def prior_null_report(spark, sf_dir):
 def nested_inference_response(spark, sf_dir):
     """The JSON response per building."""
     ens = plan.infer(portfolio(spark, sf_dir), N, predict, PRIORS)
-    return plan.respond(plan.summarize_results(ens, N))
+    return plan.respond(plan.summarize_results(ens, N, nested=True))

@@ -298,4 +298,4 @@ def requests_to_answers(spark, sf_dir):
     """From building requests over base features and trained models to one JSON answer each."""
     result = _trained(spark, sf_dir)
     base = cut_lineage(_base(spark, sf_dir))  # one row per building
-    return respond(summarize_results(infer(base, 8, plan.trained_predictor(result.models, result.space)), 8))
+    return respond(summarize_results(infer(base, 8, plan.trained_predictor(result.models, result.space)), 8, nested=True))

@@ -217,6 +217,8 @@ def wide_summary(
     rows_per_group: int,
     percentiles: dict[str, float] = PERCENTILES,
     label: str = "name",
+    *,
+    nested: bool = False,
 ) -> DataFrame:
     """Summaries of many columns of an ensemble, for small groups in one aggregation.
 
@@ -226,12 +228,15 @@ def wide_summary(
     same order statistics as the percentiles: the sorted values of a group within
     ``LISTED`` rows, the built-in aggregate's counted values of smaller and larger ones.  Groups above ``GROUP_LIMIT`` rows,
     which would not fit one task, give the same result through the long form.
-    NaN is missing, as in ``distribution_summary``.
+    NaN is missing, as in ``distribution_summary``.  ``nested`` keeps the summaries of a
+    group in one row, as the array ``items``.
     """
     df = df.select(*keys, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in values])
     if rows_per_group > GROUP_LIMIT:
         long = df.unpivot(list(keys), list(values), label, "__value")
-        return distribution_summary(long, [*keys, label], "__value", percentiles)
+        flat = distribution_summary(long, [*keys, label], "__value", percentiles)
+        item = F.struct(*[c for c in flat.columns if c not in keys])
+        return flat.groupBy(*keys).agg(F.collect_list(item).alias("items")) if nested else flat
     aggs, items = [], []
     for i, c in enumerate(values):
         aggs += [f"avg(`{c}`) AS m{i}", f"stddev_samp(`{c}`) AS s{i}"]
@@ -250,7 +255,8 @@ def wide_summary(
     for i, c in enumerate(values):
         points = ", ".join(f"{point(i, name)} AS {name}" for name in ("min", "max", *percentiles))
         items.append(f"struct('{c}' AS `{label}`, m{i} AS mean, s{i} AS std, {points})")
-    return stats.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({', '.join(items)}))")
+    every = f"array({', '.join(items)})"
+    return stats.selectExpr(*[f"`{k}`" for k in keys], f"{every} AS items" if nested else f"inline({every})")
 
 
 def _ordered(i: int, p: float) -> str:

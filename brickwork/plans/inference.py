@@ -116,38 +116,40 @@ def infer_savings(
 
 
 def summarize_results(
-    ensemble: DataFrame, n: int, columns: Sequence[str] | None = None, prefix: str = "", suffix: str = ""
+    ensemble: DataFrame, n: int, columns: Sequence[str] | None = None, prefix: str = "", suffix: str = "", *, nested: bool = False
 ) -> DataFrame:
     """(building, normalization, dataset, segment) summaries with units.
 
     Gross figures are the normalized ones times the building's area, and every
     statistic here scales with a positive constant, so they are derived from
-    the summary instead of summarizing a second set of columns.
+    the summary instead of summarizing a second set of columns.  ``nested`` keeps
+    a building's summaries in its row, as the array ``results``.
     """
     cols = list(columns or result_columns())
     named = ensemble.select(
         "building_id", "area_m2", *[F.col(f"{prefix}{c}{suffix}").alias(c) for c in cols]
     )
-    flat = wide_summary(named, ["building_id", "area_m2"], cols, n, label="result")
     stats = [*MOMENTS, *PERCENTILES]
-    total = F.col("result").startswith("Total_")
-    dataset = F.when(total, F.substring_index("result", "_", -1)).otherwise(F.substring_index("result", "_", 1))
-    flat = flat.withColumns(
-        {
-            "dataset": dataset,
-            "segment": F.when(total, "Total").otherwise(F.substring_index("result", "_", -1)),
-        }
-    )
     unit = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    both = F.array(
-        F.struct(F.lit("Normalized").alias("normalization"), F.lit(UNITS_PER["Normalized"]).alias("per"), F.lit(1.0).alias("scale")),
-        F.struct(F.lit("Gross").alias("normalization"), F.lit(UNITS_PER["Gross"]).alias("per"), F.col("area_m2").cast("double").alias("scale")),
-    )
-    return flat.withColumn("__n", F.explode(both)).select(
-        "building_id", F.col("__n.normalization").alias("normalization"), "dataset", "segment",
-        F.concat(F.element_at(unit, F.col("dataset")), F.col("__n.per")).alias("units"),
-        *[(F.col(s) * F.col("__n.scale")).alias(s) for s in stats],
-    )
+
+    def shown(result: Column, own: dict[str, Column], normalization: Column, per: Column, scale: Column) -> list[Column]:
+        total = result.startswith("Total_")
+        dataset = F.when(total, F.substring_index(result, "_", -1)).otherwise(F.substring_index(result, "_", 1))
+        segment = F.when(total, "Total").otherwise(F.substring_index(result, "_", -1))
+        return [
+            normalization.alias("normalization"), dataset.alias("dataset"), segment.alias("segment"),
+            F.concat(F.element_at(unit, dataset), per).alias("units"), *[(own[s] * scale).alias(s) for s in stats],
+        ]
+
+    scales = {"Normalized": F.lit(1.0), "Gross": F.col("area_m2").cast("double")}
+    if nested:
+        rows = wide_summary(named, ["building_id", "area_m2"], cols, n, label="result", nested=True)
+        both = lambda r: F.array(*[F.struct(*shown(r["result"], {s: r[s] for s in stats}, F.lit(k), F.lit(UNITS_PER[k]), v)) for k, v in scales.items()])
+        return rows.select("building_id", F.flatten(F.transform("items", both)).alias("results"))
+    flat = wide_summary(named, ["building_id", "area_m2"], cols, n, label="result")
+    both = F.array(*[F.struct(F.lit(k).alias("normalization"), F.lit(UNITS_PER[k]).alias("per"), v.alias("scale")) for k, v in scales.items()])
+    at = [F.col(f"__n.{c}") for c in ("normalization", "per", "scale")]
+    return flat.withColumn("__n", F.explode(both)).select("building_id", *shown(F.col("result"), {s: F.col(s) for s in stats}, *at))
 
 
 def summarize_economics(
@@ -169,23 +171,35 @@ def _as_map(name: str) -> Column:
     return F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "v")), by_key)).alias("v")
 
 
+def _nested_maps(entries: Column, names: Sequence[str]) -> Column:
+    """The structs of an array as maps within maps by their fields ``names``, in key order, with ``v`` innermost."""
+    name, rest = names[0], names[1:]
+    if not rest:
+        return F.map_from_entries(F.array_sort(F.transform(entries, lambda e: F.struct(e[name].alias(name), e["v"].alias("v")))))
+    keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e[name])))
+    inner = lambda k: _nested_maps(F.filter(entries, lambda e: e[name].eqNullSafe(k)), rest)
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias(name), inner(k).alias("v"))))
+
+
 def respond(summary: DataFrame) -> DataFrame:
     """One nested JSON document per building from a result summary.
 
-    A building has two normalizations of the fixed datasets and segments, so
-    the grouped lists are bounded by the vocabulary.
+    A building has two normalizations of the fixed datasets and segments, so its
+    entries are bounded by the vocabulary.  Nested summaries become documents where
+    they are; long ones are gathered once.
     """
-    part = F.when(F.col("segment") == "Total", "Total").otherwise("Disaggregation")
-    s = summary.select(
-        "building_id", part.alias("part"), "normalization", "dataset", "segment",
-        F.struct("units", *MOMENTS, *PERCENTILES).alias("v"),
-    )
-    keys = ["building_id", "part", "normalization", "dataset"]
-    level = s.groupBy(*keys).agg(_as_map("segment"))
-    for name in ("dataset", "normalization", "part"):
-        keys.remove(name)
-        level = level.groupBy(*keys).agg(_as_map(name))
-    return level.select("building_id", F.to_json("v").alias("response"))
+    if "results" not in summary.columns:
+        row = F.struct("normalization", "dataset", "segment", "units", *MOMENTS, *PERCENTILES)
+        summary = summary.groupBy("building_id").agg(F.collect_list(row).alias("results"))
+
+    def entry(r: Column) -> Column:
+        part = F.when(r["segment"] == "Total", "Total").otherwise("Disaggregation").alias("part")
+        v = F.struct(*[r[c].alias(c) for c in ("units", *MOMENTS, *PERCENTILES)]).alias("v")
+        return F.struct(part, *[r[c].alias(c) for c in ("normalization", "dataset", "segment")], v)
+
+    entries = summary.select("building_id", F.transform("results", entry).alias("__entries"))
+    maps = _nested_maps(F.col("__entries"), ["part", "normalization", "dataset", "segment"])
+    return entries.select("building_id", F.to_json(maps).alias("response"))
 
 
 def respond_retrofit(

@@ -50,6 +50,28 @@ def test_response(spark, sf):
     assert doc["Total"]["Normalized"]["Raw"]["Total"]["units"] == "kWh/m2"
 
 
+def test_responses_are_built_in_the_row_of_their_building(spark, sf):
+    import json
+
+    ens = plan.infer(portfolio(spark, sf).limit(40), 3, predict).cache()
+    long = plan.summarize_results(ens, 3)
+    nested = plan.respond(plan.summarize_results(ens, 3, nested=True))
+    want = {}
+    for r in long.collect():
+        part = want.setdefault(r["building_id"], {}).setdefault("Total" if r["segment"] == "Total" else "Disaggregation", {})
+        figures = {k: v for k, v in r.asDict().items() if v is not None and k not in ("building_id", "normalization", "dataset", "segment")}
+        part.setdefault(r["normalization"], {}).setdefault(r["dataset"], {})[r["segment"]] = figures
+    got = [r.asDict() for r in nested.collect()]
+    assert {r["building_id"]: json.loads(r["response"]) for r in got} == want and len(got) == len(want) == 40
+    assert sorted(map(str, got)) == sorted(str(r.asDict()) for r in plan.respond(long).collect())
+    # Keys in order at every level.
+    ordered = json.loads(got[0]["response"], object_pairs_hook=lambda pairs: [k for k, _ in pairs])
+    assert ordered == ["Disaggregation", "Total"]
+    # The draws of a building are summed up; its summaries are gathered no more.
+    text = nested._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate [") == 1 and "collect_list" not in text
+
+
 def test_cooling_none(spark):
     df = spark.createDataFrame([("none",), ("ACWindow",)], "semantic__Cooling string")
     assert [r["predict__Cooling"] for r in cooling_for_prediction(df).collect()] == ["ACCentral", "ACWindow"]
