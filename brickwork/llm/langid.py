@@ -320,8 +320,11 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns; only the text goes to Python."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs)))
+    """The rows of ``docs`` that are not rejected, with their columns; only the text goes to Python.
+
+    Nothing is tested here, so every labelled row may teach, also those that :func:`predicted` holds out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     small_batches(docs.sparkSession)
 
     def known(texts: pa.Array) -> pa.Array:

@@ -108,6 +108,18 @@ def test_languages_are_told_apart(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_languages_are_learned_from_every_row(spark):
+    """The held-out quarter of op2 teaches in the pipeline: a language that stands only there is known."""
+    g = np.random.default_rng(8)
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(400)]
+    kinds = {True: "ijklmnop", False: "abcdefgh"}
+    texts = ["".join(c if k % 6 else " " for k, c in enumerate(g.choice(list(kinds[h]), 300))) for h in held]
+    rows = [(i, t, "bb" if h else "aa") for i, (t, h) in enumerate(zip(texts, held))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = {r["doc_id"] for r in langid.in_known_language(docs).collect()}
+    assert kept == set(range(400)) and any(held)
+
+
 @pytest.mark.parametrize("calibration", [3, 2000])
 def test_languages_of_long_texts_are_learned(spark, monkeypatch, calibration):
     g = np.random.default_rng(5)
